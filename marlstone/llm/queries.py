@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe
+from marlstone.llm import bpe, near_dup
 
 
 def queries() -> dict:
     return {
         "op2_bpe_transducer": bpe.op2_bpe_transducer,
+        "op5_bottom_k_near_dup": near_dup.op5_bottom_k_near_dup,
     }
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))) END AS sh
+  FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
+FROM s JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id, s.sh
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_bottom_k_near_dup": OP5_SQL}
