@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, near_dup
+from marlstone.llm import bpe, near_dup, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op2_bpe_transducer": bpe.op2_bpe_transducer,
         "op5_bottom_k_near_dup": near_dup.op5_bottom_k_near_dup,
+        "op8_count_min_substrings": substring_dedup.op8_count_min_substrings,
     }
 
 
@@ -29,6 +30,20 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.b) AS component_
 FROM s JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id, s.sh
 """
 
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
+win AS (SELECT p.doc_id, p.i, array_to_string(w.ws[p.i : p.i + 34], ' ') AS x FROM p JOIN w USING (doc_id)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY x) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM rep),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (
+  SELECT words.doc_id, count(gone.j) AS n_removed, string_agg(word, ' ' ORDER BY words.j) FILTER (WHERE gone.j IS NULL) AS t
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.j = gone.j GROUP BY words.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_bottom_k_near_dup": OP5_SQL}
+    return {"op5_bottom_k_near_dup": OP5_SQL, "op8_count_min_substrings": OP8_SQL}
