@@ -21,6 +21,7 @@ kept by `remove_repeats` and not read by the rest.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,7 @@ def sketch(texts: DataFrame, window: int) -> list[np.ndarray]:
         if held:
             yield from emit()
 
-    def merge(key, batches):
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = (1 << SKETCH_BITS) // SHARDS
         counts = np.zeros(width, np.uint8)
         for batch in batches:
