@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, near_dup, substring_dedup
+from marlstone.llm import bpe, language, near_dup, quality, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op2_bpe_transducer": bpe.op2_bpe_transducer,
+        "op4_mixture_language_id": language.op4_mixture_language_id,
         "op5_bottom_k_near_dup": near_dup.op5_bottom_k_near_dup,
         "op8_count_min_substrings": substring_dedup.op8_count_min_substrings,
+        "op9_rule_bitmask_ledger": quality.op9_rule_bitmask_ledger,
     }
 
 
@@ -44,6 +46,27 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5),
+rep AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i : i + 4], ' ')) > 1),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM rep) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(r.n, 0) AS n_repeat_words,
+    CAST(len(list_filter(ws, lambda x: regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS BIGINT) AS n_alpha_words
+  FROM d LEFT JOIN r USING (doc_id)),
+b AS (
+  SELECT *, CAST((n_words < 10) AS BIGINT) + 2 * CAST((100 * n_repeat_words > 20 * n_words) AS BIGINT)
+    + 4 * CAST((word_chars > 30 * n_words OR word_chars < n_words * 2) AS BIGINT) + 8 * CAST((2 * n_symbols > n_words) AS BIGINT)
+    + 16 * CAST((2 * n_dup_lines > n_lines) AS BIGINT) + 32 * CAST((2 * n_alpha_words < n_words) AS BIGINT)
+    + 64 * CAST((n_words > 1000000) AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & 63 = 0 AS kept, fail_bits FROM b
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_bottom_k_near_dup": OP5_SQL, "op8_count_min_substrings": OP8_SQL}
+    return {"op5_bottom_k_near_dup": OP5_SQL, "op8_count_min_substrings": OP8_SQL, "op9_rule_bitmask_ledger": OP9_SQL}
