@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, language, near_dup, quality, substring_dedup
+from marlstone.llm import bpe, language, license, near_dup, quality, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_bpe_transducer": bpe.op2_bpe_transducer,
         "op4_mixture_language_id": language.op4_mixture_language_id,
         "op5_bottom_k_near_dup": near_dup.op5_bottom_k_near_dup,
+        "op6_license_set_join": license.op6_license_set_join,
+        "op7_warc_salvage": warc.op7_warc_salvage,
         "op8_count_min_substrings": substring_dedup.op8_count_min_substrings,
         "op9_rule_bitmask_ledger": quality.op9_rule_bitmask_ledger,
     }
@@ -67,6 +69,40 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & 63 = 0 AS kept, fail_bits FROM b
 """
 
+#: The templates as SQL values, made from the operator's own list.
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(license.TEMPLATES))
+_NORMAL = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP6_SQL = f"""
+WITH t(i, label, text) AS (VALUES {_TEMPLATE_ROWS}),
+ts AS (SELECT i, label, list_distinct({_NORMAL.format("text")}) AS tw FROM t),
+d AS (SELECT doc_id, coalesce(text, '') AS text, {_NORMAL.format("coalesce(text, '')")} AS ws FROM documents),
+ph(phrase, label) AS (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc')),
+places AS (
+  SELECT doc_id, label, k FROM (SELECT doc_id, ws, label, phrase, unnest(range(1, len(ws) + 1)) AS k FROM d, ph) WHERE ws[k : k + len(phrase) - 1] = phrase),
+base AS (SELECT doc_id, count(*) AS n, min(k) - 1 AS first_word, max(k) - 1 AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+b AS (SELECT doc_id, list_distinct({_NORMAL.format("line")}) AS bw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+hit AS (
+  SELECT doc_id, label, len(list_intersect(bw, tw)) / len(tw) AS c FROM b, ts WHERE 100 * len(list_intersect(bw, tw)) >= 80 * len(tw)),
+method AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS score FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, base.first_word, base.last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(method.labels, [])))), ','), '') AS labels,
+  CAST(CASE WHEN base.n > 0 THEN 1 ELSE coalesce(method.score, 0) END AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN method USING (doc_id)
+"""
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT page_id, octet_length(encode(t)) AS n, h, max(page_id) OVER (PARTITION BY h) AS original FROM p),
+c AS (SELECT *, list_transform([1, 11, 21, 31], lambda a: CAST('0x' || substr(h, a, 10) AS BIGINT)) AS parts FROM q)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([35, 30, 25, 20, 15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS BIGINT) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to
+FROM c
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_bottom_k_near_dup": OP5_SQL, "op8_count_min_substrings": OP8_SQL, "op9_rule_bitmask_ledger": OP9_SQL}
+    return {"op6_license_set_join": OP6_SQL, "op7_warc_salvage": OP7_SQL, "op5_bottom_k_near_dup": OP5_SQL, "op8_count_min_substrings": OP8_SQL, "op9_rule_bitmask_ledger": OP9_SQL}
