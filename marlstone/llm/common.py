@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that a Python helper holds as Python objects at a time.
 SLICE_ROWS = 512
@@ -55,3 +56,15 @@ def slices(batches, rows: int = SLICE_ROWS):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+#: Keys up to which a set of them is broadcast; a larger set is joined by a shuffle.
+BROADCAST_KEYS = 200_000
+
+
+def without(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows of df whose value of `name` is not among the keys (one column of that name)."""
+    keys = written(keys.distinct(), "keys")
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return df.join(keys, name, "left_anti")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, language, license, near_dup, quality, substring_dedup, warc
+from marlstone.llm import bpe, decontaminate, html_text, language, license, near_dup, quality, substring_dedup, token_rollup, warc
 
 
 def queries() -> dict:
     return {
+        "op1_token_rollup": token_rollup.op1_token_rollup,
         "op2_bpe_transducer": bpe.op2_bpe_transducer,
+        "op3_layout_html_text": html_text.op3_layout_html_text,
         "op4_mixture_language_id": language.op4_mixture_language_id,
         "op5_bottom_k_near_dup": near_dup.op5_bottom_k_near_dup,
         "op6_license_set_join": license.op6_license_set_join,
         "op7_warc_salvage": warc.op7_warc_salvage,
         "op8_count_min_substrings": substring_dedup.op8_count_min_substrings,
         "op9_rule_bitmask_ledger": quality.op9_rule_bitmask_ledger,
+        "op10_qgram_decontamination": decontaminate.op10_qgram_decontamination,
     }
 
 
@@ -104,5 +107,24 @@ FROM c
 """
 
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS t, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good
+  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+c AS (
+  SELECT source, lang, CASE WHEN good THEN 'words@2' ELSE 'words@1' END AS tokenizer,
+    len(CASE WHEN good THEN regexp_extract_all(t, '[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]') ELSE regexp_extract_all(t, '[^\x20\x09-\x0D]+') END) AS n
+  FROM d UNION ALL SELECT source, lang, 'bytes4@1', (octet_length(encode(t)) + 3) // 4 FROM d)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_set_join": OP6_SQL, "op7_warc_salvage": OP7_SQL, "op5_bottom_k_near_dup": OP5_SQL, "op8_count_min_substrings": OP8_SQL, "op9_rule_bitmask_ledger": OP9_SQL}
+    return {
+        "op1_token_rollup": OP1_SQL,
+        "op5_bottom_k_near_dup": OP5_SQL,
+        "op6_license_set_join": OP6_SQL,
+        "op7_warc_salvage": OP7_SQL,
+        "op8_count_min_substrings": OP8_SQL,
+        "op9_rule_bitmask_ledger": OP9_SQL,
+    }
