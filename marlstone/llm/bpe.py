@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import mmap
 import os
+import re
 import struct
 from collections import Counter
 
@@ -47,7 +48,7 @@ PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{NUMBER}+| ?[^{WHITE}{LETTE
 #: Most words of the lexicon; it bounds what the driver holds and the file that executors map.
 LEXICON_WORDS = 150_000
 #: Most entries of a Python worker's memo, and of the counter that a task keeps before it emits.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 1_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -72,24 +73,24 @@ class Vocabulary:
         self.merges = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.merges[ids[a] << 32 | ids[b]] = rank << 32 | ids[a + b]
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token: the pair of lowest rank is joined first, the leftmost of equals."""
-        get, none = self.merges.get, (1 << 60, 0)
+        get, none = self.merges.get, 1 << 63
         ids = [self.byte_ids[b] for b in word]
-        best = [get(p, none) for p in zip(ids, ids[1:])]
+        best = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
         while best:
             low = min(best)
-            if low is none:
+            if low == none:
                 break
             i = best.index(low)
-            ids[i : i + 2] = [low[1]]
-            del best[i]
+            joined = ids[i] = low & 0xFFFFFFFF
+            del ids[i + 1], best[i]
             if i:
-                best[i - 1] = get((ids[i - 1], ids[i]), none)
+                best[i - 1] = get(ids[i - 1] << 32 | joined, none)
             if i < len(best):
-                best[i] = get((ids[i], ids[i + 1]), none)
+                best[i] = get(joined << 32 | ids[i + 1], none)
         return ids
 
 
@@ -188,19 +189,31 @@ class Lexicon:
 _SPLIT = regex.compile(PRE_TOKEN, flags=regex.V1)
 _WHITE_PAIR = regex.compile(rf"[{WHITE}]{{2}}")
 _CUT = regex.compile(rf"(?<=[^{WHITE}])(?=[ \n][^{WHITE}])", flags=regex.V1)
+_STOP_ALONE = re.compile(r"(?<![^\W_])[.,]")
+#: Begins a piece that stands in the text without a blank before it; texts with this character are one piece.
+_BARE = "\x01"
 
 
-def pieces(text: str) -> tuple[str, list[str]]:
-    """The text cut where a pre-token surely ends: before a lone blank or line break between other characters.
+def pieces(text: str) -> list[str]:
+    """The text cut where a pre-token surely ends.
 
-    The first piece stands as it is in the text. Each later one begins with a line break or lacks the blank
-    that it begins with in the text.
+    That is before a lone blank or line break between other characters, and before a full stop or comma that
+    follows a letter or number. A piece that begins with _BARE or a line break stands in the text so (without
+    _BARE); each other has a blank before it.
     """
-    if _WHITE_PAIR.search(text) is None:
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return first, rest
-    first, *rest = _CUT.split(text)
-    return first, [x[1:] if x[0] == " " else x for x in rest]
+    if _BARE in text:
+        return [_BARE + text]
+    if _WHITE_PAIR.search(text) is not None:
+        first, *rest = _CUT.split(text)
+        return [_BARE + first, *(x[1:] if x[0] == " " else x for x in rest)]
+    if _STOP_ALONE.search(text) is None:
+        text = text.replace(".", " \x01.").replace(",", " \x01,")
+    return (_BARE + text.replace("\n", " \n")).split(" ")
+
+
+def in_text(piece: str) -> str:
+    """The characters of the text that a piece stands for."""
+    return piece[1:] if piece[:1] == _BARE else piece if piece[:1] == "\n" else " " + piece
 
 
 class Memo(dict):
@@ -221,7 +234,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.memo = Memo(lambda piece: self.ids(piece if piece[:1] == "\n" else " " + piece))
+        self.memo = Memo(lambda piece: self.ids(in_text(piece)))
         special = sorted(map(regex.escape, vocabulary.special), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(special) + ")") if special else None
 
@@ -240,10 +253,7 @@ class Encoder:
         return b"".join(struct.pack("<I", self.vocabulary.special[x]) if i % 2 else self.plain(x) for i, x in enumerate(parts))
 
     def plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, rest = pieces(text)
-        return self.ids(first) + b"".join(map(self.memo.__getitem__, rest))
+        return b"".join(map(self.memo.__getitem__, pieces(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -258,30 +268,22 @@ def worker_encoder(lexicon: str, shared) -> Encoder:
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """word (pre-token), n (long): how often each stands in the texts, all of them counted."""
+    """word (a piece of text, see `pieces`), n (long): how often each stands in the texts, all of them counted."""
 
     def partial(batches):
         counts: Counter = Counter()
 
         def emit():
-            words: Counter = Counter()
-            for piece, n in counts.items():
-                for token in _SPLIT.findall(piece if piece[:1] == "\n" else " " + piece):
-                    words[token] += n
+            out = pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
             counts.clear()
-            return pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
+            return out
 
         for batch in common.slices(batches):
             for text in batch.column(0).to_pylist():
-                if text:
-                    first, rest = pieces(text)
-                    counts.update(rest)
-                    if first:
-                        counts["\n" + first if first[0] != "\n" else first] += 1
+                counts.update(pieces(text or ""))
             if len(counts) > MEMO_ENTRIES:
                 yield emit()
-        if counts:
-            yield emit()
+        yield emit()
 
     return df.select(F.col(text_col).cast("string")).mapInArrow(partial, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -301,8 +303,9 @@ def frequent_words(df: DataFrame, text_col: str = "text", most: int = LEXICON_WO
 
 
 def build_lexicon(spark: SparkSession, vocabulary: Vocabulary, words: list[str]) -> str:
-    """Compile the words and hand the file to all executors; the name of the file."""
-    compiled = compile_lexicon({w.encode(): tuple(vocabulary.merge(w.encode())) for w in words})
+    """Compile the words' pre-tokens and hand the file to all executors; the name of the file."""
+    tokens = {token.encode() for word in words for token in _SPLIT.findall(in_text(word))}
+    compiled = compile_lexicon({t: tuple(vocabulary.merge(t)) for t in tokens})
     return common.shared_file(spark, "lexicon.fst", compiled)
 
 
@@ -347,8 +350,8 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(common.table(spark, sf_dir, "documents"))
 
 
-def round_trip(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+def round_trip(docs: DataFrame, vocabulary_path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with keep_ids, also ids."""
     path = vocabulary_path or default_vocabulary()
     decoded = decode(encode(docs, path), path)
     return decoded.select(
@@ -356,6 +359,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame
         "n_tokens",
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        *(["ids"] if keep_ids else []),
     )
 
 
