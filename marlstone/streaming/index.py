@@ -18,7 +18,8 @@ def event_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 h
 
 def term_deltas(docs: DataFrame, field: str = "text") -> DataFrame:
     """term, n_docs, n_total that the documents add."""
-    each = docs.select(F.monotonically_increasing_id().alias("doc"), F.explode(X.tokens(field)).alias("term"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("doc"), X.tokens(field).alias("terms"))
+    each = numbered.select("doc", F.explode("terms").alias("term"))
     per = each.groupBy("term", "doc").agg(F.count("*").alias("n"))
     return per.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_total"))
 
