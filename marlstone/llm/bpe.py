@@ -317,9 +317,13 @@ def encode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
 
     def run(batches):
         encoder = worker_encoder(lexicon, shared)
-        for batch in common.slices(batches):
-            ids = [encoder.encode(text) if text else b"" for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+        try:
+            for batch in common.slices(batches):
+                ids = [encoder.encode(text) if text else b"" for text in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+        finally:
+            # The worker goes on to other stages, which need the memory.
+            encoder.memo.clear()
 
     plain = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return plain.mapInArrow(run, f"id {plain.schema['id'].dataType.simpleString()}, ids binary").withColumnRenamed("id", id_col)
