@@ -36,7 +36,7 @@ def trigrams(text: str) -> np.ndarray:
     """Numbers of the trigrams of the lower-cased letters, where any other characters are one blank."""
     codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
     # Letters: those of ASCII, and whatever lies beyond it but for the signs of Latin-1 and general punctuation.
-    letter = ((codes >= 97) & (codes <= 122)) | ((codes >= 0xC0) & (codes != 0xD7) & (codes != 0xF7) & ((codes < 0x2000) | (codes > 0x206F)))
+    letter = ((codes >= 97) & (codes <= 122)) | (codes == 0xAA) | (codes == 0xB5) | (codes == 0xBA) | ((codes >= 0xC0) & (codes != 0xD7) & (codes != 0xF7) & ((codes < 0x2000) | (codes > 0x206F)))
     blank = ~letter
     keep = letter.copy()
     keep[1:] |= blank[1:] & letter[:-1]

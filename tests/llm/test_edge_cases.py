@@ -150,3 +150,8 @@ def test_html(spark):
     out = html_text.extract(pages).collect()
     assert len(out) == len(PAGES) and {r.text for r in out if r.page_id in (1, 2, 3)} == {"x", ""}
     assert html_text.extract(pages.limit(0)).collect() == []
+
+
+def test_every_single_letter_has_a_trigram():
+    letters = [chr(c) for c in range(0x3000) if chr(c).isalpha()]
+    assert all(len(language.trigrams(x)) for x in letters)
