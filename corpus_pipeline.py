@@ -1,7 +1,7 @@
 """From raw documents to training tokens, in five stages.
 
-Each stage takes what the one before kept. Rows without doc_id pass through the stages that remove documents by
-id. Other columns than those of `documents` are left out at the start.
+Each stage takes what the one before kept. Rows are told apart by themselves, not by doc_id, which may be null or
+repeated. Other columns than those of `documents` are left out at the start.
 """
 
 from __future__ import annotations
@@ -34,9 +34,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest id."""
-    groups = near_dup.near_duplicates(docs)
-    return common.without(docs, groups.filter(~F.col("kept")).select("doc_id"), "doc_id").select(*COLUMNS)
+    """One row of each group of near-duplicates stays: that with the smallest id, then the smallest digest of the text."""
+    # Written, so that a row has the same number whenever it is read.
+    keyed = common.written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "near-docs")
+    surplus = near_dup.surplus_rows(keyed.withColumn("_digest", substring_dedup.digest("text")), "_digest", "_row")
+    return common.without(keyed, surplus, "_row").select(*COLUMNS)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,8 +38,8 @@ BLOCK = 1024
 DEVIATIONS = 5
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int) -> DataFrame:
-    """id, n (size of the set), cid (binary: digest of the set; null if it is empty), sketch (array<long>)."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """id, n (size of the set), cid (binary: digest of the set; null if it is empty), sketch (array<long>), and the extra columns."""
 
     def run(batches):
         for batch in common.slices(batches):
@@ -53,12 +53,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int) ->
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                    *batch.columns[2:],
                 ],
-                names=["id", "n", "cid", "sketch"],
+                names=["id", "n", "cid", "sketch", *extra],
             )
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, "id long, n long, cid binary, sketch array<long>")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *extra)
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in extra)
+    return plain.mapInArrow(run, f"id long, n long, cid binary, sketch array<long>{kinds}")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -186,9 +188,9 @@ def block_links(lists: DataFrame, sets_of, similarity: int) -> DataFrame:
     return members.join(sets, "cls").groupBy("cluster", "hi", "lo").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: int = 80, k: int = 64) -> DataFrame:
-    """id_col, n_shingles, component_id, kept of every row; similarity is a percentage of at least 60."""
-    rows = common.written(sketches(docs, id_col, text_col, size, k), "near-rows")
+def grouped_classes(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: int, k: int, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, with the extra columns; and cid, id (the smallest), comp of every class."""
+    rows = common.written(sketches(docs, id_col, text_col, size, k, extra), "near-rows")
     grouped = rows.filter("cid is not null").groupBy("cid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = common.written(grouped.select(F.monotonically_increasing_id().alias("cls"), "*"), "near-classes")
 
@@ -220,7 +222,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 labels = graph.components(links.union(more), "near")
 
     named = classes.join(labels, classes.cls == labels.node, "left").select("cid", "id", F.coalesce("comp", "cls").alias("comp"))
-    named = common.written(named, "near-named")
+    return rows, common.written(named, "near-named")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: int = 80, k: int = 64) -> DataFrame:
+    """id_col, n_shingles, component_id, kept of every row; similarity is a percentage of at least 60."""
+    rows, named = grouped_classes(docs, id_col, text_col, size, similarity, k)
     smallest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     of_class = common.written(named.join(smallest, "comp").select("cid", "component_id"), "near-components")
     out = rows.select("id", "n", "cid").join(of_class, "cid", "left")
@@ -229,5 +236,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+def surplus_rows(docs: DataFrame, tie_col: str, row_col: str, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: int = 80, k: int = 64) -> DataFrame:
+    """row_col of all rows of each component but one: that with the smallest id (null last), tie_col and row_col.
+
+    row_col tells rows apart and must be the same whenever docs is read; rows without words are in no component.
+    """
+    rows, named = grouped_classes(docs, id_col, text_col, size, similarity, k, (tie_col, row_col))
+    rows = rows.filter("cid is not null")
+    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col(tie_col).alias("tie"), F.col(row_col).alias("row"))
+    of_class = rows.groupBy("cid").agg(F.min(order).alias("first"))
+    survivors = named.join(of_class, "cid").groupBy("comp").agg(F.min("first").alias("first"))
+    return rows.select(row_col).join(survivors.select(F.col("first.row").alias(row_col)), row_col, "left_anti")
+
+
 def op5_bottom_k_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), size=4, similarity=80)

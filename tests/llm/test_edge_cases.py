@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from marlstone.llm import bpe, common, decontaminate, html_text, language, license, near_dup, quality, substring_dedup, token_rollup, warc
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
@@ -55,6 +56,20 @@ def test_near_dup(docs, none):
     assert near_dup.near_duplicates(none).collect() == []
 
 
+def test_one_row_of_each_group_survives(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    near = words("near").replace("near59", "other")
+    rows = [(1, words("twice")), (1, words("twice")), (None, words("nameless")), (None, words("nameless")), (3, words("near")), (4, near), (4, words("clean")), (None, near), (5, ""), (5, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    unique = corpus_pipeline.near_dedup(spark, df, "")
+    want = [(1, words("twice")), (None, words("nameless")), (3, words("near")), (4, words("clean")), (5, ""), (5, ""), (None, None)]
+    assert unique.columns == corpus_pipeline.COLUMNS
+    assert sorted(((r.doc_id, r.text) for r in unique.collect()), key=str) == sorted(want, key=str)
+    left = corpus_pipeline.substring_dedup_stage(spark, unique, "")
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").collect() == []
+
+
 def test_substrings(docs, none):
     out = substring_dedup.remove_repeats(docs, window=10)
     assert set(CLASHES) - {"_digest"} <= set(out.columns)
