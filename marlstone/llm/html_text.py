@@ -5,7 +5,8 @@ emits all other text: white space collapsed within lines, a blank line between b
 with bullets or numbers and indentation, table cells padded to aligned columns, preformatted text as it is.
 
 Defined cases: a null or empty page has an empty text; text outside any element is kept; unclosed elements end
-with the page; elements nested deeper than DEPTH are flattened, their text kept; repeated rows are rendered each;
+with the page; a drawing's labels stand on lines of their own, a formula's text stands in its line, without its
+annotations; an object's fallback is shown, as it does not load; elements nested deeper than DEPTH are flattened, their text kept; repeated rows are rendered each;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -28,7 +29,14 @@ WIDEST_CELL = 60
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style title template noscript iframe noembed noframes object svg math canvas audio video datalist".split())
+HIDDEN = frozenset("head script style title template noscript iframe noembed noframes canvas audio video datalist".split())
+#: Elements of drawings and formulas that are not shown, or start a line or a cell; elsewhere their names mean nothing.
+FOREIGN = {
+    "svg": dict.fromkeys("desc defs metadata symbol clippath mask pattern marker".split(), "hidden") | {"text": "block"},
+    "math": dict.fromkeys("annotation annotation-xml mphantom".split(), "hidden") | {"mtr": "block", "mlabeledtr": "block", "mtd": "cell"},
+    "foreignobject": {},
+}
+FOREIGN_NAMES = frozenset(name for roles in FOREIGN.values() for name in roles)
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = MARGIN | frozenset("html body div article section nav header footer main aside address form li dt dd figcaption details summary dialog legend caption tr thead tbody tfoot td th center menu option optgroup select".split())
 #: Elements whose start ends an open element of the second set, unless one of the third set lies between.
@@ -52,10 +60,10 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "role")
 
-    def __init__(self, tag: str, attrs: dict):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict, role: str = ""):
+        self.tag, self.attrs, self.children, self.role = tag, attrs, [], role
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -117,7 +125,8 @@ def build(html: str) -> Node:
                 row = Node("tr", {})
                 stack[-1].children.append(row)
                 stack.append(row)
-            node = Node(tag, attrs)
+            around = next((n.tag for n in reversed(stack) if n.tag in FOREIGN), "") if tag in FOREIGN_NAMES else ""
+            node = Node(tag, attrs, FOREIGN[around].get(tag, "") if around else "")
             stack[-1].children.append(node)
             if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
                 continue
@@ -132,7 +141,7 @@ def build(html: str) -> Node:
 
 def visible(node: Node) -> bool:
     attrs = node.attrs
-    return node.tag not in HIDDEN and not ("hidden" in attrs or _UNSEEN.search(attrs.get("style", "")) or node.tag == "input" or node.tag == "dialog" and "open" not in attrs)
+    return node.tag not in HIDDEN and node.role != "hidden" and not ("hidden" in attrs or _UNSEEN.search(attrs.get("style", "")) or node.tag == "input" or node.tag == "dialog" and "open" not in attrs)
 
 
 def width(text: str) -> int:
@@ -203,6 +212,14 @@ def _content(node: Node, out: Lines, stats: dict[str, int]) -> None:
             stats["n_items"] += 1
             lines = [x for x in render(child, stats)] or [""]
             out.add([(mark if i == 0 else " " * len(mark)) + x if x or i == 0 else "" for i, x in enumerate(lines)])
+        elif child.role == "block":
+            out.end_line()
+            _content(child, out, stats)
+            out.end_line()
+        elif child.role == "cell":
+            out.text(" ")
+            _content(child, out, stats)
+            out.text(" ")
         elif tag in BLOCK:
             out.end_line(margin=tag in MARGIN)
             if tag in ("ul", "ol", "blockquote", "dd") and node.tag != "li":

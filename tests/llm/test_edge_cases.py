@@ -167,6 +167,28 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>See <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here", "See x=1 here"),
+        ("<p><math><semantics><mi>y</mi><annotation encoding='tex'>\\y</annotation><annotation-xml>z</annotation-xml></semantics></math> end", "y end"),
+        ("<p>a</p><math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr><mtr><mtd>3</mtd><mtd>4</mtd></mtr></mtable></math>", "a\n\n1 2\n3 4"),
+        ("<div>a<svg><text>One</text><g><text>Two <tspan>parts</tspan></text></g></svg>b</div>", "a\nOne\nTwo parts\nb"),
+        ("<p>a <svg><title>t</title><path d='M0'/></svg>b", "a b"),
+        ("<p>a <svg><desc>d</desc></svg>b", "a b"),
+        ("<p>a <svg><defs><text>d</text></defs></svg>b", "a b"),
+        ("<p>a <svg><metadata>m</metadata></svg>b", "a b"),
+        ("<p>a <svg><style>s{}</style><script>x</script></svg>b", "a b"),
+        ("<svg><foreignObject><desc>shown</desc></foreignObject></svg>", "shown"),
+        ("<p>a <desc>d</desc> <metadata>m</metadata> <annotation>n</annotation>", "a d m n"),
+        ("<p>a <object data='x.swf'><param name='p'>no <b>player</b></object> b", "a no player b"),
+        ("<p>a <svg hidden><text>t</text></svg><object style='display:none'>o</object>b", "a b"),
+    ],
+)
+def test_html_of_drawings_formulas_and_objects(html, want):
+    assert html_text.page_text(html)[0] == want
+
+
 def test_every_single_letter_has_a_trigram():
     letters = [chr(c) for c in range(0x3000) if chr(c).isalpha()]
     assert all(len(language.trigrams(x)) for x in letters)
