@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,6 +92,25 @@ def _common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+#: Windows of a text that are compared at a time.
+WINDOWS = 1 << 18
+
+
+def _longest_in_windows(short: str, long: str) -> int:
+    """The longest common subsequence of a text of at most 62 characters with any window of its length, all windows at once."""
+    size = len(short)
+    codes = np.frombuffer(long.encode("utf-32-le", "surrogatepass"), np.uint32)
+    hits = np.zeros(len(codes), np.uint64)
+    for c in set(short):
+        hits[codes == ord(c)] = sum(1 << i for i, x in enumerate(short) if x == c)
+    full = np.uint64((1 << size) - 1)
+    row = np.full(len(codes) - size + 1, full)
+    for j in range(size):
+        hit = row & hits[j : j + len(row)]
+        row = (row + hit | row - hit) & full
+    return size - int(np.bitwise_count(row).min())
+
+
 @lru_cache(maxsize=100_000)
 def ratio(a: str, b: str) -> float:
     """Normalised indel similarity times 100."""
@@ -102,7 +122,12 @@ def partial_ratio(a: str, b: str) -> float:
     short, long = sorted((a, b), key=len)
     if not short:
         return 0.0 if long else 100.0
-    return max(200.0 * _common_subsequence(short, long[i : i + len(short)]) / (2 * len(short)) for i in range(len(long) - len(short) + 1))
+    if short in long:
+        return 100.0
+    size = len(short)
+    if size > 62:
+        return max(200.0 * _common_subsequence(short, part) / (2 * size) for part in {long[i : i + size] for i in range(len(long) - size + 1)})
+    return max(100.0 * _longest_in_windows(short, long[at : at + WINDOWS + size - 1]) / size for at in range(0, len(long) - size + 1, WINDOWS))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -120,8 +145,6 @@ def hash_embedding(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A deterministic unit vector of 64 values for each text, from a generator seeded with its digest."""
     import hashlib
 
-    import numpy as np
-
     for texts in parts:
         out = []
         for text in texts:

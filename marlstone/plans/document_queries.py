@@ -211,7 +211,7 @@ def fuzzy_tags(spark, sf_dir):
 
 @query()
 def partial_ratio_rank(spark, sf_dir):
-    return keyword.partial_ratio_rank(docs_of(spark, sf_dir).withColumn("head", F.element_at(X.sentences("text"), 1)), "hehely", "head", key="doc_id").select("doc_id", rounded("score"))
+    return keyword.partial_ratio_rank(docs_of(spark, sf_dir), "hehely", "text", key="doc_id").select("doc_id", rounded("score"))
 
 
 @query("""SELECT doc_id, round(len(list_intersect(g, q)) / len(q), 6) AS similarity FROM (

@@ -12,6 +12,7 @@ from marlstone.functions import vectors as V
 from marlstone.operators import bm25, classify, fusion, graph, keyword, relations, textproc, vector
 from marlstone.operators import documents as D
 from marlstone.operators import messages as M
+from marlstone.plans.catalogue import QUERIES
 from marlstone.sources import store
 from marlstone.streaming import index
 
@@ -185,3 +186,35 @@ def test_streaming(spark, tmp_path):
     q = index.event_counts(events).writeStream.format("memory").queryName("ev").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.n, r.total) for r in spark.table("ev").collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def longest_common(a, b):
+    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+    return rows[-1][-1]
+
+
+def best_part(a, b):
+    short, long = sorted((a, b), key=len)
+    return max((100 * longest_common(short, long[i : i + len(short)]) / len(short) for i in range(len(long) - len(short) + 1)), default=0.0) if short else 0.0 if long else 100.0
+
+
+@given(st.text("abé😀", max_size=7), st.text("abé😀", max_size=30), st.sampled_from([1, 3, 1 << 18]))
+def test_partial_ratio(a, b, windows):
+    kept, X.WINDOWS = X.WINDOWS, windows
+    try:
+        assert X.partial_ratio(a, b) == pytest.approx(best_part(a, b))
+        assert X.partial_ratio(a * 12, b * 4) == pytest.approx(best_part(a * 12, b * 4))
+    finally:
+        X.WINDOWS = kept
+
+
+def test_partial_ratio_rank_rates_whole_texts(spark, tmp_path):
+    texts = ["A first sentence. Then hehely.", "Nothing here! " * 40 + "a HEHELY b", "One. Two. heXhely", "zzz. zzz.", "hehely first.", "heh", "", None, "Éa. " * 9 + "hxehly"]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.score for r in QUERIES["partial_ratio_rank"](spark, str(tmp_path)).collect()}
+    want = {i: best_part("hehely", t.lower()) for i, t in enumerate(texts) if t is not None}
+    assert found == pytest.approx({i: s for i, s in want.items() if s >= 60}) and found[0] == found[1] == found[4] == 100
