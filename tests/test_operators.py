@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -218,3 +219,15 @@ def test_partial_ratio_rank_rates_whole_texts(spark, tmp_path):
     found = {r.doc_id: r.score for r in QUERIES["partial_ratio_rank"](spark, str(tmp_path)).collect()}
     want = {i: best_part("hehely", t.lower()) for i, t in enumerate(texts) if t is not None}
     assert found == pytest.approx({i: s for i, s in want.items() if s >= 60}) and found[0] == found[1] == found[4] == 100
+
+
+def test_lsh_pairs_finds_every_pair(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((1000, 8)).astype("float32")
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    score = unit @ unit.T
+    want = {(i, j): score[i, j] for i in range(1000) for j in range(i + 1, 1000) if score[i, j] >= 0.4}
+    found = {(r.a, r.b): r.score for r in QUERIES["lsh_pairs"](spark, str(tmp_path)).collect()}
+    assert len(want.keys() ^ found.keys()) == 0 and all(abs(found[p] - want[p]) < 1e-6 for p in want)
