@@ -2,9 +2,10 @@
 
 The frequent pre-tokens of the corpus are compiled, with the token ids of each as its output, into a
 minimal acyclic subsequential transducer (construction from sorted input: Mihov and Maurel 2001). Equal
-suffixes share states. The automaton is one flat file that every executor maps into memory; a pre-token
-that it lacks is merged by rank, exactly as the vocabulary says. Which words are in the lexicon therefore
-changes the speed alone, never an id.
+suffixes share states. The automaton is one flat file that every executor maps into memory. A batch's distinct
+pre-tokens run through it together, a byte at a time; those that it lacks are merged by rank together, exactly as
+the vocabulary says. Which words are in the lexicon therefore changes the speed alone, never an id. Nothing is
+remembered from batch to batch, and a batch is bounded by its bytes.
 
 Defined cases: a null text is an empty one; an empty text has no ids and decodes to an empty text; special
 tokens that stand in a text become their own ids; repeated rows give repeated results; an empty table gives
@@ -13,14 +14,18 @@ an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import json
 import mmap
 import os
-import re
 import struct
-from collections import Counter
+from collections.abc import Callable
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +52,16 @@ PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{NUMBER}+| ?[^{WHITE}{LETTE
 
 #: Most words of the lexicon; it bounds what the driver holds and the file that executors map.
 LEXICON_WORDS = 150_000
-#: Most entries of a Python worker's memo, and of the counter that a task keeps before it emits.
-MEMO_ENTRIES = 1_000_000
+#: Bytes of a pre-token beyond which it is not in the lexicon, and is merged with a heap, on its own.
+LONG_WORD = 64
+#: Most distinct words that a task holds before it emits their counts.
+TASK_WORDS = 500_000
+#: Rows and bytes of a batch that is encoded at a time; a longer text is a batch of its own.
+BATCH_ROWS = 1 << 14
+BATCH_BYTES = 4 << 20
+#: Stands for the rank of a pair that is not merged.
+_NONE = np.int32(1 << 30)
+_TABLE_BITS = 19
 
 
 def byte_letters() -> dict[int, str]:
@@ -58,6 +71,32 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large binary array, and where its values begin and end in them."""
+    _, offsets, data = array.buffers()
+    data = np.frombuffer(data, np.uint8) if data and data.size else np.empty(0, np.uint8)
+    return data, np.frombuffer(offsets, np.int64, len(array) + 1, 8 * array.offset) if len(array) else np.zeros(1, np.int64)
+
+
+def regrouped(array: pa.Array, counts: np.ndarray) -> pa.Array:
+    """Each `counts` consecutive values of a large binary array joined to one."""
+    _, offsets = raw(array)
+    ends = offsets[np.concatenate(([0], np.cumsum(counts)))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), array.buffers()[2] or pa.py_buffer(b"")])
+
+
+def as_binary(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Each `counts` consecutive ids as a value: little-endian unsigned 32-bit integers."""
+    ends = 4 * np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
+
+
+def by_place(first: pa.Array, second: pa.Array, in_first: np.ndarray) -> pa.Array:
+    """The values of two arrays in one order: in_first says from which array the next one comes."""
+    place = np.where(in_first, np.cumsum(in_first) - 1, len(first) + np.cumsum(~in_first) - 1)
+    return pa.concat_arrays([first, second]).take(pa.array(place, pa.int64()))
+
+
 class Vocabulary:
     """Ids, merge ranks and special tokens of a byte-level BPE file."""
 
@@ -67,31 +106,107 @@ class Vocabulary:
         ids, letters = spec["model"]["vocab"], byte_letters()
         byte_of = {c: b for b, c in letters.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in ids.items()}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        self.byte_ids = [ids[letters[b]] for b in range(256)]
-        self.merges = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[ids[a] << 32 | ids[b]] = rank << 32 | ids[a + b]
+        bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        #: The bytes of each id; the last entry stands for unknown ids.
+        self.tokens = pa.array([bytes_of.get(i, b"") for i in range(max(bytes_of) + 2)], pa.large_binary())
+        self.byte_ids = np.array([ids[letters[b]] for b in range(256)], np.int32)
+        pairs = [tuple(p) if isinstance(p, list) else p.split(" ") for p in spec["model"]["merges"]]
+        keys = np.array([ids[a] << 32 | ids[b] for a, b in pairs] or [0], np.int64)
+        #: By rank: what a pair becomes.
+        self.joined = np.array([ids[a + b] for a, b in pairs] or [0], np.int32)
+        self.order = np.argsort(keys, kind="stable").astype(np.int32)
+        self.keys = keys[self.order] if pairs else np.array([-1])
+        # A hash table of places in the sorted keys; a slot that several keys want is searched for instead.
+        slots, count = np.unique(self._slot(self.keys), return_counts=True)
+        self.table, self.crowded = np.zeros(1 << _TABLE_BITS, np.int32), np.zeros(1 << _TABLE_BITS, bool)
+        self.table[self._slot(self.keys)] = np.arange(len(self.keys))
+        self.crowded[slots[count > 1]] = True
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids."""
+        key = a.astype(np.int64) << 32 | b
+        slot = self._slot(key)
+        at = self.table[slot]
+        crowd = np.flatnonzero(self.crowded[slot])
+        at[crowd] = np.minimum(np.searchsorted(self.keys, key[crowd]), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.order[at], _NONE)
 
     def merge(self, word: bytes) -> list[int]:
-        """Ids of a pre-token: the pair of lowest rank is joined first, the leftmost of equals."""
-        get, none = self.merges.get, 1 << 63
-        ids = [self.byte_ids[b] for b in word]
-        best = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
-        while best:
-            low = min(best)
-            if low == none:
-                break
-            i = best.index(low)
-            joined = ids[i] = low & 0xFFFFFFFF
-            del ids[i + 1], best[i]
-            if i:
-                best[i - 1] = get(ids[i - 1] << 32 | joined, none)
-            if i < len(best):
-                best[i] = get(joined << 32 | ids[i + 1], none)
-        return ids
+        """Ids of one pre-token of any length: the pair of lowest rank is joined first, the leftmost of equals."""
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)]
+        n = len(ids)
+        rank = np.append(self.ranks(ids[:-1], ids[1:]), _NONE) if n else ids
+        # Ranks and places in one number; what has changed since it was put there is passed over.
+        heap = [r << 40 | i for i, r in enumerate(rank.tolist()) if r < _NONE]
+        heapq.heapify(heap)
+        none, ids, rank, after, before = int(_NONE), ids.tolist(), rank.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        joined, find = self.singly()
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & (1 << 40) - 1
+            if rank[i] != top >> 40:
+                continue
+            ids[i], gone = joined[rank[i]], after[i]
+            rank[gone], nxt = none, after[gone]
+            after[i] = nxt
+            if nxt < n:
+                before[nxt] = i
+            for left, right in ((before[i], i), (i, nxt)):
+                if left >= 0:
+                    rank[left] = r = find(ids[left] << 32 | ids[right], none) if right < n else none
+                    if r < none:
+                        heapq.heappush(heap, r << 40 | left)
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return out
+
+    @cache
+    def singly(self) -> tuple[list[int], Callable]:
+        """`joined` as a list, and the rank of a key, or else a default: for single pairs."""
+        return self.joined.tolist(), dict(zip(self.keys.tolist(), self.order.tolist())).get
+
+    def merge_all(self, words: pa.Array) -> pa.Array:
+        """The ids of many pre-tokens: each step joins in every word the pair that `merge` would join next."""
+        data, offsets = raw(words)
+        long = np.diff(offsets) > LONG_WORD
+        if long.any():
+            apart = [np.array(self.merge(w), np.int64) for w in words.filter(pa.array(long)).to_pylist()]
+            apart = as_binary(np.concatenate(apart), np.array([len(x) for x in apart]))
+            return by_place(apart, self.merge_all(pa.concat_arrays([words.filter(pa.array(~long))])), long)
+        ids = self.byte_ids[data[offsets[0] : offsets[-1]]]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(offsets))
+        rank = np.append(self.ranks(ids[:-1], ids[1:]), _NONE)[: len(ids)]
+        rank[:-1][word[:-1] != word[1:]] = _NONE
+        done_ids, done_word = [], []
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(ids))))
+            stay = best < _NONE
+            if not stay.all():
+                done_ids.append(ids[~stay])
+                done_word.append(word[~stay])
+                ids, word, rank, best = ids[stay], word[stay], rank[stay], best[stay]
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(rank == best)
+            hit = hit[np.concatenate(([True], word[hit[1:]] != word[hit[:-1]]))]
+            ids[hit] = self.joined[rank[hit]]
+            keep = np.ones(len(ids), bool)
+            keep[hit + 1] = False
+            ids, word, rank = ids[keep], word[keep], rank[keep]
+            at = hit - np.arange(len(hit))
+            for left in (at, at[at > 0] - 1):
+                right = np.minimum(left + 1, len(ids) - 1)
+                inside = (left < right) & (word[left] == word[right])
+                rank[left] = np.where(inside, self.ranks(ids[left], ids[right]), _NONE)
+        ids, word = np.concatenate([*done_ids, np.empty(0, np.int32)]), np.concatenate([*done_word, np.empty(0, np.int32)])
+        return as_binary(ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words)))
 
 
 def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> bytes:
@@ -143,17 +258,15 @@ def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> bytes:
             outputs.extend((len(out), *out))
         return pool[out]
 
-    first, ends, labels, targets, arc_outs = [0], [], bytearray(), [], []
-    for final, final_out, arcs in states:
+    ends, keys, targets, arc_outs = [], [], [], []
+    for at, (final, final_out, arcs) in enumerate(states):
         ends.append(pooled(final_out) + 1 if final else 0)
-        for label, target, out in arcs:
-            labels.append(label)
+        for label, target, out in sorted(arcs):
+            keys.append(at << 8 | label)
             targets.append(target)
             arc_outs.append(pooled(out))
-        first.append(len(labels))
-    ints = [*first, *ends, *targets, *arc_outs, *outputs]
-    head = struct.pack("<4I", len(states), root, len(labels), len(outputs))
-    return head + struct.pack(f"<{len(ints)}I", *ints) + bytes(labels)
+    head = struct.pack("<4I", len(states), root, len(keys), len(outputs))
+    return head + np.array([*keys, *targets, *arc_outs, *ends, *outputs], "<u4").tobytes()
 
 
 class Lexicon:
@@ -162,53 +275,95 @@ class Lexicon:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        n, self.root, arcs, outs = struct.unpack_from("<4I", self.map)
-        ints = memoryview(self.map)[16 : 16 + 4 * (2 * n + 1 + 2 * arcs + outs)].cast("I")
-        self.first, self.ends = ints[: n + 1], ints[n + 1 : 2 * n + 1]
-        self.targets, self.arc_outs = ints[2 * n + 1 : 2 * n + 1 + arcs], ints[2 * n + 1 + arcs : 2 * n + 1 + 2 * arcs]
-        self.outputs, self.labels = ints[2 * n + 1 + 2 * arcs :], 16 + 4 * len(ints)
-
-    def get(self, word: bytes) -> list[int] | None:
-        """The word's output, or None if the lexicon lacks it."""
-        state, ids, first, find, base = self.root, [], self.first, self.map.find, self.labels
-        outputs = self.outputs
-        for i in range(len(word)):
-            at = find(word[i : i + 1], base + first[state], base + first[state + 1])
-            if at < 0:
-                return None
-            at -= base
-            if out := self.arc_outs[at]:
-                ids += outputs[out + 1 : out + 1 + outputs[out]]
-            state = self.targets[at]
-        end = self.ends[state]
-        if not end:
-            return None
-        return ids + list(outputs[end : end + outputs[end - 1]])
+        states, self.root, arcs, outs = struct.unpack_from("<4I", self.map)
+        cuts = np.cumsum([arcs, arcs, arcs, states])
+        #: Of each arc: state << 8 | byte, in order; its target; its output's place in `outputs`, as of each state's end.
+        self.keys, self.targets, self.arc_outs, self.ends, self.outputs = np.split(np.frombuffer(self.map, "<u4", offset=16), cuts)
+
+    def lookup(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Which words it has, and the outputs of those."""
+        data, offsets = raw(words)
+        start, length = offsets[:-1], np.diff(offsets)
+        state, found = np.full(len(words), self.root, np.int64), np.zeros(len(words), bool)
+        alive, step = np.flatnonzero(length <= LONG_WORD), 0
+        of, outs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while len(alive):
+            ended = length[alive] == step
+            final = alive[ended]
+            end = self.ends[state[final]].astype(np.int64)
+            found[final] = end > 0
+            of.append(final[end > 1])
+            outs.append(end[end > 1] - 1)
+            alive = alive[~ended]
+            if not len(alive) or not len(self.keys):
+                break
+            key = (state[alive] << 8 | data[start[alive] + step]).astype(np.uint32)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            there = self.keys[at] == key
+            alive, at = alive[there], at[there]
+            state[alive] = self.targets[at]
+            out = self.arc_outs[at].astype(np.int64)
+            of.append(alive[out > 0])
+            outs.append(out[out > 0])
+            step += 1
+        of, outs = np.concatenate(of), np.concatenate(outs)
+        outs, of = outs[found[of]], of[found[of]]
+        order = np.argsort(of, kind="stable")
+        of, outs = of[order], outs[order]
+        # An output in the pool is its length and its ids.
+        n = self.outputs[outs].astype(np.int64)
+        at = np.repeat(outs + 1 - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
+        counts = np.bincount(of, n, minlength=len(words)).astype(np.int64)
+        return found, as_binary(self.outputs[at], counts[found])
 
 
 _SPLIT = regex.compile(PRE_TOKEN, flags=regex.V1)
-_WHITE_PAIR = regex.compile(rf"[{WHITE}]{{2}}")
 _CUT = regex.compile(rf"(?<=[^{WHITE}])(?=[ \n][^{WHITE}])", flags=regex.V1)
-_STOP_ALONE = re.compile(r"(?<![^\W_])[.,]")
 #: Begins a piece that stands in the text without a blank before it; texts with this character are one piece.
 _BARE = "\x01"
+# Patterns of Arrow's: texts that are cut with care; stops that don't follow a letter; pieces that are one pre-token.
+_WITH_CARE = rf"\x01|[{WHITE}]{{2}}".replace(r"\u2000-\u200a", r"\x{2000}-\x{200a}")
+for _code in ("1680", "2028", "2029", "202f", "205f", "3000"):
+    _WITH_CARE = _WITH_CARE.replace(rf"\u{_code}", rf"\x{{{_code}}}")
+_STOP_ALONE = "(?:^|[^0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,]"
+_ONE_WORD = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+
+
+def with_care(text: str) -> list[str]:
+    """The pieces of a text that has white space in a row or the mark of pieces."""
+    if _BARE in text:
+        return [_BARE + text]
+    first, *rest = _CUT.split(text)
+    return [_BARE + first, *(x[1:] if x[0] == " " else x for x in rest)]
+
+
+def after(prefix: str, texts: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(pa.scalar(prefix, texts.type), texts, pa.scalar("", texts.type))
 
 
-def pieces(text: str) -> list[str]:
-    """The text cut where a pre-token surely ends.
+def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts (large strings without nulls) cut where a pre-token surely ends, and each one's number of pieces.
 
     That is before a lone blank or line break between other characters, and before a full stop or comma that
     follows a letter or number. A piece that begins with _BARE or a line break stands in the text so (without
     _BARE); each other has a blank before it.
     """
-    if _BARE in text:
-        return [_BARE + text]
-    if _WHITE_PAIR.search(text) is not None:
-        first, *rest = _CUT.split(text)
-        return [_BARE + first, *(x[1:] if x[0] == " " else x for x in rest)]
-    if _STOP_ALONE.search(text) is None:
-        text = text.replace(".", " \x01.").replace(",", " \x01,")
-    return (_BARE + text.replace("\n", " \n")).split(" ")
+    careful = pc.match_substring_regex(texts, _WITH_CARE)
+    plain = texts.filter(pc.invert(careful))
+    stops = pc.replace_substring(pc.replace_substring(plain, ".", " \x01."), ",", " \x01,")
+    plain = pc.if_else(pc.match_substring_regex(plain, _STOP_ALONE), plain, stops)
+    plain = after(_BARE, pc.replace_substring(plain, "\n", " \n"))
+    cut = pc.split_pattern(plain, " ")
+    values, counts = cut.flatten(), pc.list_value_length(cut).to_numpy(zero_copy_only=False)
+    if len(plain) == len(texts):
+        return values, counts
+    # Rare: put in their places among the others.
+    apart = [with_care(t) for t in texts.filter(careful).to_pylist()]
+    careful = np.array(careful)
+    lengths = np.empty(len(texts), np.int64)
+    lengths[careful], lengths[~careful] = [len(x) for x in apart], counts
+    both = pa.array([p for x in apart for p in x], pa.large_string())
+    return by_place(both, values, np.repeat(careful, lengths)), lengths
 
 
 def in_text(piece: str) -> str:
@@ -216,75 +371,95 @@ def in_text(piece: str) -> str:
     return piece[1:] if piece[:1] == _BARE else piece if piece[:1] == "\n" else " " + piece
 
 
-class Memo(dict):
-    """Bounded: it is emptied when full."""
-
-    def __init__(self, compute):
-        self.compute = compute
-
-    def __missing__(self, key):
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        value = self[key] = self.compute(key)
-        return value
-
-
 class Encoder:
     """Texts to ids, as bytes of little-endian unsigned 32-bit integers."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.memo = Memo(lambda piece: self.ids(in_text(piece)))
         special = sorted(map(regex.escape, vocabulary.special), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(special) + ")") if special else None
 
-    def ids(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for token in _SPLIT.findall(piece):
-            word = token.encode()
-            found = self.lexicon.get(word) if self.lexicon else None
-            ids += self.vocabulary.merge(word) if found is None else found
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, text: str) -> bytes:
-        if self.special is None or self.special.search(text) is None:
-            return self.plain(text)
-        parts = self.special.split(text)
-        return b"".join(struct.pack("<I", self.vocabulary.special[x]) if i % 2 else self.plain(x) for i, x in enumerate(parts))
-
-    def plain(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, pieces(text)))
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def worker_encoder(lexicon: str, shared) -> Encoder:
-    """The Python worker's encoder for a lexicon; its tasks share it."""
-    if lexicon not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[lexicon] = Encoder(shared.value, Lexicon(SparkFiles.get(lexicon)))
-    return _ENCODERS[lexicon]
+    def of_tokens(self, tokens: pa.Array) -> pa.Array:
+        """The ids of each pre-token: from the lexicon, or merged."""
+        coded = tokens.dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary())
+        if self.lexicon is None:
+            return self.vocabulary.merge_all(words).take(coded.indices)
+        found, known = self.lexicon.lookup(words)
+        merged = self.vocabulary.merge_all(pa.concat_arrays([words.filter(pa.array(~found))]))
+        return by_place(known, merged, found).take(coded.indices)
+
+    def of_pieces(self, distinct: pa.Array) -> pa.Array:
+        """The ids of each piece."""
+        whole = pc.match_substring_regex(distinct, _ONE_WORD)
+        single = after(" ", distinct.filter(whole))
+        split = [_SPLIT.findall(in_text(p)) for p in distinct.filter(pc.invert(whole)).to_pylist()]
+        whole = np.array(whole, bool)
+        counts = np.ones(len(distinct), np.int64)
+        counts[~whole] = [len(x) for x in split]
+        tokens = by_place(single, pa.array([t for x in split for t in x], pa.large_string()), np.repeat(whole, counts))
+        return regrouped(self.of_tokens(tokens), counts)
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text (strings; null: empty)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        marked = np.zeros(len(texts), bool)
+        for token in self.vocabulary.special:
+            marked |= np.array(pc.match_substring(texts, token), bool)
+        if not marked.any():
+            return self.plain(texts)
+        apart = [self.special.split(t) for t in texts.filter(pa.array(marked)).to_pylist()]
+        between = self.plain(pa.array([p for x in apart for p in x[::2]], pa.large_string())).to_pylist()
+        special = [struct.pack("<I", self.vocabulary.special[p]) for x in apart for p in x[1::2]]
+        parts, between, special = [], iter(between), iter(special)
+        for x in apart:
+            parts.append(b"".join(next(special) if i % 2 else next(between) for i in range(len(x))))
+        return by_place(pa.array(parts, pa.large_binary()), self.plain(texts.filter(pa.array(~marked))), marked)
+
+    def plain(self, texts: pa.Array) -> pa.Array:
+        values, counts = pieces(texts)
+        coded = values.dictionary_encode()
+        return regrouped(self.of_pieces(coded.dictionary).take(coded.indices), counts)
+
+
+def decoded(tokens: pa.Array, ids: pa.Array) -> pa.Array:
+    """The bytes that each value of ids stands for; unknown ids stand for none."""
+    data, offsets = raw(ids)
+    numbers = data[offsets[0] : offsets[-1]].view("<u4")
+    return regrouped(tokens.take(pa.array(np.minimum(numbers, len(tokens) - 1))), np.diff(offsets) // 4)
+
+
+def as_utf8(data: bytes) -> bytes:
+    """The text of these bytes, wrong ones replaced."""
+    try:
+        data.decode()
+        return data
+    except UnicodeDecodeError:
+        return data.decode("utf-8", "replace").encode()
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """word (a piece of text, see `pieces`), n (long): how often each stands in the texts, all of them counted."""
+    """word (a piece of text, see `pieces`, of at most LONG_WORD bytes), n (long): how often each stands in the texts, all of them counted."""
 
     def partial(batches):
-        counts: Counter = Counter()
-
-        def emit():
-            out = pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
-            counts.clear()
-            return out
-
-        for batch in common.slices(batches):
-            for text in batch.column(0).to_pylist():
-                counts.update(pieces(text or ""))
-            if len(counts) > MEMO_ENTRIES:
-                yield emit()
-        yield emit()
-
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            whole = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+            held[:] = [whole]
+            return whole
+
+        for batch in common.slices(batches, BATCH_ROWS, BATCH_BYTES):
+            values, _ = pieces(pc.fill_null(batch.column(0).cast(pa.large_string()), ""))
+            words, n = values.filter(pc.less_equal(pc.binary_length(values), LONG_WORD)).value_counts().flatten()
+            held.append(pa.table({"word": words, "n": n}))
+            if sum(map(len, held)) > 2 * TASK_WORDS and len(whole := summed()) > TASK_WORDS:
+                held.clear()
+                yield from whole.cast(kinds).to_batches(TASK_WORDS // 8)
+        if held:
+            yield from summed().cast(kinds).to_batches(TASK_WORDS // 8)
+
+    kinds = pa.schema([("word", pa.string()), ("n", pa.int64())])
     return df.select(F.col(text_col).cast("string")).mapInArrow(partial, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -304,26 +479,36 @@ def frequent_words(df: DataFrame, text_col: str = "text", most: int = LEXICON_WO
 
 def build_lexicon(spark: SparkSession, vocabulary: Vocabulary, words: list[str]) -> str:
     """Compile the words' pre-tokens and hand the file to all executors; the name of the file."""
-    tokens = {token.encode() for word in words for token in _SPLIT.findall(in_text(word))}
-    compiled = compile_lexicon({t: tuple(vocabulary.merge(t)) for t in tokens})
+    tokens = sorted({token.encode() for word in words for token in _SPLIT.findall(in_text(word))})
+    ids = vocabulary.merge_all(pa.array(tokens, pa.large_binary())).to_pylist()
+    compiled = compile_lexicon({t: tuple(memoryview(i).cast("I")) for t, i in zip(tokens, ids) if len(t) <= LONG_WORD})
     return common.shared_file(spark, "lexicon.fst", compiled)
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def worker_encoder(lexicon: str, shared) -> Encoder:
+    """The Python worker's encoder for a lexicon; its tasks share it."""
+    if lexicon not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[lexicon] = Encoder(shared.value, Lexicon(SparkFiles.get(lexicon)))
+    return _ENCODERS[lexicon]
+
+
+def _prepared(df: DataFrame, vocabulary_path: str, text_col: str, most_words: int):
+    spark, vocabulary = df.sparkSession, Vocabulary(vocabulary_path)
+    return build_lexicon(spark, vocabulary, frequent_words(df, text_col, most_words)), spark.sparkContext.broadcast(vocabulary)
+
+
 def encode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = LEXICON_WORDS) -> DataFrame:
     """id_col, ids (binary: unsigned 32-bit integers, little-endian) of every row."""
-    spark, vocabulary = df.sparkSession, Vocabulary(vocabulary_path)
-    lexicon = build_lexicon(spark, vocabulary, frequent_words(df, text_col, most_words))
-    shared = spark.sparkContext.broadcast(vocabulary)
+    lexicon, shared = _prepared(df, vocabulary_path, text_col, most_words)
 
     def run(batches):
-        encoder = worker_encoder(lexicon, shared)
-        try:
-            for batch in common.slices(batches):
-                ids = [encoder.encode(text) if text else b"" for text in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
-        finally:
-            # The worker goes on to other stages, which need the memory.
-            encoder.memo.clear()
+        for batch in common.slices(batches, BATCH_ROWS, BATCH_BYTES):
+            ids = worker_encoder(lexicon, shared).encode(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids.cast(pa.binary())], names=["id", "ids"])
 
     plain = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return plain.mapInArrow(run, f"id {plain.schema['id'].dataType.simpleString()}, ids binary").withColumnRenamed("id", id_col)
@@ -331,42 +516,46 @@ def encode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
 
 def decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id") -> DataFrame:
     """id_col, n_tokens (long), ids, text: the ids' bytes as UTF-8, wrong bytes replaced; unknown ids are skipped."""
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path).bytes_of)
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path).tokens)
 
     def run(batches):
-        get = Memo(lambda _: b"")
-        get.update(shared.value)
-        for batch in common.slices(batches):
-            texts, counts = [], []
-            for ids in batch.column(1).to_pylist():
-                numbers = memoryview(ids or b"").cast("I")
-                counts.append(len(numbers))
-                texts.append(b"".join(map(get.__getitem__, numbers)).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), batch.column(1), pa.array(texts, pa.string())], names=["id", "n_tokens", "ids", "text"])
+        for batch in common.slices(batches, BATCH_ROWS, BATCH_BYTES):
+            ids = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
+            texts = pa.array([x.decode("utf-8", "replace") for x in decoded(shared.value, ids).to_pylist()], pa.string())
+            counts = pa.array(np.diff(raw(ids)[1]) // 4, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, batch.column(1), texts], names=["id", "n_tokens", "ids", "text"])
 
     plain = df.select(F.col(id_col).alias("id"), "ids")
     kind = plain.schema["id"].dataType.simpleString()
     return plain.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, text string").withColumnRenamed("id", id_col)
 
 
+def round_trip(docs: DataFrame, vocabulary_path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, from one pass; with keep_ids, also ids."""
+    lexicon, shared = _prepared(docs, vocabulary_path or default_vocabulary(), "text", LEXICON_WORDS)
+
+    def sha256(values: list[bytes]) -> pa.Array:
+        return pa.array([hashlib.sha256(x).hexdigest() for x in values], pa.string())
+
+    def run(batches):
+        for batch in common.slices(batches, BATCH_ROWS, BATCH_BYTES):
+            encoder = worker_encoder(lexicon, shared)
+            ids = encoder.encode(batch.column(1))
+            texts = decoded(encoder.vocabulary.tokens, ids)
+            columns = [batch.column(0), pa.array(np.diff(raw(ids)[1]) // 4, pa.int64()), sha256(ids.to_pylist()), sha256(map(as_utf8, texts.to_pylist()))]
+            yield pa.RecordBatch.from_arrays([*columns, *([ids.cast(pa.binary())] if keep_ids else [])], names=names)
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
+    plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    return plain.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+
+
 def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of every text of documents, as digests."""
     return round_trip(common.table(spark, sf_dir, "documents"))
 
 
-def round_trip(docs: DataFrame, vocabulary_path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with keep_ids, also ids."""
-    path = vocabulary_path or default_vocabulary()
-    decoded = decode(encode(docs, path), path)
-    return decoded.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-        *(["ids"] if keep_ids else []),
-    )
-
-
 def default_vocabulary() -> str:
     import public_tokenizers
 
