@@ -5,9 +5,11 @@ emits all other text: white space collapsed within lines, a blank line between b
 with bullets or numbers and indentation, table cells padded to aligned columns, preformatted text as it is.
 
 Defined cases: a null or empty page has an empty text; text outside any element is kept; unclosed elements end
-with the page; a drawing's labels stand on lines of their own, a formula's text stands in its line, without its
-annotations; an object's fallback is shown, as it does not load; elements nested deeper than DEPTH are flattened, their text kept; repeated rows are rendered each;
-an empty table gives an empty result; other columns are not read.
+with the page, and a tag that never closes is none, as are the characters after its `<`; a drawing's labels stand on
+lines of their own, a formula's text stands in its line, without its annotations; an object's fallback is shown, as
+it does not load; buttons show their value; cells that span columns or rows leave the places that they cover empty,
+and cells wider than WIDEST_CELL are not padded to; elements nested deeper than DEPTH are flattened, their text kept;
+repeated rows are rendered each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -53,8 +55,10 @@ ENDS = {
 #: What may stand in a head; any other element or text implies its end.
 HEAD = frozenset("head title meta link base script style noscript template".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"[\s/]*(=?[^\s=/>]+)(?:\s*(=)\s*)?")
+_SKIP = re.compile(r"[\s/]*")
+_UNQUOTED = re.compile(r"[^\s>]*")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -66,14 +70,74 @@ class Node:
         self.tag, self.attrs, self.children, self.role = tag, attrs, [], role
 
 
-def attributes(source: str) -> dict[str, str]:
-    return {name.lower(): unescape(value.strip("\"'")) for name, value in _ATTRIBUTE.findall(source)} if source and not source.isspace() else {}
+def attributes(html: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """A tag's attributes, the place after its end (-1 if it has none), and whether it closes itself; it only moves forward."""
+    found: dict[str, str] = {}
+    while True:
+        skipped = _SKIP.match(html, at)
+        at = skipped.end()
+        if at >= len(html):
+            return found, -1, False
+        if html[at] == ">":
+            return found, at + 1, skipped[0].endswith("/")
+        m = _ATTRIBUTE.match(html, at)
+        if not m:  # a lone =
+            at += 1
+            continue
+        name, at, value = m[1].lower(), m.end(), ""
+        if m[2] and html[at : at + 1] in ('"', "'"):
+            end = html.find(html[at], at + 1)
+            if end < 0:
+                return found, -1, False
+            value, at = html[at + 1 : end], end + 1
+        elif m[2]:
+            bare = _UNQUOTED.match(html, at)
+            value, at = bare[0], bare.end()
+        found.setdefault(name, unescape(value))
+
+
+def markup(html: str):
+    """(text, tag, attributes, closes itself) for each tag, comment or declaration, and the text after the last.
+
+    tag: its name, with / in front for an end tag; empty for what is no element. The caller may send a place to go on from.
+    """
+    at = start = 0
+    while True:
+        at = html.find("<", at)
+        if at < 0:
+            yield html[start:], "", {}, False
+            return
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 2)
+            end = len(html) if end < 0 else end + 3
+            tag, attrs, closed = "", {}, False
+        elif html[at + 1 : at + 2] in ("!", "?"):
+            end = html.find(">", at)
+            end = len(html) if end < 0 else end + 1
+            tag, attrs, closed = "", {}, False
+        elif m := _TAG.match(html, at):
+            attrs, end, closed = attributes(html, m.end())
+            if end < 0:
+                yield html[start:at], "", {}, False
+                return
+            tag = m[1] + m[2].lower()
+        else:
+            at += 1
+            continue
+        sent = yield html[start:at], tag, attrs, closed
+        at = start = end
+        if sent:
+            # The content of an element whose text is raw: up to its end tag.
+            found = re.compile(rf"</{re.escape(sent)}(?=[\s/>])", re.I).search(html, at)
+            stop = found.start() if found else len(html)
+            yield html[at:stop]
+            at = start = stop
 
 
 def build(html: str) -> Node:
     """The page's tree; strings are text. Implied: the ends of ENDS and of a head, rows around lone cells."""
     root = Node("html", {})
-    stack, at, raw_end = [root], 0, ""
+    stack = [root]
 
     def text(source: str) -> None:
         if source:
@@ -81,22 +145,11 @@ def build(html: str) -> Node:
                 stack.pop()
             stack[-1].children.append(source)
 
-    while at < len(html):
-        if raw_end:
-            end = re.compile(rf"</{re.escape(raw_end)}(?=[\s/>])", re.I).search(html, at)
-            stop = end.start() if end else len(html)
-            source = html[at:stop]
-            text(unescape(source) if raw_end in ("textarea", "title") else source)
-            at, raw_end = stop, ""
-            continue
-        m = _TOKEN.search(html, at)
-        if not m:
-            text(unescape(html[at:]))
-            break
-        text(unescape(html[at : m.start()]))
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
+    parts = markup(html)
+    for before, tag, attrs, closed in parts:
+        text(unescape(before))
+        if tag[:1] == "/":
+            tag = tag[1:]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -104,8 +157,7 @@ def build(html: str) -> Node:
                 # A cell's content does not end what is around the table.
                 if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
                     break
-        elif m[2]:
-            tag, attrs = m[2].lower(), attributes(m[3])
+        elif tag:
             if tag == "html":
                 root.attrs |= attrs
                 continue
@@ -128,20 +180,27 @@ def build(html: str) -> Node:
             around = next((n.tag for n in reversed(stack) if n.tag in FOREIGN), "") if tag in FOREIGN_NAMES else ""
             node = Node(tag, attrs, FOREIGN[around].get(tag, "") if around else "")
             stack[-1].children.append(node)
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+            if tag in VOID or closed and tag not in BLOCK and tag not in RAW:
                 continue
-            if tag in RAW:
-                raw_end = tag
             if len(stack) < DEPTH:
                 stack.append(node)
             elif tag in HIDDEN or not visible(node):
                 stack.append(node)
+            if tag in RAW:
+                source = parts.send(tag)
+                text(unescape(source) if tag in ("textarea", "title") else source)
     return root
 
 
+def button(node: Node) -> str:
+    """What an input of the kind of a button shows."""
+    kind = node.attrs.get("type", "").lower()
+    return node.attrs.get("value", "") if kind in ("button", "submit", "reset") else node.attrs.get("alt", "") if kind == "image" else ""
+
+
 def visible(node: Node) -> bool:
     attrs = node.attrs
-    return node.tag not in HIDDEN and node.role != "hidden" and not ("hidden" in attrs or _UNSEEN.search(attrs.get("style", "")) or node.tag == "input" or node.tag == "dialog" and "open" not in attrs)
+    return node.tag not in HIDDEN and node.role != "hidden" and not ("hidden" in attrs or _UNSEEN.search(attrs.get("style", "")) or node.tag == "input" and not button(node) or node.tag == "dialog" and "open" not in attrs)
 
 
 def width(text: str) -> int:
@@ -196,6 +255,8 @@ def _content(node: Node, out: Lines, stats: dict[str, int]) -> None:
             continue
         if tag == "br":
             out.end_line(forced=True)
+        elif tag == "input":
+            out.text(f" {button(child)} ")
         elif tag == "table":
             out.end_line(margin=True)
             stats["n_tables"] += 1
@@ -244,26 +305,21 @@ def _flat(node: Node) -> str:
 
 def _table(table: Node, stats: dict[str, int]) -> list[str]:
     """The table's rows, cells one above the other; captions and stray text come first."""
-    lines, rows, todo = [], [], list(table.children)
+    lines, rows, todo = [], [], [iter(table.children)]
+    covered: dict[int, int] = {}  # columns that a cell from above still covers, and for how many rows
     while todo:
-        child = todo.pop(0)
-        if isinstance(child, str):
+        child = next(todo[-1], None)
+        if child is None:
+            todo.pop()
+        elif isinstance(child, str):
             if text := _SPACES.sub(" ", child).strip():
                 lines.append(text)
         elif not visible(child):
             continue
         elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
-            todo[:0] = child.children
+            todo.append(iter(child.children))
         elif child.tag == "tr":
-            cells = []
-            for cell in child.children:
-                if isinstance(cell, str):
-                    if text := _SPACES.sub(" ", cell).strip():
-                        cells.append([text])
-                elif visible(cell):
-                    cells.append(render(cell, stats) if cell.tag in ("td", "th") else render(_wrap(cell), stats))
-                    span = cell.attrs.get("colspan", "")
-                    cells += [[]] * (min(int(span), 100) - 1 if re.fullmatch(r"[1-9]\d{0,2}", span) else 0)
+            cells = _row(child, covered, stats)
             if any(cells):
                 rows.append(cells)
         else:
@@ -279,6 +335,47 @@ def _table(table: Node, stats: dict[str, int]) -> list[str]:
     return lines
 
 
+def _span(node: Node, name: str, most: int) -> int:
+    """1000 columns and 65534 rows are the most that a cell may span."""
+    value = node.attrs.get(name, "")
+    return min(int(value), most) if re.fullmatch(r"0*[1-9]\d{0,8}", value) else 1
+
+
+def _row(row: Node, covered: dict[int, int], stats: dict[str, int]) -> list[list[str]]:
+    """The lines of each column's cell; columns that are covered are empty."""
+    cells: list[list[str]] = []
+    above, below = set(covered), {}
+
+    def skip() -> None:
+        while len(cells) in above:
+            cells.append([])
+
+    for cell in row.children:
+        if isinstance(cell, str):
+            lines = [text] if (text := _SPACES.sub(" ", cell).strip()) else None
+            across = down = 1
+        elif visible(cell):
+            own = cell.tag in ("td", "th")
+            lines = render(cell if own else _wrap(cell), stats)
+            across, down = (_span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)) if own else (1, 1)
+        else:
+            lines = None
+        if lines is not None:
+            skip()
+            for k in range(across):
+                if down > 1:
+                    below[len(cells)] = down - 1
+                cells.append(lines if not k else [])
+    for column in list(covered):
+        covered[column] -= 1
+        if not covered[column]:
+            del covered[column]
+    covered |= below
+    while cells and not cells[-1]:
+        cells.pop()
+    return cells
+
+
 def _wrap(node: Node) -> Node:
     around = Node("div", {})
     around.children.append(node)
