@@ -3,13 +3,15 @@
 Every document is taken as a mixture of languages that draws its character trigrams from the languages'
 trigram distributions. Expectation-maximisation estimates the proportions. The set of languages is selected by
 penalised likelihood: languages are added in the order of their weight in the full mixture as long as the
-likelihood gains more than `penalty` * ln(n) for n trigrams.
+likelihood gains more than PENALTY * ln(n) for n trigrams. Languages of less weight than LEAST_WEIGHT in the full
+mixture are not tried: a share that small is not told from noise.
 
-The distributions come from all labelled training rows: tasks count hashed trigrams, Spark adds the counts.
+The distributions come from all labelled training rows: tasks count hashed trigrams, Spark adds the counts. Every
+language is learned; more than MOST_LANGUAGES are an error, since the model would outgrow the driver and the workers.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; rows without a label are predicted
 but not learned from; with no labelled row at all everything is `und`; ties go to the language that comes first
-in the alphabet; repeated rows count and are predicted each; an empty table gives an empty result; other columns
+in the alphabet; a text is read in parts of bounded size; repeated rows count and are predicted each; an empty table gives an empty result; other columns
 are not read.
 """
 
@@ -24,34 +26,42 @@ from marlstone.llm import common
 
 #: Trigrams are hashed to so many numbers; the model has a row of them for each language.
 BUCKETS = 1 << 14
-#: Most languages that are learned: it bounds what the driver gathers and broadcasts.
-MOST_LANGUAGES = 256
+#: Languages of a model, each 64 KB: it bounds what the driver gathers and broadcasts.
+MOST_LANGUAGES = 1024
 ROUNDS = 12
 PENALTY = 4.0
+LEAST_WEIGHT = 0.02
+#: Languages that a task counts before it emits.
+TASK_LANGUAGES = 256
 #: Documents whose trigrams are counted at a time, and characters of them.
 GROUP, GROUP_CHARS = 64, 1 << 20
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Numbers of the trigrams of the lower-cased letters, where any other characters are one blank."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    # Letters: those of ASCII, and whatever lies beyond it but for the signs of Latin-1 and general punctuation.
-    letter = ((codes >= 97) & (codes <= 122)) | (codes == 0xAA) | (codes == 0xB5) | (codes == 0xBA) | ((codes >= 0xC0) & (codes != 0xD7) & (codes != 0xF7) & ((codes < 0x2000) | (codes > 0x206F)))
-    blank = ~letter
-    keep = letter.copy()
-    keep[1:] |= blank[1:] & letter[:-1]
-    codes = np.where(letter, codes, 32)[keep]
-    codes = np.concatenate(([32], codes, [32])).astype(np.uint32)
-    h = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA77) + codes[2:] * np.uint32(0xC2B2AE3D)
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x27D4EB2F)
-    return (h >> np.uint32(18)).astype(np.int64)
+def trigrams(text: str):
+    """Numbers of the trigrams of the lower-cased letters, where any other characters are one blank; part by part."""
+    last, blank = np.array([32], np.uint32), True
+    for at in range(0, max(len(text), 1), GROUP_CHARS):
+        codes = np.frombuffer(text[at : at + GROUP_CHARS].lower().encode("utf-32-le"), np.uint32)
+        # Letters: those of ASCII, and whatever lies beyond it but for the signs of Latin-1 and general punctuation.
+        letter = ((codes >= 97) & (codes <= 122)) | (codes == 0xAA) | (codes == 0xB5) | (codes == 0xBA) | ((codes >= 0xC0) & (codes != 0xD7) & (codes != 0xF7) & ((codes < 0x2000) | (codes > 0x206F)))
+        keep = letter.copy()
+        # A blank stands for the first of several other characters; the text begins and ends with one.
+        keep |= ~letter & np.concatenate(([not blank], letter))[:-1]
+        codes = np.concatenate((last, np.where(letter, codes, np.uint32(32))[keep]))
+        blank = not letter[-1] if len(letter) else blank
+        if at + GROUP_CHARS >= len(text):
+            codes = np.append(codes, np.uint32(32)) if not blank or len(codes) < 2 else codes
+        last = codes[-2:]
+        h = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA77) + codes[2:] * np.uint32(0xC2B2AE3D)
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x27D4EB2F)
+        yield (h >> np.uint32(18)).astype(np.int64)
 
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def learn(labelled: DataFrame, lang_col: str, text_col: str, most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
+def learn(labelled: DataFrame, lang_col: str, text_col: str) -> tuple[list[str], np.ndarray]:
     """Languages and the logarithms of their trigram probabilities, from all rows of `labelled`."""
 
     def partial(batches):
@@ -67,26 +77,27 @@ def learn(labelled: DataFrame, lang_col: str, text_col: str, most: int = MOST_LA
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if has_letter(text):
                     row = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                    grams = trigrams(text)
-                    if len(grams) < BUCKETS // 4:
-                        np.add.at(row, grams, 1)
-                    else:
-                        row += np.bincount(grams, minlength=BUCKETS)
-            if len(counts) > MOST_LANGUAGES:
+                    for grams in trigrams(text):
+                        if len(grams) < BUCKETS // 4:
+                            np.add.at(row, grams, 1)
+                        else:
+                            row += np.bincount(grams, minlength=BUCKETS)
+            if len(counts) > TASK_LANGUAGES:
                 yield from emit()
         yield from emit()
 
     plain = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     counts = plain.mapInArrow(partial, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = common.written(counts, "language-counts")
-    # The most frequent languages; at most BUCKETS rows of each come to the driver.
-    langs = [r[0] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()]
-    langs.sort()
-    table = np.zeros((len(langs), BUCKETS))
-    for lang, bucket, n in counts.filter(F.col("lang").isin(langs)).collect() if langs else ():
-        table[langs.index(lang), bucket] = n
+    langs = sorted(r[0] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; raise MOST_LANGUAGES, with 64 KB for each on the driver and in the workers")
+    table, number = np.zeros((len(langs), BUCKETS), np.float32), {lang: i for i, lang in enumerate(langs)}
+    # At most BUCKETS rows of each language; a partition at a time.
+    for lang, bucket, n in counts.toLocalIterator():
+        table[number[lang], bucket] = n
     table += 0.5
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    return langs, np.log(table / table.sum(axis=1, keepdims=True, dtype=np.float64)).astype(np.float32)
 
 
 class Mixture:
@@ -126,7 +137,7 @@ class Mixture:
         open_ = np.arange(size)
         for k in range(langs):
             # Add the k-th language of the full mixture where the set so far lacks it.
-            open_ = open_[full[open_, order[open_, k]] > 0.02]
+            open_ = open_[full[open_, order[open_, k]] > LEAST_WEIGHT]
             grow = open_[chosen[open_, order[open_, k]] == 0]
             if not len(grow):
                 if not len(open_):
@@ -163,9 +174,14 @@ def predict(docs: DataFrame, langs: list[str], log_p: np.ndarray, id_col: str =
                     chars += len(texts[usable[take]])
                     take += 1
                 group, usable = usable[:take], usable[take:]
-                grams = [trigrams(texts[i]) for i in group]
-                key = np.concatenate([g + k * BUCKETS for k, g in enumerate(grams)])
-                counts = np.bincount(key, minlength=len(group) * BUCKETS)
+                counts = np.zeros(len(group) * BUCKETS, np.int64)
+                for k, i in enumerate(group):
+                    for grams in trigrams(texts[i]):
+                        own = counts[k * BUCKETS : (k + 1) * BUCKETS]
+                        if len(grams) < BUCKETS // 4:
+                            np.add.at(own, grams, 1)
+                        else:
+                            own += np.bincount(grams, minlength=BUCKETS)
                 at = np.flatnonzero(counts)
                 weights[group] = mixture.infer(at // BUCKETS, at % BUCKETS, counts[at].astype(np.float64), len(group))
             best = weights.argmax(axis=1)
