@@ -1,19 +1,24 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text. A template and a block are sets of words; the join finds every pair in which the
-block contains at least `threshold` percent of the template's words. Words are ordered by their frequency in the
-whole corpus, rare ones first. A block that misses at most m of a template's words has one of its m + 1 rarest
-(prefix filter), has enough words at all (length filter), and has, from the place of the first shared word on,
-enough words left (positional filter). What passes is verified on the full sets.
+A template is a set of words. A block is a run of consecutive words of a text, across line ends, half as long again
+as the template at most; the join finds every template of which some block contains at least `threshold` percent of
+the words, among them those that tell the template from others (a version, a name), which the template lists. Words
+are ordered by their frequency in the whole corpus, rare ones first. A block that misses at most m of a template's
+words has one of its m + 1 rarest (prefix filter), the text has enough words of the template at all (length filter),
+and so it has from the place of the first shared word on (positional filter). What passes is verified on every block,
+with a window that slides over the places of the template's words.
 
 Besides, phrases are looked up as consecutive words of the whole text.
 
-Defined cases: a null text is an empty one and has no labels; repeated lines count once for labels; repeated rows
-are scanned each; ids may be null or repeated; an empty table gives an empty result; other columns are not read.
+Defined cases: a null text is an empty one and has no labels; of a template's equally good blocks the first is
+reported; a text that is shorter than a block is a block; repeated rows are scanned each; ids may be null or repeated;
+no templates, or an empty table, give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,20 +27,33 @@ from marlstone.llm import common
 
 #: Phrases whose words stand consecutively, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Templates: the wording of common notices and their labels.
+# The wording of common public licenses and notices, their labels, and the words that a block must have.
 TEMPLATES = [
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
+    ("mit", "Released under the MIT License.", "mit license"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so", "granted sublicense"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "fee"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0", "apache 2"),
+    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache"),
+    ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "gnu 2"),
+    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "gnu 3"),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3.", "gnu 3"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "gnu lesser"),
+    ("agpl-3", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "affero 3"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution binary"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "redistributions disclaimer"),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "mozilla 2"),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "eclipse 2"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", "unencumbered"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "alter freely"),
+    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "waiving"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", "cc nc"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0.", "cc sa"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "commons attribution"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "commons sharealike"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "commons noncommercial"),
 ]
-#: Most templates and words of all templates; the tables made of them are literals of the plan.
-MOST_TEMPLATES, MOST_TEMPLATE_WORDS = 1000, 50_000
+#: Templates that are scanned for together; more are scanned for in parts, one after the other.
+PART_TEMPLATES = 500
 
 # Bytes of a lower-cased text that belong to no word become blanks.
 _BLANKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -45,7 +63,7 @@ def normal(text: str | None) -> bytes:
     return (text or "").encode().lower().translate(_BLANKS)
 
 
-def word_frequency(docs: DataFrame, vocabulary: set[bytes], text_col: str = "text") -> dict[bytes, int]:
+def word_frequency(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str = "text") -> dict[bytes, int]:
     """In how many texts of the corpus each word of the vocabulary stands; the vocabulary bounds the result."""
 
     def partial(batches):
@@ -60,83 +78,109 @@ def word_frequency(docs: DataFrame, vocabulary: set[bytes], text_col: str = "tex
     return {bytes(w): n for w, n in counted.collect()}
 
 
+def block_words(n: int) -> int:
+    """The words of a block for a template of n words, repeated ones included."""
+    return n + n // 2
+
+
 class Templates:
     """The templates' words in global order, and an index of their prefixes."""
 
-    def __init__(self, templates: list[tuple[str, str]], threshold: int):
-        sets = [(label, frozenset(normal(text).split())) for label, text in templates]
-        if len(sets) > MOST_TEMPLATES or sum(len(s) for _, s in sets) > MOST_TEMPLATE_WORDS:
-            raise ValueError("too many templates for one scan; scan in parts")
-        self.sets = [(label, words) for label, words in sets if words]
-        self.vocabulary = frozenset().union(*(words for _, words in self.sets))
-        self.threshold, self.needed, self.prefix = threshold, [], {}
+    def __init__(self, templates: list[tuple[str, str, str]], threshold: int):
+        self.labels, self.sets, self.must, self.block = [], [], [], []
+        for label, text, must in templates:
+            parts = normal(text).split()
+            if parts:
+                self.labels.append(label)
+                self.sets.append(frozenset(parts))
+                self.must.append(frozenset(normal(must).split()))
+                self.block.append(block_words(len(parts)))
+        self.vocabulary = frozenset().union(*self.sets)
+        self.threshold, self.prefix = threshold, {}
+        self.needed = [-(-threshold * len(words) // 100) for words in self.sets]
 
     def order(self, frequency: dict[bytes, int]) -> Templates:
         """Rare words first; the index has each template under the words of its prefix, with the words' places."""
-        for t, (_, words) in enumerate(self.sets):
-            needed = -(-self.threshold * len(words) // 100)
-            self.needed.append(needed)
+        for t, words in enumerate(self.sets):
             ordered = sorted(words, key=lambda w: (frequency.get(w, 0), w))
-            for place, word in enumerate(ordered[: len(words) - needed + 1]):
+            for place, word in enumerate(ordered[: len(words) - self.needed[t] + 1]):
                 self.prefix.setdefault(word, []).append((t, place))
         return self
 
-    def matches(self, block: frozenset[bytes]) -> dict[int, float]:
-        """Every template that the block contains to the threshold, and how far."""
-        found: dict[int, float] = {}
+    def matches(self, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(template, first word of its best block, words of the template in it) of every template that matches."""
+        have = self.vocabulary.intersection(words)
         tried: dict[int, int] = {}
-        for word in self.prefix.keys() & block:
+        for word in have & self.prefix.keys():
             for t, place in self.prefix[word]:
                 tried[t] = min(place, tried.get(t, place))
-        for t, place in tried.items():
-            words, needed = self.sets[t][1], self.needed[t]
+        found = []
+        places: dict[bytes, list[int]] = {}
+        for t, place in sorted(tried.items()):
+            own, needed = self.sets[t], self.needed[t]
             # Length; then position: the words before the first shared one are missing.
-            if len(block) < needed or len(words) - place < needed:
+            if len(own & have) < needed or len(own) - place < needed or not self.must[t] <= have:
                 continue
-            both = len(words & block)
-            if both >= needed:
-                found[t] = both / len(words)
+            if not places:
+                for i, w in enumerate(words):
+                    if w in have:
+                        places.setdefault(w, []).append(i)
+            best = self._best_block(t, sorted((i, w) for w in own & have for i in places[w]))
+            if best:
+                found.append((t, *best))
         return found
 
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: int = 80) -> DataFrame:
-    """id_col, n_words, phrase_places (array<struct<label, word>>), blocks (array<struct<line, label, containment>>)."""
-    index = Templates(templates, threshold)
-    index.order(word_frequency(docs, set(index.vocabulary), text_col))
+    def _best_block(self, t: int, places: list[tuple[int, bytes]]) -> tuple[int, int] | None:
+        """A block may as well begin with a word of the template: its first word, and how many of the words it has."""
+        inside: Counter = Counter()
+        end, best = 0, (0, 0)
+        must = self.must[t]
+        for start, word in places:
+            while end < len(places) and places[end][0] < start + self.block[t]:
+                inside[places[end][1]] += 1
+                end += 1
+            if len(inside) > best[1] and must <= inside.keys():
+                best = (start, len(inside))
+            inside[word] -= 1
+            if not inside[word]:
+                del inside[word]
+        return best if best[1] >= self.needed[t] else None
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str, str]] = TEMPLATES, threshold: int = 80) -> DataFrame:
+    """id_col, n_words, phrase_places (array<struct<label, word>>), blocks (array<struct<word, label, containment>>)."""
+    parts = []
+    for at in range(0, max(len(templates), 1), PART_TEMPLATES):
+        index = Templates(templates[at : at + PART_TEMPLATES], threshold)
+        parts.append(index.order(word_frequency(docs, index.vocabulary, text_col)))
     wanted = [(f" {phrase} ".encode(), label) for phrase, label in phrases.items()]
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
     place_type = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
-    block_type = pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
+    block_type = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
 
     def run(batches):
-        index = shared.value
+        parts = shared.value
         for batch in common.slices(batches):
             counts, places, blocks = [], [], []
             for text in batch.column(1).to_pylist():
-                data = normal(text)
-                words = data.split()
+                words = normal(text).split()
                 counts.append(len(words))
                 joined = b" " + b" ".join(words) + b" "
                 found = []
                 for phrase, label in wanted:
-                    at = joined.find(phrase)
+                    at, last, word = joined.find(phrase), 0, 0
                     while at >= 0:
-                        found.append({"label": label, "word": joined.count(b" ", 0, at)})
+                        word += joined.count(b" ", last, at)
+                        last = at
+                        found.append({"label": label, "word": word})
                         at = joined.find(phrase, at + 1)
                 places.append(found)
-                hits = []
-                # Only texts with a word of some prefix are cut into blocks.
-                if not index.prefix.keys().isdisjoint(words):
-                    for line, block in enumerate((text or "").split("\n")):
-                        parts = frozenset(normal(block).split())
-                        if not index.prefix.keys().isdisjoint(parts):
-                            hits += [{"line": line, "label": index.sets[t][0], "containment": c} for t, c in sorted(index.matches(parts).items())]
-                blocks.append(hits)
+                blocks.append([{"word": w, "label": index.labels[t], "containment": n / len(index.sets[t])} for index in parts for t, w, n in index.matches(words)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(places, place_type), pa.array(blocks, block_type)], names=["id", "n_words", "phrase_places", "blocks"])
 
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_words long, phrase_places array<struct<label string, word long>>, blocks array<struct<line long, label string, containment double>>"
+    schema = f"id {kind}, n_words long, phrase_places array<struct<label string, word long>>, blocks array<struct<word long, label string, containment double>>"
     return plain.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
