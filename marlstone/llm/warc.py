@@ -1,13 +1,14 @@
 """WARC archives: writing, and a reader that salvages what damage has left.
 
-The writer makes one record per page and lets Spark's text writer join them with the blank lines that end a
-record, so the part files of the folder are archives. Of pages with equal payloads, the one with the largest
-page id is stored as a response and the others as revisits that refer to it.
+The writer makes one record per page. Each record is a gzip member of its own, so that damage to one costs no other;
+tasks pack members into parts of bounded size, and Spark's text writer writes a bounded number of parts to a file.
+Of pages with equal payloads, the one with the largest page id is stored as a response and the others as revisits
+that refer to it.
 
-The reader takes whole archive files, plain, gzip as one member, or gzip by record. A record is accepted if its
-version line, its headers, its length, the blank lines after it and, where its payload is there, its digest are
-right. After a failed check the reader searches for the next member or version line from the byte after, resumes
-there, and logs the gap that it left out. Bytes are never skipped without a log entry.
+The reader takes archive files, plain, gzip as one member, or gzip by record, and yields records as it goes. A record
+is accepted if its version line, its headers, its type, its length, the blank lines after it and, where its payload is
+there, its digest are right. After a failed check the reader searches for the next member or version line from the
+byte after, resumes there, and logs the gap that it left out. Bytes are never skipped without a log entry.
 
 Defined cases: a null payload is an empty one; a page without id is a response of its own; a null url is written
 as an empty one, and line breaks in urls are percent-encoded; pages that share an id and a payload are each
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import common
 
-#: Records of an archive file at most, so that a file fits into a task's memory.
-FILE_RECORDS = 2000
+#: Bytes of compressed records that make a part, and parts of a file: a task reads a file whole. A longer record is a part.
+PART_BYTES, FILE_PARTS = 4 << 20, 8
+#: Bytes of payloads that the reader holds before it hands records on.
+READ_BYTES = 8 << 20
 #: Rows of the table of repeated payloads up to which it is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
-RECORD_END = "\r\n\r\n"
+RECORD_END = b"\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -87,10 +90,31 @@ def record_text(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, compression: str = "gzip") -> None:
-    """Write the pages as archives into the folder `path`."""
-    records = record_text(plan_records(pages, id_col, url_col, payload_col, least_bytes))
-    records.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", compression).text(path)
+def _gzip_member(data: bytes) -> bytes:
+    packer = zlib.compressobj(6, wbits=31)
+    return packer.compress(data) + packer.flush()
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> None:
+    """Write the pages as archives, gzip by record, into the folder `path`."""
+
+    def members(batches):
+        held, size = [], 0
+        for batch in common.slices(batches):
+            for value in batch.column(0).to_pylist():
+                held.append(_gzip_member(value.encode() + RECORD_END))
+                size += len(held[-1])
+                if size >= PART_BYTES:
+                    yield pa.RecordBatch.from_pydict({"value": pa.array([b"".join(held)], pa.binary())})
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict({"value": pa.array([b"".join(held)], pa.binary())})
+
+    records = record_text(plan_records(pages, id_col, url_col, payload_col, least_bytes)).mapInArrow(members, "value binary")
+    # The writer puts a separator after each part: a member without content, its bytes as letters of Latin-1.
+    separator = _gzip_member(b"").decode("latin-1")
+    writer = records.select(F.col("value").cast("string")).write.option("lineSep", separator).option("encoding", "ISO-8859-1")
+    writer.option("compression", "none").option("maxRecordsPerFile", FILE_PARTS).text(path)
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -98,16 +122,17 @@ _GZIP = b"\x1f\x8b\x08"
 _FIELDS = ("record_type", "record_id", "url", "date", "page_id", "refers_to", "payload_bytes", "payload_digest")
 
 
-def inflate(data: bytes) -> tuple[bytes, list[tuple[int, int, str]]]:
-    """The bytes of all gzip members that can be read, and gaps (from, to, why) of those that can't.
+def inflate(data: bytes):
+    """For each run of the file: the bytes that its member gives, and a gap (from, to, why) where it can't be read.
 
     Where a member breaks off, its readable beginning is kept: its records are checked one by one.
     """
-    out, gaps, at = [], [], 0
+    at = 0
     while at < len(data):
+        out, fault = b"", "no gzip member"
         if data[at : at + 3] == _GZIP:
             member = zlib.decompressobj(31)
-            pieces, fault = [], ""
+            pieces, fault = [], "gzip member ends early"
             try:
                 # Small steps keep what was read before a fault.
                 for step in range(at, len(data), 1 << 16):
@@ -116,20 +141,15 @@ def inflate(data: bytes) -> tuple[bytes, list[tuple[int, int, str]]]:
                         break
             except zlib.error as error:
                 fault = str(error)
+            out = b"".join(pieces)
             if member.eof:
-                out += pieces
+                yield out, None
                 at = min(step + (1 << 16), len(data)) - len(member.unused_data)
                 continue
-            out += pieces
-            after = data.find(_GZIP, at + 1)
-            after = len(data) if after < 0 else after
-            gaps.append((at, after, fault or "gzip member ends early"))
-        else:
-            after = data.find(_GZIP, at + 1)
-            after = len(data) if after < 0 else after
-            gaps.append((at, after, "no gzip member"))
+        after = data.find(_GZIP, at + 1)
+        after = len(data) if after < 0 else after
+        yield out, (at, after, f"compressed: {fault}")
         at = after
-    return b"".join(out), gaps
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict, int]:
@@ -153,6 +173,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("no blank lines at the stated end")
     kind, block = headers.get("warc-type"), data[start:stop]
+    if not kind:
+        raise ValueError("no type")
     payload = block.partition(b"\r\n\r\n")[2] if "application/http" in headers.get("content-type", "") else block
     digest = headers.get("warc-payload-digest", "").rpartition(":")[2]
     numbers = {k: int(v) for k, v in headers.items() if k.startswith("x-") and re.fullmatch(r"-?\d+", v)}
@@ -167,23 +189,44 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     return record, stop + 4
 
 
-def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
-    """All records that pass the checks, and the quarantined gaps (from, to, why) in the bytes that were read."""
-    gaps = []
-    if data.startswith(_GZIP) or _GZIP in data and not _VERSION.search(data):
-        data, gaps = inflate(data)
-        gaps = [(a, b, f"compressed: {why}") for a, b, why in gaps]
-    records, at = [], 0
+def _records(data: bytes, base: int, more: bool):
+    """Records and gaps of plain bytes from `base` of the archive on; at last how many bytes a later part may complete."""
+    at = 0
     while at < len(data):
         try:
-            record, at = parse_record(data, at)
-            records.append(record)
+            record, after = parse_record(data, at)
+            yield record, None
         except ValueError as error:
             found = _VERSION.search(data, at + 1)
+            if more and not found and (_VERSION.match(data, at) or len(data) - at < 10):
+                break
             after = found.start() if found else len(data)
-            gaps.append((at, after, str(error)))
-            at = after
-    return records, gaps
+            yield None, (base + at, base + after, str(error))
+        at = after
+    yield None, at
+
+
+def salvage(data: bytes):
+    """(record, None) for each record that passes the checks, (None, gap) for each quarantined gap (from, to, why).
+
+    Places are those in the uncompressed archive, or in the file where its compression fails.
+    """
+    packed = data.startswith(_GZIP) or _GZIP in data and not _VERSION.search(data)
+    rest, base = b"", 0
+    for part, gap in inflate(data) if packed else [(data, None)]:
+        rest += part
+        if not rest:
+            yield from [(None, gap)] if gap else []
+            continue
+        # A record may go on in the next member, unless this one has broken off.
+        *found, (_, done) = _records(rest, base, packed and gap is None)
+        yield from found
+        rest, base = rest[done:], base + done
+        if gap:
+            yield None, gap
+    if rest:
+        *found, _ = _records(rest, base, False)
+        yield from found
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -194,18 +237,26 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """
     kinds = {"payload_bytes": pa.int64(), "page_id": pa.int64(), "refers_to": pa.int64()}
 
+    def table(name: str, rows: list[dict]) -> pa.RecordBatch:
+        out = {"path": pa.array([name] * len(rows), pa.string())}
+        out |= {f: pa.array([r[f] for r in rows], kinds.get(f, pa.string())) for f in _FIELDS}
+        out["payload"] = pa.array([r["payload"] for r in rows], pa.binary())
+        for i, (f, kind) in enumerate((("gap_from", pa.int64()), ("gap_to", pa.int64()), ("gap_reason", pa.string()))):
+            out[f] = pa.array([r["gap"][i] for r in rows], kind)
+        return pa.RecordBatch.from_pydict(out)
+
     def run(batches):
         for batch in common.slices(batches, 1):
-            name, data = batch.column(0)[0].as_py(), batch.column(1)[0].as_py() or b""
-            records, gaps = salvage(data)
-            rows = [r | {"gap": (None, None, None)} for r in records]
-            rows += [dict.fromkeys((*_FIELDS, "payload")) | {"record_type": "gap", "gap": g} for g in gaps]
-            out = {"path": pa.array([name] * len(rows), pa.string())}
-            out |= {f: pa.array([r[f] for r in rows], kinds.get(f, pa.string())) for f in _FIELDS}
-            out["payload"] = pa.array([r["payload"] if payloads else None for r in rows], pa.binary())
-            for i, (f, kind) in enumerate((("gap_from", pa.int64()), ("gap_to", pa.int64()), ("gap_reason", pa.string()))):
-                out[f] = pa.array([r["gap"][i] for r in rows], kind)
-            yield pa.RecordBatch.from_pydict(out)
+            name, held, size = batch.column(0)[0].as_py(), [], 0
+            for record, gap in salvage(batch.column(1)[0].as_py() or b""):
+                if gap:
+                    record = dict.fromkeys((*_FIELDS, "payload")) | {"record_type": "gap"}
+                held.append(record | {"gap": gap or (None, None, None)} | ({} if payloads else {"payload": None}))
+                size += 1000 + len(held[-1]["payload"] or b"")
+                if size >= READ_BYTES:
+                    yield table(name, held)
+                    held, size = [], 0
+            yield table(name, held)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     fields = ", ".join(f"{f} {'long' if f in kinds else 'string'}" for f in _FIELDS)
@@ -213,7 +264,10 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 
 def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written and read back; a gap in archives that were just written is an error, not a lost page."""
     folder = f"{common.shared_dir(spark, 'warc')}/archives"
     write_archives(common.table(spark, sf_dir, "pages"), folder)
-    records = read_archives(spark, folder, payloads=False).filter("record_type <> 'gap'")
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = read_archives(spark, folder, payloads=False)
+    gap = F.concat_ws(" ", F.lit("gap in"), "path", "gap_from", "gap_to", "gap_reason")
+    kind = F.when(F.col("record_type") == "gap", F.raise_error(gap).cast("string")).otherwise(F.col("record_type"))
+    return records.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
