@@ -1,9 +1,9 @@
 """Quality rules with a bitmask ledger.
 
 Every rule is evaluated once per document. The ledger keeps what was measured and one bit per failed rule, so a
-policy is a mask: a document passes a policy if no bit of the mask is set. Policies have versions and can be
-applied, changed and compared without reading a text again; ablations (what each rule alone removes, what would
-come back without it) are bitwise aggregations over the ledger.
+policy is a mask: a document passes a policy if no bit of the mask is set. The ledger is a stored table: policies
+have versions and are applied, changed and compared by it, without reading a text again; ablations (what each rule
+fails, and what would come back without it) are bitwise aggregations over it.
 
 Defined cases: a null or empty text has no words, measures zero and fails `few_words`; repeated rows are
 measured each; an empty table gives an empty ledger; other columns are not read.
@@ -38,6 +38,7 @@ POLICIES: dict[str, tuple[str, ...]] = {
     "web-1": ("few_words", "repeated_words", "mean_word_length", "symbols"),
     "web-2": ("few_words", "repeated_words", "mean_word_length", "symbols", "repeated_lines", "not_alphabetic"),
 }
+NEWEST = "web-2"
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -122,8 +123,18 @@ def ablations(ledger_df: DataFrame, policy: str) -> DataFrame:
     return each.groupBy(F.col("r.rule").alias("rule")).agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("failed"), F.sum(F.when(alone, F.col("n")).otherwise(0)).alias("removed_alone"))
 
 
+def restoring_rule(policy: str, bits: str = "fail_bits") -> Column:
+    """The rule without which a document that the policy removes would be kept, or null."""
+    own = F.col(bits).bitwiseAND(F.lit(mask(policy)))
+    cases = [F.when(own == 1 << i, name) for i, (name, _) in enumerate(RULES) if name in POLICIES[policy]]
+    return F.coalesce(*cases)
+
+
 def op9_rule_bitmask_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(common.table(spark, sf_dir, "documents"))
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base-1")).alias("base_failed"), passes("web-2").alias("kept"), "fail_bits"
-    )
+    """The ledger of all documents, each policy's verdict, and the ablation of the rule that alone removes a document."""
+    stored = common.written(ledger(common.table(spark, sf_dir, "documents")), "quality-ledger")
+    rules = F.broadcast(ablations(stored, NEWEST).select(F.col("rule").alias("only_rule"), F.col("removed_alone").alias("n_only_rule")))  # a row for each rule
+    verdicts = [passes(p).alias("kept_" + p.replace("-", "_")) for p in POLICIES if p != NEWEST]
+    rows = stored.withColumn("only_rule", restoring_rule(NEWEST)).join(rules, "only_rule", "left")
+    measures = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select(*measures, (~passes("base-1")).alias("base_failed"), passes(NEWEST).alias("kept"), "fail_bits", *verdicts, "only_rule", "n_only_rule")
