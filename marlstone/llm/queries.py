@@ -68,24 +68,36 @@ b AS (
   SELECT *, CAST((n_words < 10) AS BIGINT) + 2 * CAST((100 * n_repeat_words > 20 * n_words) AS BIGINT)
     + 4 * CAST((word_chars > 30 * n_words OR word_chars < n_words * 2) AS BIGINT) + 8 * CAST((2 * n_symbols > n_words) AS BIGINT)
     + 16 * CAST((2 * n_dup_lines > n_lines) AS BIGINT) + 32 * CAST((2 * n_alpha_words < n_words) AS BIGINT)
-    + 64 * CAST((n_words > 1000000) AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & 63 = 0 AS kept, fail_bits FROM b
+    + 64 * CAST((n_words > 1000000) AS BIGINT) AS fail_bits FROM m),
+o AS (
+  SELECT *, CASE fail_bits & 63 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'mean_word_length' WHEN 8 THEN 'symbols'
+    WHEN 16 THEN 'repeated_lines' WHEN 32 THEN 'not_alphabetic' END AS only_rule FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & 63 = 0 AS kept, fail_bits,
+  fail_bits & 3 = 0 AS kept_base_1, fail_bits & 15 = 0 AS kept_web_1, only_rule,
+  CASE WHEN only_rule IS NOT NULL THEN count(*) OVER (PARTITION BY only_rule) END AS n_only_rule
+FROM o
 """
 
 #: The templates as SQL values, made from the operator's own list.
-_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(license.TEMPLATES))
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', '{text}', '{must}')" for i, (label, text, must) in enumerate(license.TEMPLATES))
 _NORMAL = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+# Blocks are compared from every word of a template on, in documents that have its listed words.
 OP6_SQL = f"""
-WITH t(i, label, text) AS (VALUES {_TEMPLATE_ROWS}),
-ts AS (SELECT i, label, list_distinct({_NORMAL.format("text")}) AS tw FROM t),
-d AS (SELECT doc_id, coalesce(text, '') AS text, {_NORMAL.format("coalesce(text, '')")} AS ws FROM documents),
+WITH t(i, label, text, must) AS (VALUES {_TEMPLATE_ROWS}),
+ts AS (
+  SELECT i, label, list_distinct(tw) AS tw, string_split(must, ' ') AS must, len(tw) + len(tw) // 2 AS block
+  FROM (SELECT *, {_NORMAL.format("text")} AS tw FROM t)),
+d AS (SELECT doc_id, {_NORMAL.format("coalesce(text, '')")} AS ws FROM documents),
 ph(phrase, label) AS (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc')),
 places AS (
   SELECT doc_id, label, k FROM (SELECT doc_id, ws, label, phrase, unnest(range(1, len(ws) + 1)) AS k FROM d, ph) WHERE ws[k : k + len(phrase) - 1] = phrase),
 base AS (SELECT doc_id, count(*) AS n, min(k) - 1 AS first_word, max(k) - 1 AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
-b AS (SELECT doc_id, list_distinct({_NORMAL.format("line")}) AS bw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+c AS (SELECT doc_id, i, label, tw, must, block, ws FROM d, ts WHERE list_has_all(ws, must) AND 100 * len(list_intersect(ws, tw)) >= 80 * len(tw)),
+b AS (
+  SELECT doc_id, label, tw, must, ws[k : k + block - 1] AS bw
+  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM c) WHERE list_contains(tw, ws[k])),
 hit AS (
-  SELECT doc_id, label, len(list_intersect(bw, tw)) / len(tw) AS c FROM b, ts WHERE 100 * len(list_intersect(bw, tw)) >= 80 * len(tw)),
+  SELECT doc_id, label, len(list_intersect(bw, tw)) / len(tw) AS c FROM b WHERE list_has_all(bw, must) AND 100 * len(list_intersect(bw, tw)) >= 80 * len(tw)),
 method AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS score FROM hit GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, base.first_word, base.last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
