@@ -4,13 +4,16 @@ An item of m characters that stands in a text with at most e edits shares at lea
 q-grams with the text, and their diagonals (place in the text less place in the item) lie within e of each other.
 The first stage looks up every q-gram of every whole text, counts distinct item q-grams in overlapping bands of
 diagonals, of width 2 * (e + 1) and e + 1 apart, and retains the bands that meet the bound; none within the budget
-is missed. The second stage, dealt out anew, verifies each region by banded alignment.
+is missed. The second stage, dealt out anew, verifies each region by banded alignment. The budget is a tenth of the
+item's characters for every length: q is 8 for items of some 70 characters or more, and smaller for shorter ones, so
+that the bound stays positive. Long texts are looked up in overlapping parts.
 
 Texts and items are compared in lower case with white space as single blanks. The benchmark is the query set: it is
-broadcast in blocks of bounded size, each against all texts.
+broadcast in blocks of bounded size, each against all texts; a block is let go when its matches are written.
 
-Defined cases: null or empty texts and items match nothing; an item shorter than q has no budget and is searched for
-as it is; repeated items or rows are reported once for each pair of ids; matches of a row without id have a null id;
+Defined cases: null or empty texts and items match nothing; an item of less than ten characters has no budget, and one
+shorter than q is searched for as it is; repeated items or rows are reported once for each pair of ids; of several
+places with equally few edits the region that starts first is reported; matches of a row without id have a null id;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -23,11 +26,12 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import common, words
 
-Q = 8
+#: Lengths of q-grams, and the shared ones that an item's bound should be at least, if any length allows it.
+GRAMS, ENOUGH = (8, 7, 6, 5, 4, 3, 2), 3
 #: Edits allowed, in percent of the item's characters.
 EDIT_PERCENT = 10
-#: Characters of the benchmark that are broadcast at a time.
-BLOCK_CHARS = 4_000_000
+#: Characters of the benchmark that are broadcast at a time, and of a text that are looked up at a time.
+BLOCK_CHARS, PART_CHARS = 1_000_000, 1 << 20
 _TABLE_BITS = 20
 
 
@@ -35,50 +39,66 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def gram_hashes(text: str) -> np.ndarray:
-    return words.sequence_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64), Q)
+def gram_hashes(text: str, q: int) -> np.ndarray:
+    return words.sequence_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64), q)
 
 
-class Items:
-    """The q-grams of a block of items."""
+def bound(length: int, edits: int, q: int) -> int:
+    """The q-grams that a text shares with an item that stands in it with so many edits, at least."""
+    return length + 1 - q * (edits + 1)
 
-    def __init__(self, items: list[tuple[int, str]], edit_percent: int):
-        self.ids = [i for i, _ in items]
-        self.texts = [t for _, t in items]
-        length = np.array([len(t) for t in self.texts], np.int64)
-        # As many edits as the lemma can bound at all, at most.
-        self.edits = np.maximum(0, np.minimum(length * edit_percent // 100, length // Q - 1))
-        self.least = length + 1 - Q * (self.edits + 1)
-        self.short = [k for k, t in enumerate(self.texts) if 0 < len(t) < Q]
-        grams = [gram_hashes(t) for t in self.texts]
+
+def gram_length(length: int, edits: int) -> int:
+    """The longest q with a good bound, or else the longest with any."""
+    for least in (ENOUGH, 1):
+        for q in GRAMS:
+            if q <= length and bound(length, edits, q) >= least:
+                return q
+    return 1
+
+
+class Grams:
+    """The q-grams of items of one q."""
+
+    def __init__(self, q: int, numbers: list[int], texts: list[str], edits: np.ndarray):
+        self.q, length = q, np.array([len(t) for t in texts], np.int64)
+        self.numbers, self.edits = np.array(numbers, np.int64), edits
+        self.least = bound(length, edits, q)
+        self.fewest, self.longest = int(self.least.min()), int((length + 2 * edits).max())
+        grams = [gram_hashes(t, q) for t in texts]
         counts = np.array([len(g) for g in grams], np.int64)
-        item = np.repeat(np.arange(len(items)), counts)
+        item = np.repeat(np.arange(len(texts)), counts)
         place = np.concatenate([np.arange(n) for n in counts] + [np.empty(0, np.int64)]).astype(np.int64)
         every = np.concatenate([*grams, np.empty(0, np.uint64)])
         order = np.argsort(every, kind="stable")
-        self.item, self.place = item[order], place[order]
+        self.item, self.place = item[order].astype(np.int32), place[order].astype(np.int32)
         self.grams, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[self.grams >> np.uint64(64 - _TABLE_BITS)] = True
-        self.fewest = int(self.least[length >= Q].min()) if (length >= Q).any() else None
 
     def regions(self, text: str) -> list[tuple[int, int, int]]:
         """(item, lowest and highest diagonal) of every band that meets its item's bound."""
-        found = [(k, at, at) for k in self.short if (at := text.find(self.texts[k])) >= 0]
-        if self.fewest is None or len(text) < Q:
-            return found
-        h = gram_hashes(text)
+        found, step = [], max(PART_CHARS, 2 * self.longest)
+        for at in range(0, max(len(text) - self.longest, 0) + 1, step):
+            part = text if len(text) <= step else text[at : at + step + self.longest]
+            found += [(k, low + at, high + at) for k, low, high in self._part(part)]
+        return found
+
+    def _part(self, text: str) -> list[tuple[int, int, int]]:
+        if len(text) < self.q:
+            return []
+        h = gram_hashes(text, self.q)
         at = np.flatnonzero(self.table[h >> np.uint64(64 - _TABLE_BITS)])
         if len(at) < self.fewest:
-            return found
+            return []
         which = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
         hit = self.grams[which] == h[at]
         at, which = at[hit], which[hit]
         if len(at) < self.fewest:
-            return found
+            return []
         n = self.count[which]
         entry = np.repeat(self.first[which] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        item, place = self.item[entry], self.place[entry]
+        item, place = self.item[entry].astype(np.int64), self.place[entry].astype(np.int64)
         width = self.edits[item] + 1
         band = (np.repeat(at, n) - place) // width
         lowest = int(band.min()) - 1
@@ -90,7 +110,30 @@ class Items:
         pair, count = np.unique(pair, return_counts=True)
         item, band = pair // span, pair % span + lowest
         good = count >= self.least[item]
-        return found + [(k, b * w, (b + 2) * w - 1) for k, b, w in zip(item[good].tolist(), band[good].tolist(), (self.edits[item[good]] + 1).tolist())]
+        item, band = item[good], band[good]
+        return [(k, b * w, (b + 2) * w - 1) for k, b, w in zip(self.numbers[item].tolist(), band.tolist(), (self.edits[item] + 1).tolist())]
+
+
+class Items:
+    """A block of items, and their q-grams."""
+
+    def __init__(self, items: list[tuple[int, str]], edit_percent: int):
+        self.ids = [i for i, _ in items]
+        self.texts = [t for _, t in items]
+        self.edits = np.array([len(t) * edit_percent // 100 for t in self.texts], np.int64)
+        by_length: dict[int, list[int]] = {}
+        for k, (t, e) in enumerate(zip(self.texts, self.edits.tolist())):
+            by_length.setdefault(GRAMS[0] if not e else gram_length(len(t), e), []).append(k)
+        self.short = [k for k in by_length.get(GRAMS[0], []) if len(self.texts[k]) < GRAMS[0]]
+        long = {q: [k for k in own if len(self.texts[k]) >= q] for q, own in by_length.items()}
+        self.grams = [Grams(q, own, [self.texts[k] for k in own], self.edits[own]) for q, own in long.items() if own]
+
+    def regions(self, text: str) -> list[tuple[int, int, int]]:
+        """(item, lowest and highest diagonal) of every band that meets its item's bound."""
+        found = [(k, at, at) for k in self.short if (at := text.find(self.texts[k])) >= 0]
+        for own in self.grams:
+            found += own.regions(text)
+        return found
 
 
 def banded_edits(item: str, region: str, most: int) -> int | None:
@@ -120,9 +163,7 @@ def banded_edits(item: str, region: str, most: int) -> int | None:
     return int(row.min())
 
 
-def _scan(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
+def _scan(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
     arrow = {"id": None, "item": pa.int64(), "start": pa.int64(), "region": pa.string()}
@@ -170,7 +211,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     for block in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         held = Items([(r.item_id, normal(r.text)) for r in own.collect() if normal(r.text)], edit_percent)
-        part = _scan(docs, held, id_col, text_col)
+        shared = docs.sparkSession.sparkContext.broadcast(held)
+        part = common.written(_scan(docs, shared, id_col, text_col), "decontamination")
+        shared.unpersist()
         found = part if found is None else found.unionByName(part)
     best = F.min(F.struct("edits", "start"))
     return found.groupBy("id", "item_id").agg(best.alias("best")).select(F.col("id").alias(id_col), "item_id", "best.edits", "best.start")
