@@ -9,10 +9,15 @@
 3. A union sketch estimates each pair's similarity; pairs far below the threshold go.
 4. Full sets verify the others. Links join classes into components.
 Pairs are generated in rounds, for in the end only the components count: first each list's members with its
-smallest member, then all pairs of short lists that still cross components. Members of long lists that still
-cross components are compared in blocks, set by set, by exact intersection counts; blocks of the largest
-component are not compared with each other. So no pairs of a large group are ever rows, nothing is capped, and
-no link between different components is lost.
+smallest member; then, while that joins many, the members of long lists with a member drawn by its hash; then all
+pairs of short lists that still cross components. Members of long lists that still cross components are compared
+in blocks, set by set, by exact intersection counts: each block with itself first, then with the others; blocks of
+the largest component are not compared with each other. A block emits the links of a spanning forest, fewer than
+it has components. So no pairs of a large group are ever rows, nothing is capped, and no link between different
+components is lost.
+
+The retained values decide twice by chance, both times far off the threshold: that two similar sets share fewer than
+half of their k values (about 1e-8), and that a union sketch is DEVIATIONS standard deviations low (under 1e-8).
 
 Defined cases: a document without words (null, empty, white space) has the empty set and no link; repeated rows
 and rows that share an id are documents of their own with that id; a row without id takes part, gives no
@@ -22,10 +27,12 @@ columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import common, graph, words
@@ -33,9 +40,11 @@ from marlstone.llm import common, graph, words
 #: Members of a list up to which all its pairs may be rows; longer lists are compared in blocks.
 SHORT_LIST = 64
 #: Sets in a block.
-BLOCK = 1024
+BLOCK = 512
 #: A union sketch's estimate may be too low by so many standard deviations.
-DEVIATIONS = 5
+DEVIATIONS = 6
+#: Of each class, so many of its long lists are drawn in a round; a round that joins fewer than this share is the last.
+DRAWN_LISTS, WORTHWHILE = 3, 0.1
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -139,8 +148,39 @@ def sizes_fit(n: str, m: str, similarity: int) -> str:
     return f"100 * least({n}, {m}) >= {similarity} * greatest({n}, {m})"
 
 
-def block_links(lists: DataFrame, sets_of, similarity: int) -> DataFrame:
-    """a, b: links that join the components of classes which stand in the same long lists, compared in blocks."""
+def drawn_links(lists: DataFrame, draw: int, similarity: int, check) -> DataFrame:
+    """a, b: links of classes with members, drawn by their hash, of a few of their lists."""
+    order = F.row_number().over(Window.partitionBy("cls").orderBy(F.xxhash64("v", F.lit(draw))))
+    few = common.written(lists.withColumn("_order", order).filter(F.col("_order") <= DRAWN_LISTS).drop("_order"), "near-drawn")
+    centres = few.groupBy("v").agg(F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("v", "cls")).alias("c"))
+    pairs = few.join(common.written(centres, "near-centres"), "v").filter("comp <> c.comp").filter(sizes_fit("n", "c.n", similarity))
+    return check(pairs.select(F.col("c.cls").alias("a"), F.col("cls").alias("b")).distinct())
+
+
+def spanning(linked: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Of the linked pairs of rows, those of a spanning forest of their components."""
+    names, of = np.unique(comp, return_inverse=True)
+    edge = np.full((len(names), len(names)), -1, np.int64)
+    i, j = np.nonzero(linked)
+    edge[of[i], of[j]] = i * len(comp) + j
+    unseen, found = np.ones(len(names), bool), []
+    for root in range(len(names)):
+        todo = [root] if unseen[root] else []
+        unseen[root] = False
+        while todo:
+            at = todo.pop()
+            fresh = np.flatnonzero((edge[at] >= 0) & unseen)
+            unseen[fresh] = False
+            todo += fresh.tolist()
+            found += [divmod(int(e), len(comp)) for e in edge[at, fresh]]
+    return found
+
+
+def block_links(lists: DataFrame, sets_of, similarity: int, own: bool) -> DataFrame:
+    """a, b: links that join the components of classes which stand in the same long lists, compared in blocks.
+
+    own: each block with itself alone.
+    """
     smallest = lists.groupBy("v").agg(F.min("cls").alias("b"))
     together = lists.join(common.written(smallest, "near-long"), "v").select(F.col("cls").alias("a"), "b")
     cluster = graph.components(together.distinct(), "near-cluster").toDF("cls", "cluster")
@@ -156,6 +196,8 @@ def block_links(lists: DataFrame, sets_of, similarity: int) -> DataFrame:
     with_other = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.greatest("at", o).alias("hi"), F.least("at", o).alias("lo")))
     with_main = F.transform(F.sequence(F.lit(1), F.col("mains")), lambda o: F.struct(F.col("at").alias("hi"), (-o).alias("lo")))
     pairs = F.when(F.col("at") < 0, with_other).otherwise(F.array_union(with_other, with_main))
+    if own:
+        members, pairs = members.filter("at >= 0"), F.array(F.struct(F.col("at").alias("hi"), F.col("at").alias("lo")))
     members = members.filter("others > 0").select("cluster", "cls", "comp", "at", F.explode(pairs).alias("pair"))
     members = common.written(members.select("cluster", "cls", "comp", "at", "pair.hi", "pair.lo"), "near-blocks")
     sets = sets_of(members.select("cls").distinct())
@@ -174,16 +216,17 @@ def block_links(lists: DataFrame, sets_of, similarity: int) -> DataFrame:
             matrix = np.zeros((rows, min(4096, columns - start)), np.float32)
             inside = (place >= start) & (place < start + 4096)
             matrix[row[inside], place[inside] - start] = 1
+            # Counts below 2**24 are exact in these numbers.
             shared += matrix @ matrix.T
+        shared = shared.astype(np.int64)
         linked = 100 * shared >= similarity * (n[:, None] + n[None, :] - shared)
         if hi[0] != lo[0]:
-            linked &= (at == hi[0])[:, None] & (at == lo[0])[None, :]
+            across = (at == hi[0])[:, None] & (at == lo[0])[None, :]
+            linked &= across | across.T
         linked &= comp[:, None] != comp[None, :]
-        # One link for each two components.
-        i, j = np.nonzero(linked)
-        first = np.unique(np.stack((comp[i], comp[j])), axis=1, return_index=True)[1]
-        found = [(cls[i[x]], cls[j[x]]) for x in first]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        found = spanning(linked, comp)
+        common.release_memory()
+        return pa.table({"a": pa.array([cls[x] for x, _ in found], pa.int64()), "b": pa.array([cls[y] for _, y in found], pa.int64())})
 
     return members.join(sets, "cls").groupBy("cluster", "hi", "lo").applyInArrow(compare, "a long, b long")
 
@@ -199,27 +242,46 @@ def grouped_classes(docs: DataFrame, id_col: str, text_col: str, size: int, simi
         return common.written(full_sets(docs, common.written(chosen, "near-wanted"), id_col, text_col, size), "near-sets")
 
     lists = postings(classes, similarity, k)
+    links: list[DataFrame] = []
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, classes, sets_of, similarity, k)
+
+    def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+        """The components with these links too."""
+        more = common.written(more, "near-links")
+        if more.isEmpty():
+            return labels
+        links.append(more)
+        return graph.components(reduce(DataFrame.union, links), "near")
+
     stars = common.written(lists.groupBy("v").agg(F.min(F.struct("cls", "n")).alias("first")), "near-stars")
     pairs = lists.join(stars, "v").filter("cls <> first.cls").filter(sizes_fit("n", "first.n", similarity))
-    links = common.written(verified(pairs.select(F.col("first.cls").alias("a"), F.col("cls").alias("b")).distinct(), classes, sets_of, similarity, k), "near-links")
-    labels = graph.components(links, "near")
+    links.append(common.written(check(pairs.select(F.col("first.cls").alias("a"), F.col("cls").alias("b")).distinct()), "near-links"))
+    labels = graph.components(links[0], "near")
 
     lists = crossing(lists, labels)
-    short = lists.filter(F.col("df") <= SHORT_LIST).groupBy("v").agg(F.collect_list(F.struct("cls", "n", "comp")).alias("l"))
+    is_long = F.col("df") > SHORT_LIST
+    rest, draw = lists.filter(is_long).count(), 0
+    while rest:
+        labels = joined(labels, drawn_links(lists.filter(is_long), draw, similarity, check))
+        lists = crossing(lists.drop("comp"), labels)
+        left, draw = lists.filter(is_long).count(), draw + 1
+        if rest - left < WORTHWHILE * rest:
+            break
+        rest = left
+
+    short = lists.filter(~is_long).groupBy("v").agg(F.collect_list(F.struct("cls", "n", "comp")).alias("l"))
     pairs = short.select("l", F.explode("l").alias("x")).select("x", F.explode(F.filter("l", lambda y: (y.cls > F.col("x.cls")) & (y.comp != F.col("x.comp")))).alias("y"))
     pairs = pairs.filter(sizes_fit("x.n", "y.n", similarity)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    more = common.written(verified(pairs, classes, sets_of, similarity, k), "near-links")
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = graph.components(links, "near")
-
-    long = lists.filter(F.col("df") > SHORT_LIST).drop("comp")
-    if not long.isEmpty():
-        long = crossing(long, labels)
-        if not long.isEmpty():
-            more = common.written(block_links(long, sets_of, similarity), "near-links")
-            if not more.isEmpty():
-                labels = graph.components(links.union(more), "near")
+    labels = joined(labels, check(pairs))
+
+    lists = lists.filter(is_long)
+    for own in (True, False):
+        if not lists.isEmpty():
+            lists = crossing(lists.drop("comp"), labels)
+        if not lists.isEmpty():
+            labels = joined(labels, block_links(lists, sets_of, similarity, own))
 
     named = classes.join(labels, classes.cls == labels.node, "left").select("cid", "id", F.coalesce("comp", "cls").alias("comp"))
     return rows, common.written(named, "near-named")
