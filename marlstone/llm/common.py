@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.shared import shared_dir, written
+
+__all__ = ["BROADCAST_KEYS", "release_memory", "shared_dir", "shared_file", "slices", "table", "without", "written"]
+
 #: Rows of an Arrow batch that a Python helper holds as Python objects at a time.
 SLICE_ROWS = 512
 #: And the bytes of it.
@@ -19,29 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir (a default of our own only where that is unset).
-
-    The folder is removed when the application ends.
-    """
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    path = f"{top.rstrip('/')}/marlstone/{name}-{uuid.uuid4().hex}"
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    file_system = hadoop_path.getFileSystem(conf)
-    file_system.mkdirs(hadoop_path)
-    file_system.deleteOnExit(hadoop_path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and it survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark, name)}/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
     """Write a small file to the shared folder and register it with Spark; the name for SparkFiles.get."""
     unique = f"{uuid.uuid4().hex}-{name}"
