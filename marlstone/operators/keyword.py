@@ -16,10 +16,10 @@ from marlstone.operators import bm25
 from marlstone.operators.documents import condition, has_tags
 
 
-def search_keyword(docs: DataFrame, term: str, fields: Sequence[str] = ("text",), tags: Sequence[str] = (), key: str = "_key", top_n: int | None = 10) -> DataFrame:
+def search_keyword(docs: DataFrame, term: str, fields: Sequence[str] = ("text",), tags: Sequence[str] = (), key: str = "_key", top_n: int | None = 10, index: bm25.TextIndex | None = None) -> DataFrame:
     """Documents with the term's first token: score 1 if a field contains the whole term, else 0.9; then BM25 order."""
-    first = bm25.query_terms(docs, term)[0]
-    found = bm25.bm25_scores(docs, first, fields).withColumnRenamed("score", "bm25")
+    first = bm25.query_terms(docs.sparkSession, term)[0]
+    found = bm25.bm25_scores(docs, first, fields, key, index).withColumnRenamed("score", "bm25")
     if tags:
         found = found.filter(has_tags(tags))
     whole = reduce(or_, [F.coalesce(F.contains(F.lower(f), F.lit(term.lower())), F.lit(False)) for f in fields])
@@ -49,10 +49,16 @@ def fuzzy_tags(docs: DataFrame, tags: Sequence[str], threshold: float = 80.0, ke
     return own.join(rated, "tag").groupBy(key).agg(F.countDistinct("wanted").alias("matched"))
 
 
-def partial_ratio_rank(docs: DataFrame, term: str, field: str, filter_expr=None, key: str = "_key", threshold: float = 60.0) -> DataFrame:
-    """key, score: the best ratio of the term with a part of the field."""
-    rated = docs.filter(condition(filter_expr)).select(key, X.partial_indel_ratio(F.lower(field), F.lit(term.lower())).alias("score"))
-    return rated.filter(F.col("score") >= threshold)
+def partial_ratio_rank(docs: DataFrame, terms: str | Sequence[str], field: str, filter_expr=None, key: str = "_key", threshold: float = 60.0, require_all: bool = False) -> DataFrame:
+    """key, score: the best ratio of a term with a part of the field; of several terms, the sum of those that pass.
+
+    Documents are those of which any, or all, of the terms pass.
+    """
+    terms = [terms] if isinstance(terms, str) else list(terms)
+    parts = F.array(*[X.partial_indel_ratio(F.lower(field), F.lit(t.lower())) for t in terms])
+    rated = docs.filter(condition(filter_expr)).select(key, F.filter(parts, lambda r: r >= threshold).alias("_passed"))
+    rated = rated.filter(F.size("_passed") >= (len(terms) if require_all else 1))
+    return rated.select(key, F.aggregate("_passed", F.lit(0.0), lambda s, r: s + r).alias("score"))
 
 
 def ngram_search(docs: DataFrame, query: str, field: str, threshold: float = 0.7, n: int = 3) -> DataFrame:
@@ -67,26 +73,18 @@ def upsert_terms(glossary: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def find_terms(docs: DataFrame, terms: Sequence[str], field: str = "text", key: str = "_key", most_chars: int | None = 5000) -> DataFrame:
-    """key, term, start, end: whole-word matches, longest terms first, without overlaps, sorted by term and place.
+    """key, term, start, end: whole-word matches from left to right, the longest term at each place, without overlaps.
 
     Texts beyond most_chars are searched as their head and tail halves around three dots, as the option says; None
     searches whole texts. Terms are a bounded list, part of the function.
     """
-    ordered = sorted({t.lower() for t in terms}, key=lambda t: (-len(t), t))
-    patterns = [(t, re.compile(rf"\b{re.escape(t)}\b", re.I)) for t in ordered]
+    ordered = sorted({t.lower() for t in terms if t}, key=lambda t: (-len(t), t))
+    pattern = re.compile(rf"(?<!{X.WORD})(?:{'|'.join(map(re.escape, ordered))})(?!{X.WORD})", re.I) if ordered else None
 
     @F.pandas_udf("array<struct<term string, start long, end long>>")
     def matches(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            text, taken, found = text or "", [], []
-            for term, pattern in patterns:
-                for m in pattern.finditer(text):
-                    if all(m.end() <= a or m.start() >= b for a, b in taken):
-                        taken.append(m.span())
-                        found.append({"term": term, "start": m.start(), "end": m.end()})
-            out.append(found)
-        return pd.Series(out)
+        found = ([{"term": m[0].lower(), "start": m.start(), "end": m.end()} for m in pattern.finditer(text or "")] if pattern else [] for text in texts)
+        return pd.Series(list(found))
 
     source = F.col(field) if most_chars is None else X.truncated(field, most_chars)
     return docs.select(key, F.explode(matches(source)).alias("m")).select(key, "m.term", "m.start", "m.end")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.operators import bm25
+from marlstone.sources.shared import shared_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -30,6 +33,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("tags", F.array("lang", "source"))
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str, name: str, docs: DataFrame, fields: Sequence[str] = ("text",), key: str = "doc_id", analyzer: str = "words") -> bm25.TextIndex:
+    """The stored index of a collection: built when it is first asked for in the application, then read."""
+    which = (spark.sparkContext.applicationId, sf_dir, name, tuple(fields), key, analyzer)
+    if which not in _INDEXES:
+        folder = shared_dir(spark, f"index-{name}")
+        bm25.build_index(docs, folder, fields, key, analyzer)
+        _INDEXES[which] = folder
+    return bm25.open_index(spark, _INDEXES[which])
+
+
+def doc_index(spark: SparkSession, sf_dir: str) -> bm25.TextIndex:
+    return index_of(spark, sf_dir, "documents", documents(spark, sf_dir))
+
+
 def rounded(column: str, digits: int = 6):
     return F.round(column, digits).alias(column)
 
