@@ -6,10 +6,13 @@ Edges have src, dst and type; vertices are named by strings.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.sources.shared import written
+
 DIRECTIONS = ("OUTBOUND", "INBOUND", "ANY")
 
 
@@ -44,17 +47,51 @@ def traverse(edges: DataFrame, starts: DataFrame, min_depth: int = 1, max_depth:
 
 
 def reachable(edges: DataFrame, starts: DataFrame, max_depth: int, direction: str = "ANY", types: Sequence[str] | None = None) -> DataFrame:
-    """start, vertex, depth (the least): paths are dropped after each step, so the frontier stays small."""
+    """start, vertex, depth (the least): paths are dropped after each step, so the frontier stays small.
+
+    A step's frontier and what has been seen are written, so each step reads the edges once.
+    """
     if max_depth < 1:
         raise ValueError("max_depth must be at least 1")
     steps = directed(edges, direction, types).select("from", "to").distinct()
-    seen = starts.select("start", F.col("start").alias("vertex"), F.lit(0).cast("long").alias("depth")).distinct()
-    at = seen
+    at = starts.select("start", F.col("start").alias("vertex"), F.lit(0).cast("long").alias("depth")).distinct()
+    seen = [at]
     for depth in range(1, max_depth + 1):
         new = at.join(steps, at.vertex == steps["from"]).select("start", F.col("to").alias("vertex")).distinct()
-        at = new.join(seen.select("start", "vertex"), ["start", "vertex"], "left_anti").withColumn("depth", F.lit(depth).cast("long"))
-        seen = seen.unionByName(at)
-    return seen.filter("depth > 0")
+        known = reduce(DataFrame.unionByName, seen).select("start", "vertex")
+        at = written(new.join(known, ["start", "vertex"], "left_anti").withColumn("depth", F.lit(depth).cast("long")), "frontier")
+        if at.isEmpty():
+            break
+        seen.append(at)
+    return reduce(DataFrame.unionByName, seen).filter("depth > 0")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """vertex, component (the smallest vertex that it is connected with) of every vertex of edges(a, b).
+
+    In each round a vertex takes the smallest label of its neighbours, and labels follow each other (the label of a
+    label), so that long chains take few rounds. Labels are written after each round.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
+    both = written(both, "component-edges")
+    labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("l")), "component-labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
+        low = labels.join(near, "a").select("a", F.least("l", "m").alias("m"), F.col("l").alias("old"))
+        jump = low.select(F.col("a").alias("m"), F.col("m").alias("mm"))
+        after = written(low.join(jump, "m", "left").select("a", F.least("m", F.coalesce("mm", "m")).alias("l"), "old"), "component-labels")
+        labels = after.select("a", "l")
+        if after.filter("l <> old").isEmpty():
+            return labels.toDF("vertex", "component")
+
+
+def edge_lookup(edges: DataFrame, vertex: str, direction: str = "ANY") -> DataFrame:
+    """The edges at a vertex, by direction, with `other`: the vertex at the other end."""
+    if direction not in DIRECTIONS:
+        raise ValueError(f"unknown direction: {direction}")
+    ends = {"OUTBOUND": F.col("src") == vertex, "INBOUND": F.col("dst") == vertex}
+    found = edges.filter(ends.get(direction, ends["OUTBOUND"] | ends["INBOUND"]))
+    return found.withColumn("other", F.when(F.col("src") == vertex, F.col("dst")).otherwise(F.col("src")))
 
 
 def graph_traverse(edges: DataFrame, start: str, vertices: DataFrame | None = None, vertex_filter: Column | str | None = None, vertex_key: str = "_key", limit: int | None = 10, **options) -> DataFrame:

@@ -1,19 +1,26 @@
-"""Vector search: exact top-k for one query or many, filtered and two-stage, similarity joins, and IVF."""
+"""Vector search: exact top-k for one query or many, filtered and two-stage, similarity joins and classes, and IVF."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as X
 from marlstone.functions import vectors as V
 from marlstone.operators.bm25 import top_per_group
 from marlstone.operators.documents import condition
+from marlstone.operators.graph import components
+from marlstone.sources.shared import written
 
 METRICS = {"cosine": V.cosine, "dot": V.dot, "l2": V.l2_score}
-#: Query vectors that are broadcast at a time, and vectors of a block in a join of all with all.
-QUERY_BLOCK, JOIN_BLOCK = 4096, 2048
+#: Query vectors that are broadcast at a time, and rows that a task scores against them at a time.
+QUERY_BLOCK, SCORE_ROWS = 4096, 2048
+#: Vectors of a block in a join of all with all, at most, and of a tile of it.
+JOIN_BLOCK, TILE = 16_384, 2048
 
 
 def vector_of(df: DataFrame, value, key: str, vector: str = "embedding") -> list[float]:
@@ -32,6 +39,21 @@ def search(df: DataFrame, query: list[float], key: str, vector: str = "embedding
     return scored.orderBy(F.desc("score"), F.col(key)).limit(top_n)
 
 
+def embedded_query(spark: SparkSession, text: str, embed: Callable[[Column], Column] = X.hash_embedding) -> list[float]:
+    """The vector of a query's text."""
+    return [float(x) for x in spark.range(1).select(embed(F.lit(text)).alias("v")).first()["v"]]
+
+
+def id_of_text(docs: DataFrame, text: str, key: str, field: str = "text") -> DataFrame:
+    """The smallest key of the documents with exactly this text."""
+    return docs.filter(F.col(field) == text).select(key).orderBy(key).limit(1)
+
+
+def most_similar(df: DataFrame, query: list[float], key: str, vector: str = "embedding", least: float = 0.8) -> DataFrame:
+    """The nearest row, if its cosine is above `least`."""
+    return search(df, query, key, vector, top_n=1).filter(F.col("score") > least)
+
+
 def two_stage_search(df: DataFrame, query: list[float], key: str, filter_expr: Column | str, vector: str = "embedding", top_n: int = 10, overfetch: int = 10) -> DataFrame:
     """The overfetch * top_n nearest of all rows, of which those that pass the filter stay: it may return fewer."""
     near = search(df, query, key, vector, top_n=overfetch * top_n)
@@ -48,20 +70,54 @@ def _matrix(column: pa.Array, unit: bool) -> np.ndarray:
     return rows
 
 
+class _Best:
+    """The nearest rows of each query so far."""
+
+    def __init__(self, queries: int, top_n: int):
+        self.top_n, self.cut = top_n, np.full(queries, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, value: np.ndarray, keys: np.ndarray) -> None:
+        keep = min(self.top_n, value.shape[1])
+        if not keep:
+            return
+        # Ties at the cut are kept, so that the key can break them.
+        own = -np.partition(-value, keep - 1, axis=1)[:, keep - 1] if keep == self.top_n else np.full(len(value), -np.inf)
+        q, r = np.nonzero((value >= (np.maximum(self.cut, own) - 1e-12)[:, None]) & np.isfinite(value))
+        self.parts.append((q, keys[r], value[q, r]))
+        self.held += len(q)
+        if self.held > 4 * len(self.cut) * self.top_n + 100_000:
+            self.prune()
+
+    def prune(self) -> None:
+        q, keys, score = (np.concatenate(x) for x in zip(*self.parts))
+        # Scores are rounded for ranking alone, so that equal vectors tie whatever the order of summation.
+        order = np.lexsort((keys, -np.round(score, 12), q))
+        q, keys, score = q[order], keys[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        stay = place < self.top_n
+        last = place == self.top_n - 1
+        self.cut[q[last]] = score[last]
+        self.parts, self.held = [(q[stay], keys[stay], score[stay])], int(stay.sum())
+
+
 def batch_search(df: DataFrame, queries: DataFrame, query_id: str, key: str, vector: str = "embedding", metric: str = "cosine", top_n: int = 10, min_score: float | None = None, skip_same: bool = False) -> DataFrame:
     """query_id, key, score, rank: exact top_n of every query; skip_same leaves out rows whose key is the query's.
 
-    Queries are broadcast in blocks of QUERY_BLOCK; each task keeps top_n rows a query, and Spark merges them.
-    Ids and keys are numbers.
+    Queries are broadcast a block of about QUERY_BLOCK at a time, the only ones that the driver holds; each task keeps
+    top_n rows a query, and Spark merges them. With several blocks, each one's hits are written before the next one's
+    scan. Ids and keys are numbers.
     """
     spark = df.sparkSession
-    wanted = queries.select(F.col(query_id).cast("long"), vector).filter(F.col(vector).isNotNull())
-    held = [(r[0], [float(x) for x in r[1]]) for r in wanted.toLocalIterator()]
+    wanted = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v")).filter("q is not null and v is not null")
     base = df.select(F.col(key).cast("long"), vector).filter(F.col(vector).isNotNull())
+    blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
     found = None
-    for at in range(0, max(len(held), 1), QUERY_BLOCK):
-        block = held[at : at + QUERY_BLOCK]
-        shared = spark.sparkContext.broadcast((np.array([i for i, _ in block], np.int64), np.array([v for _, v in block], np.float64)))
+    for block in range(blocks):
+        own = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block)
+        held = own.orderBy("q").collect()
+        shared = spark.sparkContext.broadcast((np.array([r.q for r in held], np.int64), np.array([r.v for r in held], np.float64)))
 
         def run(batches, shared=shared):
             ids, wanted = shared.value
@@ -70,35 +126,41 @@ def batch_search(df: DataFrame, queries: DataFrame, query_id: str, key: str, vec
             if metric == "cosine":
                 length = np.linalg.norm(wanted, axis=1, keepdims=True)
                 wanted = np.divide(wanted, length, out=np.zeros_like(wanted), where=length > 0)
-            best: list[tuple[np.ndarray, np.ndarray]] = []
-            keys, scores = np.empty(0, np.int64), np.empty((len(ids), 0))
+            best = _Best(len(ids), top_n)
             for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                rows = _matrix(batch.column(1), metric == "cosine")
-                value = wanted @ rows.T
-                if metric == "l2":
-                    value = 2 * value - (wanted**2).sum(axis=1)[:, None] - (rows**2).sum(axis=1)[None, :]
-                if skip_same:
-                    value[ids[:, None] == own[None, :]] = -np.inf
-                keep = min(top_n + 1, value.shape[1])
-                # Ties at the cut are kept, so that the key can break them.
-                cut = -np.partition(-value, keep - 1, axis=1)[:, keep - 1]
-                q, r = np.nonzero((value >= cut[:, None]) & np.isfinite(value))
-                best.append((q, r))
-                yield pa.RecordBatch.from_pydict({"q": pa.array(ids[q]), "k": pa.array(own[r]), "score": pa.array(value[q, r])})
+                for at in range(0, batch.num_rows, SCORE_ROWS):
+                    part = batch.slice(at, SCORE_ROWS)
+                    keys = part.column(0).to_numpy(zero_copy_only=False)
+                    rows = _matrix(part.column(1), metric == "cosine")
+                    value = wanted @ rows.T
+                    if metric == "l2":
+                        value = 2 * value - (wanted**2).sum(axis=1)[:, None] - (rows**2).sum(axis=1)[None, :]
+                    if skip_same:
+                        value[ids[:, None] == keys[None, :]] = -np.inf
+                    best.add(value, keys)
+            if best.parts:
+                best.prune()
+                q, keys, score = best.parts[0]
+                yield pa.RecordBatch.from_pydict({"q": pa.array(ids[q]), "k": pa.array(keys), "score": pa.array(score)})
 
         part = base.mapInArrow(run, "q long, k long, score double")
+        if blocks > 1:
+            part = written(part, "nearest")
+            shared.unpersist()
         found = part if found is None else found.unionByName(part)
     if min_score is not None:
         found = found.filter(F.col("score") >= min_score)
-    # The score is rounded for ranking alone, so that equal vectors tie whatever the order of summation.
     return top_per_group(found, "q", F.round("score", 12), "k", top_n).select(F.col("q").alias(query_id), F.col("k").alias(key), "score", "rank")
 
 
 def similar_pairs(df: DataFrame, threshold: float, key: str, vector: str = "embedding") -> DataFrame:
-    """a, b, score of all pairs a < b with at least the cosine: blocks of rows against blocks, pairs only as results."""
+    """a, b, score of all pairs a < b with at least the cosine: blocks of rows against blocks, pairs only as results.
+
+    A row is dealt to as many tasks as there are blocks; a task compares two blocks a tile at a time.
+    """
     rows = df.select(F.col(key).cast("long").alias("k"), vector).filter(F.col(vector).isNotNull())
-    blocks = max(1, -(-rows.count() // JOIN_BLOCK))
+    n = rows.count()
+    blocks = max(1, -(-n // min(max(n // 8, TILE // 2), JOIN_BLOCK)))
     at = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
     dealt = rows.withColumn("at", at).select("*", other).select("k", vector, "at", F.least("at", "o").alias("lo"), F.greatest("at", "o").alias("hi"))
@@ -109,33 +171,63 @@ def similar_pairs(df: DataFrame, threshold: float, key: str, vector: str = "embe
         k = table.column("k").to_numpy()
         unit = _matrix(table.column(vector).chunk(0), True)
         left, right = np.flatnonzero(at == lo[0]), np.flatnonzero(at == hi[0])
-        score = unit[left] @ unit[right].T
-        good = score >= threshold
-        if lo[0] == hi[0]:
-            good &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
-        i, j = np.nonzero(good)
-        a, b = k[left[i]], k[right[j]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": score[i, j]})
+        found = []
+        for x in range(0, len(left), TILE):
+            for y in range(x if lo[0] == hi[0] else 0, len(right), TILE):
+                i, j = left[x : x + TILE], right[y : y + TILE]
+                score = unit[i] @ unit[j].T
+                good = score >= threshold
+                if lo[0] == hi[0]:
+                    good &= (x + np.arange(len(i)))[:, None] < (y + np.arange(len(j)))[None, :]
+                p, q = np.nonzero(good)
+                found.append((k[i[p]], k[j[q]], score[p, q]))
+        a, b, score = (np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": score})
 
     return dealt.groupBy("lo", "hi").applyInArrow(compare, "a long, b long, score double").filter("a <> b")
 
 
-def ivf_assign(df: DataFrame, key: str, vector: str = "embedding", lists: int = 16, seed: int = 42, sample_rows: int = 100_000):
+def similarity_classes(df: DataFrame, threshold: float, key: str, vector: str = "embedding") -> DataFrame:
+    """key, n_links (rows with at least the cosine), class_id (the smallest key that links reach) of every row with a vector."""
+    pairs = written(similar_pairs(df, threshold, key, vector).select("a", "b").distinct(), "similar")
+    links = pairs.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("n_links"))
+    classes = components(pairs).toDF("k", "class_id")
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"))
+    out = rows.join(links, "k", "left").join(classes, "k", "left")
+    return out.select(F.col("k").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "k").alias("class_id"))
+
+
+def mean_recall(exact: DataFrame, found: DataFrame, query_id: str, key: str) -> DataFrame:
+    """n_queries, recall: the share of each query's exact neighbours that were found, on average."""
+    hits = exact.select(query_id, key).join(found.select(query_id, key).withColumn("_hit", F.lit(1)), [query_id, key], "left")
+    per = hits.groupBy(query_id).agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("r"))
+    return per.agg(F.count("*").alias("n_queries"), F.avg("r").alias("recall"))
+
+
+def list_count(n: int) -> int:
+    """Lists for n rows: their square root, from 16 to 4096."""
+    return int(min(max(round(n**0.5), 16), 4096))
+
+
+def ivf_assign(df: DataFrame, key: str, vector: str = "embedding", lists: int | None = None, seed: int = 42, sample_rows: int = 100_000):
     """Centroids fitted on a sample of at most about sample_rows, and every row with the list of its nearest centroid."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = df.filter(F.col(vector).isNotNull())
-    share = min(1.0, sample_rows / max(rows.count(), 1))
+    n = rows.count()
+    lists = lists or list_count(n)
+    share = min(1.0, sample_rows / max(n, 1))
     fit = rows if share == 1.0 else rows.sample(share, seed)
     model = KMeans(k=lists, maxIter=10, seed=seed, featuresCol="_v", predictionCol="list").fit(fit.select(array_to_vector(V.normalised(F.col(vector))).alias("_v")))
     assigned = model.transform(rows.withColumn("_v", array_to_vector(V.normalised(F.col(vector))))).drop("_v")
     return [c.tolist() for c in model.clusterCenters()], assigned
 
 
-def ivf_search(df: DataFrame, queries: DataFrame, query_id: str, key: str, vector: str = "embedding", lists: int = 16, probes: int = 4, top_n: int = 10, skip_same: bool = False) -> DataFrame:
-    """query_id, key, score, rank from the `probes` lists nearest to each query."""
+def ivf_search(df: DataFrame, queries: DataFrame, query_id: str, key: str, vector: str = "embedding", lists: int | None = None, probes: int | float = 0.75, top_n: int = 10, skip_same: bool = False) -> DataFrame:
+    """query_id, key, score, rank from the lists nearest to each query: so many, or such a share of all."""
     centres, assigned = ivf_assign(df, key, vector, lists)
+    probes = max(1, round(probes * len(centres))) if isinstance(probes, float) else probes
     scores = F.array(*[F.struct(V.dot(V.normalised(F.col(vector)), V.literal(c)).alias("s"), F.lit(i).alias("list")) for i, c in enumerate(centres)])
     probed = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_qv"), F.explode(F.slice(F.sort_array(scores, asc=False), 1, probes)).alias("p"))
     pairs = probed.select("_q", "_qv", F.col("p.list").alias("list")).join(assigned, "list")
@@ -145,18 +237,6 @@ def ivf_search(df: DataFrame, queries: DataFrame, query_id: str, key: str, vecto
     return top_per_group(scored, "_q", F.col("score"), key, top_n).withColumnRenamed("_q", query_id)
 
 
-def lsh_pairs(df: DataFrame, threshold: float, key: str, vector: str = "embedding", length: float = 0.5, tables: int = 8, seed: int = 42) -> DataFrame:
-    """a, b, score of pairs that random projections bring together and whose cosine reaches the threshold."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    rows = df.filter(F.col(vector).isNotNull()).select(key, vector, array_to_vector(V.normalised(F.col(vector))).alias("_v"))
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=length, numHashTables=tables, seed=seed).fit(rows)
-    far = (2 - 2 * threshold) ** 0.5
-    pairs = model.approxSimilarityJoin(rows, rows, far, "far").filter(F.col(f"datasetA.{key}") < F.col(f"datasetB.{key}"))
-    return pairs.select(F.col(f"datasetA.{key}").alias("a"), F.col(f"datasetB.{key}").alias("b"), V.cosine(F.col(f"datasetA.{vector}"), F.col(f"datasetB.{vector}")).alias("score"))
-
-
 def dimension_errors(df: DataFrame, dimension: int, vector: str = "embedding") -> DataFrame:
     """Rows without a vector of the dimension."""
     return df.filter(F.col(vector).isNull() | (F.size(vector) != dimension))
