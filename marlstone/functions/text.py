@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}_]+"
+#: A character of a word, alike in Spark, Python and SQL engines: letters of ASCII and Latin-1, digits and underscores.
+WORD = "[A-Za-z0-9_\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
 
 
 def tokens(text: Column | str) -> Column:
@@ -59,7 +61,7 @@ def truncated_tokens(text: Column | str, most: int) -> Column:
 def highlighted(text: Column | str, terms: list[str]) -> Column:
     """Whole-word matches of the terms, longest first, between double asterisks."""
     ordered = sorted(terms, key=lambda t: (-len(t), t))
-    pattern = r"(?i)\b(" + "|".join(re.escape(t).replace(r"\ ", " ") for t in ordered) + r")\b"
+    pattern = rf"(?i)(?<!{WORD})(" + "|".join(re.escape(t).replace(r"\ ", " ") for t in ordered) + rf")(?!{WORD})"
     return F.regexp_replace(text, pattern, r"\*\*$1\*\*")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.sources.shared import written
+
 
 def vote(neighbours: DataFrame, query_id: str, label: str = "label", power: int = 2, k: int | None = None, accept: float = 0.7) -> DataFrame:
     """query_id, prediction, confidence, auto_accept from neighbours(query_id, label, score, rank).
@@ -20,10 +22,15 @@ def vote(neighbours: DataFrame, query_id: str, label: str = "label", power: int
     return sums.select(query_id, F.when(one, 1).otherwise(0).cast("long").alias("prediction"), confidence.alias("confidence"), ((total > 0) & (confidence >= accept) & enough).alias("auto_accept"))
 
 
-def majority(neighbours: DataFrame, query_id: str, label: str = "label", k: int = 3) -> DataFrame:
-    """query_id, prediction: the label of most of the k nearest; a tie is 1."""
+def majority(neighbours: DataFrame, query_id: str, label: str = "label", k: int = 3, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, prediction: the label of most of the k nearest; a tie is 1. Of the queries, those without neighbours have null."""
     n1 = F.sum(F.when(F.col(label) == 1, 1).otherwise(0))
-    return neighbours.filter(F.col("rank") <= k).groupBy(query_id).agg(F.when(2 * n1 >= F.count("*"), 1).otherwise(0).cast("long").alias("prediction"))
+    found = neighbours.filter(F.col("rank") <= k).groupBy(query_id).agg(F.when(2 * n1 >= F.count("*"), 1).otherwise(0).cast("long").alias("prediction"))
+    return found if queries is None else queries.select(query_id).join(found, query_id, "left")
+
+
+def label_name(prediction: Column) -> Column:
+    return F.when(prediction == 1, "Complex").when(prediction == 0, "Simple").otherwise("Unknown")
 
 
 def metrics(df: DataFrame, actual: str, predicted: str, *groups: str) -> DataFrame:
@@ -39,13 +46,28 @@ def metrics(df: DataFrame, actual: str, predicted: str, *groups: str) -> DataFra
     return counts.withColumns({"accuracy": ratio(tp + tn, tp + tn + fp + fn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
+def weighted_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """accuracy, precision, recall, f1: averages over all classes, weighted by each class's rows; undefined ratios are 0."""
+    cells = df.groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    both = cells.select(F.explode(F.array("a", "p")).alias("c"), "a", "p", "n").distinct()
+    per = both.groupBy("c").agg(*[F.sum(F.when(x, F.col("n")).otherwise(0)).alias(name) for name, x in (("tp", (F.col("a") == F.col("c")) & (F.col("p") == F.col("c"))), ("actual", F.col("a") == F.col("c")), ("guessed", F.col("p") == F.col("c")))])
+    precision = F.when(F.col("guessed") > 0, F.col("tp") / F.col("guessed")).otherwise(0.0)
+    recall = F.when(F.col("actual") > 0, F.col("tp") / F.col("actual")).otherwise(0.0)
+    f1 = F.when(F.col("actual") + F.col("guessed") > 0, 2 * F.col("tp") / (F.col("actual") + F.col("guessed"))).otherwise(0.0)
+    total = F.sum("actual")
+    return per.agg(*[(F.sum(x * F.col("actual")) / total).alias(name) for name, x in (("precision", precision), ("recall", recall), ("f1", f1))], (F.sum("tp") / total).alias("accuracy"))
+
+
 def evaluate_by_k(neighbours: DataFrame, truth: DataFrame, query_id: str, ks: list[int], power: int = 2) -> DataFrame:
-    """k and the metrics of votes among the k nearest, from one search of max(ks)."""
+    """k, the metrics of votes among the k nearest, and their mean confidence, from one search of max(ks)."""
     each = neighbours.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter(F.col("rank") <= F.col("k"))
     weight = F.when(F.col("score") > 0, F.pow("score", F.lit(power))).otherwise(0.0)
     signed = F.sum(F.when(F.col("label") == 1, weight).otherwise(-weight))
-    votes = each.groupBy("k", query_id).agg(F.when(F.round(signed, 12) > 0, 1).otherwise(0).alias("prediction"))
-    return metrics(votes.join(truth, query_id), "actual", "prediction", "k")
+    share = F.when(F.sum(weight) > 0, (F.abs(signed) + F.sum(weight)) / (2 * F.sum(weight))).otherwise(0.0)
+    votes = each.groupBy("k", query_id).agg(F.when(F.round(signed, 12) > 0, 1).otherwise(0).alias("prediction"), share.alias("confidence"))
+    joined = votes.join(truth, query_id)
+    means = joined.groupBy("k").agg(F.avg("confidence").alias("mean_confidence"))
+    return metrics(joined, "actual", "prediction", "k").join(means, "k")
 
 
 def graph_scores(semantic: DataFrame, graph: DataFrame, key: str, depth: int = 2, semantic_weight: float = 0.7, graph_weight: float = 0.3) -> DataFrame:
@@ -55,12 +77,58 @@ def graph_scores(semantic: DataFrame, graph: DataFrame, key: str, depth: int = 2
     return merged.select(key, (semantic_weight * F.col("sim") + graph_weight * F.coalesce("near", F.lit(0.0))).alias("score"))
 
 
+def graph_classify(near: DataFrame, labels: DataFrame, key: str, label: str = "label", k: int = 25, power: int = 2, shown: int = 3) -> DataFrame:
+    """prediction, confidence, n, n_complex, n_simple, nearest (the best `shown`: key, score, label) of one question.
+
+    near: its neighbours by meaning and by the graph with their merged score (see `graph_scores`), of which the best k
+    vote; only a strict majority of the votes is 1.
+    """
+    best = near.orderBy(F.desc(F.round("score", 12)), key).limit(k).join(labels.select(key, label), key)
+    weight = F.when(F.col("score") > 0, F.pow("score", F.lit(power))).otherwise(0.0)
+    one = F.col(label) == 1
+    sums = best.agg(
+        F.coalesce(F.sum(F.when(one, weight)), F.lit(0.0)).alias("v1"),
+        F.coalesce(F.sum(F.when(~one, weight)), F.lit(0.0)).alias("v0"),
+        F.count("*").alias("n"),
+        F.count(F.when(one, 1)).alias("n_complex"),
+        F.count(F.when(~one, 1)).alias("n_simple"),
+        F.slice(F.array_sort(F.collect_list(F.struct((-F.round("score", 12)).alias("o"), F.col(key), "score", F.col(label)))), 1, shown).alias("s"),
+    )
+    total = F.col("v1") + F.col("v0")
+    confidence = F.when(total > 0, F.greatest("v0", "v1") / total).otherwise(0.0)
+    nearest = F.transform("s", lambda x: F.struct(x[key].alias(key), x["score"].alias("score"), x[label].alias(label)))
+    return sums.select(F.when(F.col("v1") > F.col("v0"), 1).otherwise(0).cast("long").alias("prediction"), confidence.alias("confidence"), "n", "n_complex", "n_simple", nearest.alias("nearest"))
+
+
 def balanced(df: DataFrame, label: str, order: Column) -> DataFrame:
-    """The first rows of each label, as many as the rarer label has."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n")).filter(F.col(label).isNotNull())
-    row = counts.agg(F.min("n"), F.count("*")).first()
-    fewest = row[0] if row[1] > 1 else 0
-    return df.withColumn("_at", F.row_number().over(Window.partitionBy(label).orderBy(order))).filter(F.col("_at") <= fewest).drop("_at")
+    """The first rows of each label, as many as the rarer label has.
+
+    A label's cut is found among counts of ranges of its order: no task ranks more than the rows of one range.
+    """
+    rows = df.filter(F.col(label).isNotNull()).withColumn("_order", order)
+    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row for each label
+    if len(counts) < 2:
+        return df.limit(0)
+    fewest = min(counts.values())
+    names = df.columns
+    # Ranges of the order, numbered in it, and how many rows of each label lie before each.
+    ranges = rows.repartitionByRange(F.col(label), F.col("_order")).withColumn("_range", F.spark_partition_id())
+    ranges = written(ranges, "balanced")
+    sizes = ranges.groupBy(label, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = F.broadcast(sizes.withColumn("_before", before))  # a row for each label and range
+    near = ranges.join(sizes, [label, "_range"])
+    whole = near.filter(F.col("_before") + F.col("_n") <= fewest).select(*names)
+    cut = near.filter((F.col("_before") < fewest) & (F.col("_before") + F.col("_n") > fewest))
+    at = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_order")) + F.col("_before")
+    return whole.unionByName(cut.withColumn("_at", at).filter(F.col("_at") <= fewest).select(*names))
+
+
+def dataset_stats(df: DataFrame, label: str) -> DataFrame:
+    """original, valid, invalid, complex, simple, balanced: the rows of a labelled collection."""
+    counts = df.agg(F.count("*").alias("original"), F.count(F.when(F.col(label) == 1, 1)).alias("complex"), F.count(F.when(F.col(label) == 0, 1)).alias("simple"))
+    valid = F.col("complex") + F.col("simple")
+    return counts.select("original", valid.alias("valid"), (F.col("original") - valid).alias("invalid"), "complex", "simple", (2 * F.least("complex", "simple")).alias("balanced"))
 
 
 def binary_label(rating: Column, threshold: float = 0.5, inclusive: bool = True) -> Column:
@@ -86,11 +154,18 @@ def mean_vectors(neighbours: DataFrame, query_id: str, vector: str = "embedding"
     return neighbours.select(query_id, F.posexplode(vector).alias("at", "x")).groupBy(query_id, "at").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def logistic_baseline(df: DataFrame, label: str, vector: str = "embedding", seed: int = 42):
-    """A fitted logistic regression on vectors, and the rows with its prediction."""
+def logistic_baseline(df: DataFrame, label: str, key: str, vector: str = "embedding", max_iter: int = 1000):
+    """A logistic regression fitted on the training part of the rows (see `split`), and the test part with its prediction."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    data = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    model = LogisticRegression(featuresCol="_v", labelCol=label, maxIter=100, predictionCol="prediction").fit(data)
-    return model, model.transform(data).drop("_v", "rawPrediction", "probability")
+    data = df.withColumns({"_v": array_to_vector(F.col(vector).cast("array<double>")), "_part": split(F.col(key))})
+    model = LogisticRegression(featuresCol="_v", labelCol=label, maxIter=max_iter, predictionCol="prediction").fit(data.filter("_part <> 'test'"))
+    return model, model.transform(data.filter("_part = 'test'")).drop("_v", "_part", "rawPrediction", "probability")
+
+
+def neighbour_baseline(neighbours: DataFrame, labels: DataFrame, query_id: str, label: str, vector: str = "embedding"):
+    """The same regression on the means of each question's neighbours' vectors; labels has query_id and label."""
+    means = mean_vectors(neighbours, query_id, vector).groupBy(query_id)
+    rows = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda x: x["mean"]).alias("_mean"))
+    return logistic_baseline(rows.join(labels, query_id), label, query_id, "_mean")

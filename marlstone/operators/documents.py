@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,25 @@ def condition(filter_expr: Column | str | None) -> Column:
     return F.expr(filter_expr) if isinstance(filter_expr, str) else filter_expr
 
 
+def run_sql(spark: SparkSession, query: str, parameters: Mapping[str, object] | None = None, **tables: DataFrame) -> DataFrame:
+    """A SQL query whose markers (:name) are bound to values, and whose {name} are tables; values are never spliced in."""
+    return spark.sql(query, args=dict(parameters or {}), **tables)
+
+
+def sample(docs: DataFrame, n: int, key: str = "_key", seed: int = 0) -> DataFrame:
+    """n documents drawn by a hash of their key: the same ones each time."""
+    return docs.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+
+
+def first_documents(docs: DataFrame, n: int, key: str = "_key") -> DataFrame:
+    return docs.orderBy(F.col(key)).limit(n)
+
+
+def recent_with(docs: DataFrame, field: str, part: str, time: str = "timestamp", key: str = "_key", limit: int = 10) -> DataFrame:
+    """Documents whose field contains the part, newest first."""
+    return docs.filter(F.contains(F.col(field), F.lit(part))).orderBy(F.desc(time), F.col(key)).limit(limit)
+
+
 def query_documents(docs: DataFrame, filter_expr: Column | str | None = None, sort: Sequence[Column] = (), key: str = "_key", limit: int | None = 100, offset: int = 0) -> DataFrame:
     """Filtered documents in order, ties by key, as one page."""
     out = docs.filter(condition(filter_expr)).orderBy(*sort, F.col(key))
@@ -44,8 +63,10 @@ def _literals(tags: Sequence[str]) -> Column:
 
 
 def has_tags(tags: Sequence[str], require_all: bool = False, column: str = "tags") -> Column:
-    """Any or all of the tags are among the document's."""
+    """Any or all of the tags are among the document's. No tags: all of them are there, and none of them is."""
     own = F.col(column)
+    if not tags:
+        return F.lit(require_all)
     return reduce(and_, [F.array_contains(own, t) for t in tags]) if require_all else F.arrays_overlap(own, _literals(tags))
 
 
@@ -60,6 +81,8 @@ def shared_tags(tags: Sequence[str], column: str = "tags") -> Column:
 
 def tag_match_score(tags: Sequence[str], column: str = "tags") -> Column:
     """The share of the tags that the document has, whatever their case."""
+    if not tags:
+        return F.lit(0.0)
     return F.size(F.filter(_literals([t.lower() for t in tags]), lambda t: F.exists(F.col(column), lambda x: F.lower(x) == t))) / F.lit(float(len(tags)))
 
 

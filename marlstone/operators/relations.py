@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import vector
 from marlstone.operators.bm25 import top_per_group
+from marlstone.operators.documents import condition
 
 
 def similarity_edges(df: DataFrame, key: str, threshold: float = 0.85, per_row: int = 10, column: str = "embedding") -> DataFrame:
@@ -18,6 +22,40 @@ def similarity_edges(df: DataFrame, key: str, threshold: float = 0.85, per_row:
     return best.select("src", "dst", F.lit("semantic_similarity").alias("type"), F.col("score").alias("strength"), F.lit(True).alias("auto_generated"), rationale.alias("rationale"))
 
 
+def filtered_similarity_edges(df: DataFrame, key: str, filter_expr: Column | str, threshold: float = 0.85, per_row: int = 10, column: str = "embedding") -> DataFrame:
+    """Similarity edges of which both ends pass the filter."""
+    return similarity_edges(df.filter(condition(filter_expr)), key, threshold, per_row, column)
+
+
+def judged_edges(edges: DataFrame, vertices: DataFrame, key: str, fields: list[str], judge: Callable[[DataFrame], DataFrame], existing: DataFrame | None = None, min_strength: float = 0.8, limit: int = 100, confidence: float = 0.8) -> DataFrame:
+    """src, dst, type, confidence, rationale of the pairs that a judge finds to be prerequisites.
+
+    The judge takes strong pairs with fields of both ends, each pair once and none that an existing edge joins, and
+    adds `direction` (1: src comes before dst; -1: the other way; 0 or null: none) and `rationale`.
+    """
+    ends = edges.withColumns({"_lo": F.least("src", "dst"), "_hi": F.greatest("src", "dst")})
+    once = ends.groupBy(F.col("_lo").alias("src"), F.col("_hi").alias("dst")).agg(F.max("strength").alias("strength"))
+    once = once if existing is None else new_edges(once, existing, undirected=True)
+    found = judge(with_endpoints(once, vertices, key, fields, min_strength, limit)).filter("direction in (1, -1)")
+    forward = F.col("direction") == 1
+    ends = (F.when(forward, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("src", "dst"), ("dst", "src")))
+    return found.select(*ends, F.lit("prerequisite").alias("type"), F.lit(confidence).alias("confidence"), "rationale")
+
+
+def all_relationships(vectors: DataFrame, key: str, steps: DataFrame, user: str, item: str, order: list[Column], judge: Callable[[DataFrame], DataFrame] | None = None, fields: list[str] = (), threshold: float = 0.85, min_strength: float = 0.8) -> DataFrame:
+    """src, dst, type, strength: the edges of similarity, of sequences of use and, with a judge, of prerequisites."""
+    similar = similarity_edges(vectors, key, threshold)
+    used = sequence_edges(steps, user, item, order)
+    parts = [
+        similar.select(F.col("src").cast("string"), F.col("dst").cast("string"), "type", "strength"),
+        used.select(F.col("src").cast("string"), F.col("dst").cast("string"), F.lit("user_sequence").alias("type"), "strength"),
+    ]
+    if judge is not None:
+        judged = judged_edges(similar, vectors, key, list(fields), judge, min_strength=min_strength)
+        parts.append(judged.select(F.col("src").cast("string"), F.col("dst").cast("string"), "type", F.col("confidence").alias("strength")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def new_edges(candidates: DataFrame, existing: DataFrame, undirected: bool = False) -> DataFrame:
     """Candidates whose ends no existing edge joins, in their direction or in either."""
     if not undirected:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import ast
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,25 +16,32 @@ from pyspark.sql import types as T
 from marlstone.functions import text as X
 
 
+def chunk_bounds(costs: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Chunks as [from, to): each as long as `size` allows, by sums of the costs before each place.
+
+    What costs more than `size` is a chunk of its own. Any other chunk but the first after such a one begins with up to
+    `overlap` members of the chunk before, and has at least one more.
+    """
+    before = [0, *accumulate(costs)]
+    alone = [i for i, c in enumerate(costs) if c > size]
+    bounds: list[tuple[int, int]] = []
+    start = new = 0
+    while new < len(costs):
+        if alone and alone[0] == new:
+            start, end = new, alone.pop(0) + 1
+        else:
+            room = bisect_right(before, before[start] + size) - 1
+            end = min(max(room, new + 1), alone[0] if alone else len(costs))
+        bounds.append((start, end))
+        reset = end - 1 == start and costs[start] > size or bool(alone) and alone[0] == end
+        start, new = end if reset else max(start, end - overlap), end
+    return bounds
+
+
 def chunk_sentences(sentences: list[str], size: int, overlap: int | None = None, cost: Callable[[str], int] = lambda s: len(s.split())) -> list[list[str]]:
-    """Sentences in chunks of at most `size` cost: a longer sentence stands alone, a chunk repeats the last `overlap`."""
+    """The sentences in chunks; the default overlap is a twentieth of them, at least one."""
     overlap = max(1, len(sentences) // 20) if overlap is None else overlap
-    chunks, now, total = [], [], 0
-    for sentence in sentences:
-        c = cost(sentence)
-        if c > size:
-            if now:
-                chunks.append(now)
-            chunks.append([sentence])
-            now, total = [], 0
-            continue
-        if total + c > size and now:
-            chunks.append(now)
-            now = now[-overlap:] if overlap else []
-            total = sum(map(cost, now))
-        now = [*now, sentence]
-        total += c
-    return [*chunks, now] if now else chunks
+    return [sentences[a:b] for a, b in chunk_bounds(list(map(cost, sentences)), size, overlap)]
 
 
 def chunks(docs: DataFrame, size: int = 500, overlap: int | None = None, field: str = "text", key: str = "_key") -> DataFrame:
@@ -110,62 +118,62 @@ def write_digest(files: DataFrame, folder: str, path: str = "path", content: str
     total.select(F.format_string("files: %d, characters: %d, estimated tokens: %d", "files", "chars", "tokens").alias("value")).write.mode("overwrite").text(f"{folder}/SUMMARY")
 
 
-def functions_of(source: str | None, language: str) -> list[dict]:
-    """name, parameters and docstring of functions: Python by its grammar, other languages by their signatures."""
-    if not source:
-        return []
-    if language == "python":
-        try:
-            tree = ast.parse(source)
-        except (SyntaxError, ValueError, RecursionError):
-            return []
-        found = [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
-        found.sort(key=lambda n: n.lineno)
-        return [{"name": n.name, "parameters": [a.arg for a in (*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs)], "docstring": ast.get_docstring(n)} for n in found]
-    pattern = SIGNATURES.get(language)
-    if not pattern:
-        return []
-    out = []
-    for m in re.finditer(pattern, source, re.M):
-        words = [re.findall(r"[A-Za-z_$][\w$]*", p.split("=")[0].split(":")[0]) for p in m[2].split(",")]
-        pick = 0 if language in ("go", "rust", "javascript", "typescript") else -1
-        out.append({"name": m[1], "parameters": [w[pick] for w in words if w], "docstring": None})
-    return out
-
-
 #: How a function's name and parameters look in each language.
 SIGNATURES = {
+    "python": r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*)[ \t]*\(([^)]*)\)",
     "javascript": r"\bfunction\s+([A-Za-z_$][\w$]*)\s*\(([^)]*)\)",
     "typescript": r"\bfunction\s+([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\(([^)]*)\)",
-    "go": r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)\)",
+    "go": r"(?m)^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)\)",
     "rust": r"\bfn\s+([A-Za-z_]\w*)\s*(?:<[^>]*>)?\(([^)]*)\)",
-    "java": r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)+[\w<>\[\], ]+?\s+([A-Za-z_]\w*)\s*\(([^)]*)\)",
-    "c": r"^[A-Za-z_][\w\s*]*?\b([A-Za-z_]\w*)\s*\(([^)]*)\)\s*\{",
+    "java": r"(?m)^\s*(?:(?:public|private|protected|static|final|abstract)\s+)+[\w<>\[\], ]+?\s+([A-Za-z_]\w*)\s*\(([^)]*)\)",
+    "c": r"(?m)^[A-Za-z_][\w\s*]*?\b([A-Za-z_]\w*)\s*\(([^)]*)\)\s*\{",
 }
+#: Languages that name a parameter before its type; the others name it last.
+NAME_FIRST = ("python", "javascript", "typescript", "go", "rust")
 
 
 def code_functions(files: DataFrame, language: str, content: str = "content", key: str = "path") -> DataFrame:
-    """key, name, parameters, docstring of every function in the files."""
+    """key, place (from 0), name, parameters of every function in the files, by their signatures; other languages give no rows."""
+    if language not in SIGNATURES:
+        return files.select(key).limit(0).selectExpr(key, "cast(0 as int) as place", "'' as name", "array('') as parameters")
+    pattern = F.lit(SIGNATURES[language])
+    found = F.arrays_zip(F.regexp_extract_all(content, pattern, F.lit(1)).alias("name"), F.regexp_extract_all(content, pattern, F.lit(2)).alias("source"))
+    word = r"[A-Za-z_$][\w$]*"
 
-    @F.pandas_udf("array<struct<name string, parameters array<string>, docstring string>>")
-    def found(sources: pd.Series) -> pd.Series:
-        return pd.Series([functions_of(s, language) for s in sources])
+    def named(part: Column) -> Column:
+        names = F.regexp_extract_all(F.regexp_extract(part, r"^[^=:]*", 0), F.lit(word), F.lit(0))
+        return F.when(F.size(names) > 0, F.element_at(names, 1 if language in NAME_FIRST else -1))
 
-    return files.select(key, F.explode(found(content)).alias("f")).select(key, "f.*")
+    each = files.select(key, F.posexplode(found).alias("place", "f")).select(key, "place", "f.name", F.split("f.source", ",").alias("parts"))
+    return each.select(key, "place", "name", F.filter(F.transform("parts", named), lambda x: x.isNotNull()).alias("parameters"))
+
+
+_DECODER = json.JSONDecoder()
+
+
+def _decoded(source: str):
+    """The value that the text is, or the first object or array that begins in it, or None."""
+    try:
+        return json.loads(source)
+    except ValueError:
+        pass
+    for m in re.finditer(r"[\[{]", source):
+        try:
+            return _DECODER.raw_decode(source, m.start())[0]
+        except ValueError:
+            continue
+    return None
 
 
 def repair_json(text: str | None) -> str | None:
-    """The text as JSON: itself, or the first object or array in it, or its mended form; None if there is none."""
+    """The text as JSON: as it is, without commas before closing brackets, or with double quotes for single ones."""
     if text is None:
         return None
-    bracketed = re.search(r"(\[.*\]|\{.*\})", text, re.S)
-    for source in (text, bracketed[0] if bracketed else None):
-        for mended in (source, re.sub(r",\s*([}\]])", r"\1", source) if source else None, re.sub(r"'", '"', re.sub(r",\s*([}\]])", r"\1", source)) if source else None):
-            if mended:
-                try:
-                    return json.dumps(json.loads(mended))
-                except ValueError:
-                    continue
+    without_commas = re.sub(r",(?=\s*[}\]])", "", text)
+    for source in dict.fromkeys((text, without_commas, without_commas.replace("'", '"'))):
+        value = _decoded(source)
+        if value is not None:
+            return json.dumps(value)
     return None
 
 

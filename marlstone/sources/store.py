@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as X
+
 
 def latest(df: DataFrame, key: str, version: Sequence[Column]) -> DataFrame:
     """The row of each key with the greatest version."""
@@ -17,18 +19,74 @@ def latest(df: DataFrame, key: str, version: Sequence[Column]) -> DataFrame:
     return best.select("best.*")
 
 
-def upsert(base: DataFrame, added: DataFrame, key: str) -> DataFrame:
-    """added rows replace rows of equal keys; columns that either lacks are null."""
+def upsert(base: DataFrame, added: DataFrame, key: str, version: Sequence[Column] = ()) -> DataFrame:
+    """added rows replace rows of equal keys; columns that either lacks are null.
+
+    Of several added rows with one key the one with the greatest version stays, ties going to the greatest row.
+    """
+    order = [*version, F.xxhash64(*added.columns)]
+    added = latest(added, key, order)
     return base.join(added.select(key).distinct(), key, "left_anti").unionByName(added, allowMissingColumns=True)
 
 
-def merge_update(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Columns of updates that are not null replace those of the row with the key; no row is added."""
+def merge_update(base: DataFrame, updates: DataFrame, key: str, keep_nulls: bool = False) -> DataFrame:
+    """Columns of updates replace those of the row with the key; no row is added.
+
+    A null leaves the old value; with keep_nulls it replaces it, too.
+    """
     fields = [c for c in updates.columns if c != key]
-    renamed = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in fields])
-    names = [*base.columns, *[c for c in fields if c not in base.columns]]
+    renamed = updates.select(key, F.lit(True).alias("_updated"), *[F.col(c).alias(f"_new_{c}") for c in fields])
     joined = base.join(renamed, key, "left")
-    return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields and c in base.columns else F.col(f"_new_{c}").alias(c) if c in fields else F.col(c) for c in names])
+
+    def value(c: str) -> Column:
+        if c not in fields:
+            return F.col(c)
+        if c not in base.columns:
+            return F.col(f"_new_{c}").alias(c)
+        new = F.when(F.col("_updated"), F.col(f"_new_{c}")).otherwise(F.col(c)) if keep_nulls else F.coalesce(f"_new_{c}", c)
+        return new.alias(c)
+
+    return joined.select(*map(value, [*base.columns, *[c for c in fields if c not in base.columns]]))
+
+
+def with_embedding(docs: DataFrame, embed: Callable[[Column], Column] = X.hash_embedding, field: str = "content", vector: str = "embedding") -> DataFrame:
+    """docs with a vector for each text that is not empty; a vector that is there stays where the text has none.
+
+    Each distinct text is embedded once. embed: any function of a text column.
+    """
+    texts = docs.filter(F.length(F.trim(field)) > 0).select(F.col(field).alias("_text")).distinct()
+    made = texts.withColumn("_vector", embed(F.col("_text")))
+    joined = docs.join(made, F.col(field) == F.col("_text"), "left").drop("_text")
+    old = F.col(vector).cast("array<float>") if vector in docs.columns else F.lit(None).cast("array<float>")
+    return joined.withColumn(vector, F.coalesce("_vector", old)).drop("_vector")
+
+
+def create_edges(edges: DataFrame, added: DataFrame) -> DataFrame:
+    """The edges with added(src, dst, type, ...), each with the key of its ends and type; equal edges are one."""
+    keyed = added.withColumn("_key", edge_key("src", "dst", "type"))
+    return upsert(edges, keyed, "_key")
+
+
+def edge_key(src: str, dst: str, kind: str) -> Column:
+    return F.md5(F.concat_ws("\x1f", src, dst, kind))
+
+
+def delete_edges(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    return delete(edges, keys, "_key")
+
+
+def sample_collections(spark: SparkSession) -> dict[str, DataFrame]:
+    """A small collection of documents and its edges, to try queries on."""
+    docs = [
+        ("d1", "Sorting a list in place", "Use the sort method", ["lists", "sorting"]),
+        ("d2", "A loop runs out of memory", "Read the file in parts", ["memory", "files"]),
+        ("d3", "Finding near vectors", "Build an index of centroids", ["vectors", "search"]),
+        ("d4", "A query is slow", "Look at its plan first", ["search", "plans"]),
+        ("d5", "Two writers of one file", "Rename a new file into place", ["files"]),
+    ]
+    edges = [("d2", "d5", "related_to", 0.6), ("d3", "d4", "related_to", 0.8), ("d4", "d2", "references", 0.5)]
+    vertices = spark.createDataFrame(docs, "_key string, problem string, solution string, tags array<string>")
+    return {"documents": vertices, "edges": create_edges(spark.createDataFrame([], "src string, dst string, type string, weight double, _key string"), spark.createDataFrame(edges, "src string, dst string, type string, weight double"))}
 
 
 def delete(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -56,16 +114,19 @@ class Collection:
 
     def replace(self, df: DataFrame) -> int:
         """Write a new snapshot beside the others and rename it into place; its number. A lost race is an error."""
+        version = (self.versions() or [0])[-1] + 1
         staged = f"{self.path}/.{uuid.uuid4().hex}"
         df.write.parquet(staged)
-        version = (self.versions() or [0])[-1] + 1
-        target = self._paths(f"{self.path}/v{version}")
-        if self._fs.exists(target) or not self._fs.rename(self._paths(staged), target):
+        # The claim of a number is a file that only one writer can make; one that a writer left when it crashed is removed by hand.
+        if not self._fs.createNewFile(self._paths(f"{self.path}/.claim-{version}")):
             raise RuntimeError(f"version {version} was written by another writer")
+        if not self._fs.rename(self._paths(staged), self._paths(f"{self.path}/v{version}")):
+            raise RuntimeError(f"version {version} could not be published")
         return version
 
-    def create(self, docs: DataFrame) -> int:
-        """Add documents; those without key get one, and all a timestamp where they have none."""
+    def create(self, docs: DataFrame, embed: Callable[[Column], Column] | None = None, field: str = "content") -> int:
+        """Add documents; those without key get one, and all a timestamp where they have none. embed: makes their vectors."""
+        docs = with_embedding(docs, embed, field) if embed else docs
         docs = docs if self.key in docs.columns else docs.withColumn(self.key, F.lit(None).cast("string"))
         docs = docs if "timestamp" in docs.columns else docs.withColumn("timestamp", F.lit(None).cast("timestamp"))
         docs = docs.withColumns({self.key: F.coalesce(F.col(self.key), F.expr("uuid()")), "timestamp": F.coalesce("timestamp", F.current_timestamp())})
@@ -74,8 +135,10 @@ class Collection:
     def get(self, value) -> DataFrame:
         return self.read().filter(F.col(self.key) == value)
 
-    def update(self, updates: DataFrame) -> int:
-        return self.replace(merge_update(self.read(), updates.withColumn("updated_at", F.current_timestamp()), self.key))
+    def update(self, updates: DataFrame, embed: Callable[[Column], Column] | None = None, field: str = "content", keep_nulls: bool = False) -> int:
+        """embed: makes new vectors for the updates that have a text."""
+        updates = with_embedding(updates, embed, field) if embed else updates
+        return self.replace(merge_update(self.read(), updates.withColumn("updated_at", F.current_timestamp()), self.key, keep_nulls))
 
     def upsert(self, docs: DataFrame) -> int:
         return self.replace(docs if not self.versions() else upsert(self.read(), docs, self.key))
@@ -98,15 +161,16 @@ def labelled(rows: DataFrame, text: str = "question", rating: str = "rating", th
 
 
 def json_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Documents of JSON files; what is no object is an error."""
+    """Documents of JSON files, with or without a byte order mark; what is no object is an error."""
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def text_files(spark: SparkSession, folder: str, extensions: Sequence[str] = (), most_bytes: int = 10_000_000) -> DataFrame:
-    """path, content of text files below a folder."""
+def text_files(spark: SparkSession, folder: str, extensions: Sequence[str] = (), most_bytes: int | None = None) -> DataFrame:
+    """path, content of text files below a folder, without a byte order mark. most_bytes: leaves out longer files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if extensions:
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}")
-    files = reader.load(folder).filter(F.col("length") <= most_bytes)
+    files = reader.load(folder)
+    files = files if most_bytes is None else files.filter(F.col("length") <= most_bytes)
     return files.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("content"))
