@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
 from marlstone.operators import bm25, documents, keyword
+from marlstone.plans.registry import doc_index, index_of, longs, query, rounded, table
 from marlstone.plans.registry import documents as docs_of
-from marlstone.plans.registry import longs, query, rounded, table
 
 _D = "(SELECT *, [lang, source] AS tags FROM documents)"
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
@@ -114,28 +114,28 @@ def conditional_score(spark, sf_dir):
 
 @query(bm25_sql(["the", "hehely", "license"]))
 def bm25_topk(spark, sf_dir):
-    return hits(bm25.bm25_search(docs_of(spark, sf_dir), "the hehely License", key="doc_id"))
+    return hits(bm25.bm25_search(docs_of(spark, sf_dir), "the hehely License", key="doc_id", index=doc_index(spark, sf_dir)))
 
 
 @query(bm25_sql(["orantion", "thatin"], "lang = 'en' AND list_has_any([lang, source], ['src0', 'src1'])"))
 def bm25_filtered(spark, sf_dir):
     wanted = (F.col("lang") == "en") & documents.has_tags(["src0", "src1"])
-    return hits(bm25.bm25_search(docs_of(spark, sf_dir), "orantion thatin", filter_expr=wanted, key="doc_id"))
+    return hits(bm25.bm25_search(docs_of(spark, sf_dir), "orantion thatin", filter_expr=wanted, key="doc_id", index=doc_index(spark, sf_dir)))
 
 
 @query(bm25_sql(["von", "der"], tail="ORDER BY s DESC, doc_id LIMIT 10 OFFSET 10"))
 def bm25_paged(spark, sf_dir):
-    return hits(bm25.bm25_search(docs_of(spark, sf_dir), "von der", offset=10, key="doc_id"))
+    return hits(bm25.bm25_search(docs_of(spark, sf_dir), "von der", offset=10, key="doc_id", index=doc_index(spark, sf_dir)))
 
 
 @query(bm25_sql(["license"], "s >= 1.5", ""))
 def bm25_min_score(spark, sf_dir):
-    return hits(bm25.bm25_search(docs_of(spark, sf_dir), "license", min_score=1.5, top_n=None, key="doc_id"))
+    return hits(bm25.bm25_search(docs_of(spark, sf_dir), "license", min_score=1.5, top_n=None, key="doc_id", index=doc_index(spark, sf_dir)))
 
 
 @query(f"SELECT count(*) AS total FROM documents WHERE list_has_any({tok()}, ['hehely', 'thatin'])")
 def bm25_total(spark, sf_dir):
-    return bm25.bm25_scores(docs_of(spark, sf_dir), "hehely thatin").agg(F.count("*").alias("total"))
+    return bm25.scores(doc_index(spark, sf_dir), ["hehely", "thatin"]).agg(F.count("*").alias("total"))
 
 
 @query(f"""
@@ -143,19 +143,69 @@ WITH t AS (SELECT doc_id, {tok()} AS ws FROM documents),
 g AS (SELECT count(*) AS n_all, avg(len(ws)) AS a FROM t),
 p AS (SELECT doc_id, len(ws) AS l, term, count(*) AS f FROM (SELECT doc_id, ws, unnest(ws) AS term FROM t) GROUP BY ALL),
 n AS (SELECT term, count(*) AS n FROM p GROUP BY term),
-q AS (SELECT DISTINCT item_id, unnest({tok()}[1:3]) AS term FROM benchmark),
+q AS (SELECT DISTINCT item_id, unnest({tok()}) AS term FROM benchmark),
 s AS (SELECT item_id, doc_id, sum(ln(1 + (n_all - n + 0.5) / (n + 0.5)) * 2.2 * f / (f + 1.2 * (0.25 + 0.75 * l / a))) AS score
   FROM q JOIN p USING (term) JOIN n USING (term), g GROUP BY ALL)
 SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
 def bm25_batch(spark, sf_dir):
-    scores = bm25.bm25_batch(docs_of(spark, sf_dir).withColumn("_x", F.lit(1)), table(spark, sf_dir, "benchmark"), "item_id", "text", key="doc_id", top_n=1 << 30, most_terms=3).drop("rank")
-    return bm25.top_per_group(scores, "item_id", F.round("score", 9), "doc_id", 5).select("item_id", "doc_id", rounded("score"), "rank")
+    found = bm25.bm25_batch(doc_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", "text", top_n=5)
+    return found.select("item_id", F.col("key").alias("doc_id"), rounded("score"), "rank")
 
 
 @query(f"SELECT term, count(*) AS n_docs, CAST(sum(f) AS BIGINT) AS n_total FROM (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest({tok()}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def term_stats(spark, sf_dir):
-    return bm25.term_stats(docs_of(spark, sf_dir), key="doc_id")
+    return bm25.term_stats(doc_index(spark, sf_dir))
+
+
+@query(bm25_sql(["the", "hehely"], "lang = 'en'"))
+def bm25_unindexed(spark, sf_dir):
+    """Without a stored index: the postings of the query's terms are made from the texts."""
+    return hits(bm25.bm25_search(docs_of(spark, sf_dir), "the hehely", filter_expr="lang = 'en'", key="doc_id"))
+
+
+_FIELD = """SELECT 'text' AS field, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS ws FROM documents
+  UNION ALL SELECT 'source', doc_id, regexp_extract_all(lower(coalesce(source, '')), '[\\p{L}\\p{N}_]+') FROM documents"""
+
+
+@query(f"""WITH t AS ({_FIELD}), g AS (SELECT field, count(*) AS n_all, avg(len(ws)) AS a FROM t GROUP BY field),
+p AS (SELECT t.*, q.term, len(list_filter(ws, lambda w: w = q.term)) AS f FROM t, (VALUES ('hehely'), ('src1')) q(term)),
+n AS (SELECT field, term, count(*) AS n FROM p WHERE f > 0 GROUP BY ALL),
+s AS (SELECT doc_id, sum(ln(1 + (n_all - n + 0.5) / (n + 0.5)) * 2.2 * f / (f + 1.2 * (0.25 + 0.75 * len(ws) / a))) AS s FROM p JOIN n USING (field, term) JOIN g USING (field) WHERE f > 0 GROUP BY doc_id)
+SELECT doc_id, round(s, 6) AS score FROM s ORDER BY round(s, 9) DESC, doc_id LIMIT 20""")
+def bm25_fields(spark, sf_dir):
+    """Two fields, each with statistics of its own."""
+    index = index_of(spark, sf_dir, "documents", docs_of(spark, sf_dir), ["text", "source"])
+    found = bm25.scores(index, ["hehely", "src1"]).orderBy(F.desc(F.round("score", 9)), "key").limit(20)
+    return found.select(F.col("key").alias("doc_id"), rounded("score"))
+
+
+@query()
+def bm25_stemmed(spark, sf_dir):
+    """The stems of words are searched, in the query as in the texts."""
+    index = index_of(spark, sf_dir, "documents", docs_of(spark, sf_dir), analyzer="stems")
+    return hits(bm25.bm25_search(docs_of(spark, sf_dir), "Licensed licenses", key="doc_id", index=index))
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'de' AND n_chars > 1000 AND source IN ('src1', 'src2')")
+def sql_bound_parameters(spark, sf_dir):
+    text = "SELECT doc_id, lang, n_chars FROM {docs} WHERE lang = :lang AND n_chars > :least AND array_contains(:sources, source)"
+    return documents.run_sql(spark, text, {"lang": "de", "least": 1000, "sources": F.array(F.lit("src1"), F.lit("src2"))}, docs=docs_of(spark, sf_dir))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE contains(text, 'license') ORDER BY n_chars DESC, doc_id LIMIT 10")
+def like_newest_first(spark, sf_dir):
+    return documents.recent_with(docs_of(spark, sf_dir), "text", "license", "n_chars", "doc_id").select("doc_id", "n_chars")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 25")
+def first_documents(spark, sf_dir):
+    return documents.first_documents(docs_of(spark, sf_dir), 25, "doc_id").select("doc_id", "lang")
+
+
+@query()
+def sampled_documents(spark, sf_dir):
+    return documents.sample(docs_of(spark, sf_dir), 25, "doc_id").select("doc_id", "lang")
 
 
 @query(f"SELECT doc_id, CAST(len({tok()}) AS BIGINT) AS n_tokens FROM documents")
@@ -169,7 +219,7 @@ def doc_token_counts(spark, sf_dir):
     + " ORDER BY score DESC, s DESC, doc_id LIMIT 20"
 )
 def keyword_search_exact(spark, sf_dir):
-    found = keyword.search_keyword(docs_of(spark, sf_dir), "the hehely", key="doc_id", top_n=20)
+    found = keyword.search_keyword(docs_of(spark, sf_dir), "the hehely", key="doc_id", top_n=20, index=doc_index(spark, sf_dir))
     return found.select("doc_id", "score", rounded("bm25"))
 
 
@@ -187,16 +237,17 @@ def glossary_terms_sorted(spark, sf_dir):
     return longs(keyword.upsert_terms(old, added), "length").orderBy("term_lower")
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '\b(orantion|license|hehely)\b', '**\1**', 'gi') AS text FROM documents WHERE lang = 'en'")
+_MARKED = f"regexp_replace(text, '({X.WORD}+)', chr(1) || '\\1' || chr(1), 'g')"
+
+
+@query(f"SELECT doc_id, replace(regexp_replace({_MARKED}, chr(1) || '(orantion|license|hehely)' || chr(1), '**\\1**', 'gi'), chr(1), '') AS text FROM documents")
 def glossary_highlight(spark, sf_dir):
-    english = docs_of(spark, sf_dir).filter("lang = 'en'")
-    return english.select("doc_id", X.highlighted("text", ["license", "hehely", "orantion"]).alias("text"))
+    return docs_of(spark, sf_dir).select("doc_id", X.highlighted("text", ["license", "hehely", "orantion"]).alias("text"))
 
 
-@query(rf"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b(orantion|license|hehely)\b')) AS term FROM documents WHERE lang = 'en') GROUP BY ALL")
+@query(f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{X.WORD}+'))) AS term FROM documents) WHERE term IN ('orantion', 'license', 'hehely') GROUP BY ALL")
 def glossary_matches(spark, sf_dir):
-    english = docs_of(spark, sf_dir).filter("lang = 'en'")
-    return keyword.find_terms(english, ["license", "hehely", "orantion"], key="doc_id", most_chars=None).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return keyword.find_terms(docs_of(spark, sf_dir), ["license", "hehely", "orantion"], key="doc_id", most_chars=None).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
-from marlstone.operators import bm25, graph, messages, textproc
+from marlstone.operators import bm25, classify, graph, messages, textproc
 from marlstone.operators import documents as D
 from marlstone.plans.document_queries import bm25_sql
+from marlstone.plans.registry import doc_index, query, rounded, table
 from marlstone.plans.registry import documents as docs_of
-from marlstone.plans.registry import query, rounded, table
 from marlstone.sources import store
 from marlstone.streaming import index
 
@@ -83,7 +83,7 @@ def doc_edges(spark, sf_dir):
 
 @query(f"WITH h AS ({bm25_sql(['the', 'hehely'])}) SELECT w.start AS doc_id, h.score, w.vertex, w.depth FROM ({walk_sql('SELECT CAST(doc_id AS VARCHAR) AS start FROM (' + bm25_sql(['the', 'hehely']) + ')', 1, 2, edges=_DOC_EDGES)}) w JOIN h ON CAST(h.doc_id AS VARCHAR) = w.start")
 def graph_rag(spark, sf_dir):
-    found = bm25.bm25_search(docs_of(spark, sf_dir), "the hehely", key="doc_id").select("doc_id", "score")
+    found = bm25.bm25_search(docs_of(spark, sf_dir), "the hehely", key="doc_id", index=doc_index(spark, sf_dir)).select("doc_id", "score")
     out = graph.graph_rag(found, doc_edges(spark, sf_dir), "doc_id", min_depth=1, max_depth=2, direction="OUTBOUND")
     return out.select(F.col("doc_id").cast("string").alias("doc_id"), rounded("score"), F.explode("related").alias("r")).select("doc_id", "score", "r.vertex", "r.depth")
 
@@ -256,15 +256,52 @@ def summarize_hierarchical(spark, sf_dir):
     return textproc.summarise(docs_of(spark, sf_dir), direct_tokens=500, chunk_words=100, key="doc_id")
 
 
-@query()
+_FUNCTION = textproc.SIGNATURES["javascript"].replace("'", "''")
+
+
+@query(f"""WITH f AS (SELECT page_id AS path, regexp_extract_all(html, '{_FUNCTION}', 1) AS names, regexp_extract_all(html, '{_FUNCTION}', 2) AS sources FROM pages),
+e AS (SELECT path, unnest(range(len(names))) AS place, names, sources FROM f)
+SELECT path, place, names[place + 1] AS name, array_to_string(list_filter(list_transform(string_split(sources[place + 1], ','), lambda p: regexp_extract(p, '^[^A-Za-z_$=:]*([A-Za-z_$][A-Za-z0-9_$]*)', 1)), lambda n: n <> ''), ' ') AS parameters FROM e""")
 def code_functions(spark, sf_dir):
-    source = F.concat(F.lit("def f_"), F.col("page_id"), F.lit('(a, b=1):\n    """'), F.col("url"), F.lit('"""\n    return a\n'))
-    return textproc.code_functions(table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), source.alias("content")), "python")
+    found = textproc.code_functions(table(spark, sf_dir, "pages"), "javascript", "html", "page_id")
+    return found.select(F.col("page_id").alias("path"), F.col("place").cast("long").alias("place"), "name", F.array_join("parameters", " ").alias("parameters"))
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM labels WHERE quality = 1) AS n_complex")
+@query("""WITH r AS (SELECT count(*) AS original, count(CASE WHEN quality IN (0, 1) THEN 1 END) AS valid, count(CASE WHEN quality = 1 THEN 1 END) AS complex, count(CASE WHEN quality = 0 THEN 1 END) AS simple FROM labels)
+SELECT original, valid, original - valid AS invalid, complex, simple, 2 * least(complex, simple) AS balanced FROM r""")
 def collection_stats(spark, sf_dir):
-    n = docs_of(spark, sf_dir).count()
-    return table(spark, sf_dir, "labels").agg(F.lit(n).cast("long").alias("n_docs"), F.count(F.when(F.col("quality") == 1, 1)).alias("n_complex"))
+    return classify.dataset_stats(table(spark, sf_dir, "labels"), "quality")
+
+
+# Edges by key, links and vectors of documents.
+_KEY = "md5(src || chr(31) || dst || chr(31) || type)"
+
+
+@query(f"SELECT {_KEY} AS _key, src, dst, type FROM {_EDGES} WHERE type <> 'part_of' UNION ALL SELECT DISTINCT {_KEY}, src, dst, type FROM (SELECT 'n' || n_nationkey AS src, 'n' || (n_nationkey + 1) % 25 AS dst, 'near' AS type FROM nation)")
+def edges_created_and_deleted(spark, sf_dir):
+    edges = edges_of(spark, sf_dir)
+    edges = edges.withColumn("_key", store.edge_key("src", "dst", "type"))
+    near = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("n"), ((F.col("n_nationkey") + 1) % 25).cast("string")).alias("dst"), F.lit("near").alias("type"))
+    made = store.create_edges(edges, near.unionByName(near))
+    return store.delete_edges(made, edges.filter("type = 'part_of'")).select("_key", "src", "dst", "type")
+
+
+@query(f"SELECT src, dst, type, CASE WHEN src = 'n1' THEN dst ELSE src END AS other FROM {_EDGES} WHERE src = 'n1' OR dst = 'n1'")
+def edge_lookup(spark, sf_dir):
+    return graph.edge_lookup(edges_of(spark, sf_dir), "n1", "ANY").select("src", "dst", "type", "other")
+
+
+@query(f"SELECT DISTINCT m._key AS src, CAST(d.doc_id AS VARCHAR) AS dst, 'REFERS_TO' AS type, 'same number' AS rationale FROM {_MSGS} m JOIN documents d ON d.doc_id = m.conv_id WHERE m.turn = 0")
+def message_document_links(spark, sf_dir):
+    msgs = messages_of(spark, sf_dir)
+    links = msgs.filter("turn = 0").select(F.col("_key").alias("message"), F.col("conversation_id").alias("document"), F.lit("same number").alias("rationale"))
+    return messages.document_links(msgs, docs_of(spark, sf_dir), links.unionByName(links), "doc_id")
 
 
+@query("SELECT doc_id, CAST(CASE WHEN length(trim(text)) > 0 THEN 64 END AS BIGINT) AS dimension, count(*) OVER (PARTITION BY CASE WHEN length(trim(text)) > 0 THEN text END) AS n_same FROM documents")
+def embedded_documents(spark, sf_dir):
+    """Every document with a text gets a vector, equal texts the same one."""
+    docs = store.with_embedding(docs_of(spark, sf_dir).select("doc_id", F.col("text").alias("content")))
+    counts = docs.groupBy("embedding").agg(F.count("*").alias("n_same"))
+    joined = docs.join(counts, docs.embedding.eqNullSafe(counts.embedding)).drop(counts.embedding)
+    return joined.select("doc_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("dimension"), "n_same")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
 from marlstone.functions import vectors as V
-from marlstone.operators import bm25, classify, fusion, relations, vector
+from marlstone.operators import bm25, classify, fusion, graph, relations, vector
 from marlstone.operators import messages as msg
 from marlstone.plans.document_queries import bm25_sql
+from marlstone.plans.registry import doc_index, index_of, query, rounded, table
 from marlstone.plans.registry import documents as docs_of
-from marlstone.plans.registry import query, rounded, table
+from marlstone.sources import store
+from marlstone.sources.shared import written
 
 _E = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 _Q0 = f"(SELECT v AS q FROM {_E} WHERE vec_id = 0)"
@@ -140,7 +143,7 @@ SELECT doc_id, rank_0, rank_1, round({weights[0]} / (60 + rank_0) + {weights[1]}
 
 
 def text_hits(spark, sf_dir):
-    return bm25.bm25_search(docs_of(spark, sf_dir), "the hehely", min_score=0.1, top_n=20, key="doc_id").select("doc_id", "score")
+    return bm25.bm25_search(docs_of(spark, sf_dir), "the hehely", min_score=0.1, top_n=20, key="doc_id", index=doc_index(spark, sf_dir)).select("doc_id", "score")
 
 
 def near_hits(spark, sf_dir):
@@ -161,10 +164,34 @@ def rrf_unweighted(spark, sf_dir):
     return fused(fusion.reciprocal_rank_fusion([text_hits(spark, sf_dir), near_hits(spark, sf_dir)], [1.0, 1.0], "doc_id"))
 
 
-@query(_rrf_sql(_TEXT_HITS, _NEAR, ("0.5", "0.5"), "ORDER BY score DESC, doc_id LIMIT 10"))
+_HYBRID = _rrf_sql(_TEXT_HITS, _NEAR, ("0.5", "0.5"), "ORDER BY score DESC, doc_id LIMIT 10").replace("rank_1, round", "rank_1, count(*) OVER () AS total, round")
+
+
+@query(_HYBRID)
 def hybrid_search(spark, sf_dir):
-    found = fusion.hybrid_search(docs_of(spark, sf_dir), vectors_of(spark, sf_dir), "the hehely", first(spark, sf_dir), "doc_id", "vec_id", min_semantic=0.05)
-    return fused(found)
+    found = fusion.hybrid_search(docs_of(spark, sf_dir), vectors_of(spark, sf_dir), "the hehely", first(spark, sf_dir), "doc_id", "vec_id", min_score={"semantic": 0.05}, index=doc_index(spark, sf_dir))
+    return found.select("doc_id", "rank_0", "rank_1", "total", rounded("score", 9))
+
+
+_NEXT_DOC = "(SELECT a.doc_id AS src, b.doc_id AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND b.lang = a.lang)"
+
+
+@query(f"""WITH h AS ({_TEXT_HITS}), v AS ({_NEAR}), e AS {_NEXT_DOC},
+x AS (SELECT doc_id, s FROM h UNION ALL SELECT e.dst, 0.8 * s FROM h JOIN e ON e.src = h.doc_id),
+y AS (SELECT doc_id, s FROM x WHERE s >= 0.5),
+g AS (SELECT doc_id, max(r) AS r FROM (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM y) GROUP BY doc_id),
+l AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM h), m AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM v),
+k AS (SELECT doc_id FROM l UNION SELECT doc_id FROM m UNION SELECT doc_id FROM g)
+SELECT k.doc_id, count(*) OVER () AS total,
+  round(0.3 / (60 + coalesce(l.r, (SELECT count(*) + 1 FROM l))) + 0.5 / (60 + coalesce(m.r, (SELECT count(*) + 1 FROM m))) + 0.2 / (60 + coalesce(g.r, (SELECT count(*) + 1 FROM y))), 9) AS score
+FROM k LEFT JOIN l USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN g USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10""")
+def hybrid_graph(spark, sf_dir):
+    """Three legs: text, vectors, and what the edges between neighbouring documents of a language reach."""
+    d = docs_of(spark, sf_dir)
+    after = d.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("doc_id").cast("string").alias("dst"))
+    edges = d.select("doc_id", "lang").join(after, ["doc_id", "lang"]).select(F.col("doc_id").cast("string").alias("src"), "dst", F.lit("next").alias("type"))
+    found = fusion.hybrid_search(d, vectors_of(spark, sf_dir), "the hehely", first(spark, sf_dir), "doc_id", "vec_id", min_score={"semantic": 0.05}, index=doc_index(spark, sf_dir), edges=edges, types=["next"], direction="OUTBOUND")
+    return found.select("doc_id", "total", rounded("score", 9))
 
 
 _TAGGED = bm25_sql(["the", "hehely"], "s >= 0.1 AND list_has_any([lang, source], ['en', 'src1'])", "ORDER BY s DESC, doc_id LIMIT 20", extra=", s")
@@ -173,7 +200,7 @@ _NEAR_TAGGED = f"SELECT vec_id AS doc_id, {_COS} AS s FROM {_E}, {_Q0} WHERE {_C
 
 @query(_rrf_sql(_TAGGED, _NEAR_TAGGED, ("0.5", "0.5"), "ORDER BY score DESC, doc_id LIMIT 10"))
 def hybrid_tag_filtered(spark, sf_dir):
-    found = fusion.hybrid_search(docs_of(spark, sf_dir), vectors_of(spark, sf_dir), "the hehely", first(spark, sf_dir), "doc_id", "vec_id", tags=["en", "src1"], min_semantic=0.05)
+    found = fusion.hybrid_search(docs_of(spark, sf_dir), vectors_of(spark, sf_dir), "the hehely", first(spark, sf_dir), "doc_id", "vec_id", tags=["en", "src1"], min_score={"semantic": 0.05}, index=doc_index(spark, sf_dir))
     return fused(found)
 
 
@@ -204,19 +231,52 @@ _MSG = "(SELECT conv_id * 1000000 + turn AS doc_id, text, role, conv_id FROM con
 u AS (SELECT 'documents' AS collection, doc_id AS id, s FROM h UNION ALL SELECT 'messages', doc_id, s FROM m)
 SELECT collection, id, round(s, 6) AS score, (SELECT count(*) FROM u) AS total FROM u ORDER BY s DESC, collection, id LIMIT 10""")
 def unified_search(spark, sf_dir):
-    docs = bm25.bm25_search(docs_of(spark, sf_dir), "the hehely", min_score=0.1, top_n=None, key="doc_id").select(F.col("doc_id").alias("id"), "score")
-    found = bm25.bm25_scores(messages_of(spark, sf_dir), "the hehely", ["content"]).select("id", "score")
-    return fusion.unified([("documents", docs), ("messages", found)], "id").select("collection", "id", rounded("score"), "total")
+    def documents():
+        return bm25.bm25_search(docs_of(spark, sf_dir), "the hehely", min_score=0.1, top_n=None, key="doc_id", index=doc_index(spark, sf_dir)).select(F.col("doc_id").alias("id"), "score")
+
+    def messages():
+        return bm25.scores(message_index(spark, sf_dir), ["the", "hehely"]).withColumnRenamed("key", "id")
+
+    found = fusion.unified({"documents": documents, "messages": messages, "glossary": documents}, "id", exclude=["glossary"])
+    return found.select("collection", "id", rounded("score"), "total")
 
 
 def messages_of(spark, sf_dir):
     return msg.messages(table(spark, sf_dir, "conversations")).withColumn("id", F.col("conversation_id") * 1000000 + F.col("turn"))
 
 
+def message_index(spark, sf_dir):
+    return index_of(spark, sf_dir, "messages", messages_of(spark, sf_dir), ["content"], "id")
+
+
 @query(bm25_sql(["the", "hehely"], "role = 'user' AND conv_id BETWEEN 0 AND 1000000", source=_MSG).replace("SELECT doc_id, round", "SELECT doc_id AS id, round"))
 def message_search(spark, sf_dir):
-    wanted = (F.col("message_type") == "USER") & F.col("conversation_id").between(0, 1000000)
-    return bm25.bm25_search(messages_of(spark, sf_dir), "the hehely", ["content"], wanted, key="id").select("id", rounded("score"))
+    wanted = msg.wanted_messages(message_type="user", start=0, end=1000001, time="conversation_id")
+    found = msg.search_messages(messages_of(spark, sf_dir), "the hehely", "id", index=message_index(spark, sf_dir), wanted=wanted)
+    return found.select("id", rounded("score"))
+
+
+_MSG_TEXT = bm25_sql(["the", "hehely"], "role = 'user' AND s >= 0.1", "ORDER BY s DESC, doc_id LIMIT 20", _MSG, ", s")
+_MSG_NEAR = f"SELECT c.doc_id, {_COS} AS s FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM {_MSG}) c JOIN {_E} ON vec_id = c.n % 100, {_Q0} WHERE role = 'user' AND {_COS} >= 0.05 ORDER BY s DESC, c.doc_id LIMIT 20"
+
+
+@query(_rrf_sql(_MSG_TEXT, _MSG_NEAR, ("0.5", "0.5"), "ORDER BY score DESC, doc_id LIMIT 10").replace("SELECT doc_id, rank_0", "SELECT doc_id AS id, rank_0"))
+def message_search_hybrid(spark, sf_dir):
+    """Messages by text and by vector; a message's vector is one of the table's first hundred."""
+    msgs = messages_of(spark, sf_dir)
+    numbered = numbers(msgs, "id").withColumn("vec_id", F.col("n") % 100)
+    vectors = numbered.join(vectors_of(spark, sf_dir).select("vec_id", "embedding"), "vec_id").select("id", "embedding")
+    found = msg.search_messages(msgs, "the hehely", "id", "hybrid", message_index(spark, sf_dir), vectors, first(spark, sf_dir), msg.wanted_messages(message_type="user"), min_score={"bm25": 0.1, "semantic": 0.05})
+    return found.select("id", "rank_0", "rank_1", rounded("score", 9))
+
+
+def numbers(df, key):
+    """key, n: the keys numbered in their order, by counts of ranges."""
+    ranges = written(df.select(key).repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id()), "numbers")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = F.broadcast(ranges.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", before).drop("_n"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return ranges.withColumn("_own", own).join(sizes, "_range").select(key, (F.col("_own") - 1 + F.col("_before")).alias("n"))
 
 
 # Classification: labels of vectors by parity.
@@ -259,12 +319,14 @@ _SCORES = ("accuracy", "precision", "recall", "f1")
 
 @query(f"""WITH b AS ({_BIN}), ks(k) AS (VALUES (1), (5), (25)),
 v AS (SELECT k, query_id, CASE WHEN round(sum(CASE WHEN s <= 0 THEN 0 WHEN y = 1 THEN s * s ELSE -s * s END), 12) > 0 THEN 1 ELSE 0 END AS p FROM b, ks WHERE rank <= k GROUP BY ALL),
-c AS (SELECT k, {_CELLS} FROM (SELECT v.*, label % 2 AS actual FROM v JOIN embeddings ON vec_id = query_id) GROUP BY k)
-SELECT CAST(k AS BIGINT) AS k, tp, fp, fn, tn, {_METRICS} FROM c""")
+c AS (SELECT k, {_CELLS} FROM (SELECT v.*, label % 2 AS actual FROM v JOIN embeddings ON vec_id = query_id) GROUP BY k),
+d AS (SELECT k, avg(m) AS m FROM (SELECT k, query_id, CASE WHEN sum(CASE WHEN s > 0 THEN s * s ELSE 0 END) > 0
+  THEN greatest(sum(CASE WHEN s > 0 AND y = 1 THEN s * s ELSE 0 END), sum(CASE WHEN s > 0 AND y = 0 THEN s * s ELSE 0 END)) / sum(CASE WHEN s > 0 THEN s * s ELSE 0 END) ELSE 0 END AS m FROM b, ks WHERE rank <= k GROUP BY ALL) GROUP BY k)
+SELECT CAST(k AS BIGINT) AS k, tp, fp, fn, tn, {_METRICS}, round(m, 6) AS mean_confidence FROM c JOIN d USING (k)""")
 def knn_eval_by_k(spark, sf_dir):
     truth = vectors_of(spark, sf_dir).select(F.col("vec_id").alias("query_id"), (F.col("label") % 2).alias("actual"))
     out = classify.evaluate_by_k(binary_neighbours(spark, sf_dir), truth, "query_id", [1, 5, 25])
-    return out.select(F.col("k").cast("long").alias("k"), "tp", "fp", "fn", "tn", *[rounded(s) for s in _SCORES])
+    return out.select(F.col("k").cast("long").alias("k"), "tp", "fp", "fn", "tn", *[rounded(s) for s in _SCORES], rounded("mean_confidence"))
 
 
 @query(f"WITH c AS (SELECT {_CELLS} FROM (SELECT quality AS actual, CASE WHEN length(text) > 1500 THEN 1 ELSE 0 END AS p FROM labels JOIN documents USING (doc_id))) SELECT tp, fp, fn, tn, {_METRICS} FROM c")
@@ -279,19 +341,54 @@ def neighbor_mean_embedding(spark, sf_dir):
     return classify.mean_vectors(near, "query_id").select("query_id", F.col("at").cast("long").alias("pos"), rounded("mean"))
 
 
-@query(f"""WITH b AS (SELECT vec_id, {_COS} AS sim FROM {_E}, {_Q0} WHERE vec_id <> 0 AND {_COS} > 0.1),
-g AS (SELECT vec_id, CASE WHEN label = (SELECT label FROM embeddings WHERE vec_id = 0) THEN 1 ELSE 2 END AS d FROM embeddings WHERE vec_id BETWEEN 1 AND 40),
-m AS (SELECT vec_id, max(sim) AS sim, min(d) AS d FROM (SELECT vec_id, sim, NULL AS d FROM b UNION ALL SELECT vec_id, 0, d FROM g) GROUP BY vec_id),
-t AS (SELECT vec_id, 0.7 * sim + 0.3 * coalesce(1 - d / 3, 0) AS s FROM m ORDER BY round(s, 12) DESC, vec_id LIMIT 25)
-SELECT t.vec_id, round(s, 6) AS score, label % 2 AS label FROM t JOIN embeddings USING (vec_id)""")
-def graph_enhanced_classify(spark, sf_dir):
-    """The merged neighbours of vector 0: by cosine, and by a graph in which 1 to 40 are near it."""
+# Orders as edges between vectors: customer and order number, as far as there are such vectors.
+_LINKS = "(SELECT DISTINCT o_custkey AS a, o_orderkey AS b FROM orders WHERE o_custkey IN (SELECT vec_id FROM embeddings) AND o_orderkey IN (SELECT vec_id FROM embeddings))"
+_GRAPH_NEAR = f"""WITH RECURSIVE e AS (SELECT a, b FROM {_LINKS} UNION ALL SELECT b, a FROM {_LINKS}),
+w AS (SELECT 0 AS v, 0 AS d UNION SELECT 1, 0 UNION SELECT e.b, w.d + 1 FROM w JOIN e ON e.a = w.v WHERE w.d < 2),
+g AS (SELECT v AS vec_id, min(d) AS d FROM w GROUP BY v HAVING min(d) > 0),
+n AS (SELECT vec_id, {_COS} AS sim FROM {_E}, {_Q0} WHERE vec_id <> 0 AND {_COS} > 0.1),
+m AS (SELECT vec_id, max(sim) AS sim, min(d) AS d FROM (SELECT vec_id, sim, NULL AS d FROM n UNION ALL SELECT vec_id, 0, d FROM g) GROUP BY vec_id),
+t AS (SELECT vec_id, 0.7 * sim + 0.3 * coalesce(1 - d / 3, 0) AS s FROM m ORDER BY round(0.7 * sim + 0.3 * coalesce(1 - d / 3, 0), 12) DESC, vec_id LIMIT 25),
+r AS (SELECT t.vec_id, s, label % 2 AS y, row_number() OVER (ORDER BY round(s, 12) DESC, t.vec_id) AS rank FROM t JOIN embeddings USING (vec_id))"""
+
+
+def graph_neighbours(spark, sf_dir):
+    """vec_id, score: the neighbours of vector 0 by cosine, and those of vectors 0 and 1 by two steps over the orders' edges."""
     base = vectors_of(spark, sf_dir)
-    own = base.filter("vec_id = 0").first()["label"]
-    sem = vector.search(base, first(spark, sf_dir), "vec_id", filter_expr="vec_id <> 0", top_n=1 << 20).filter("score > 0.1")
-    graph = base.filter("vec_id between 1 and 40").select("vec_id", F.when(F.col("label") == own, 1).otherwise(2).alias("depth"))
-    best = classify.graph_scores(sem, graph, "vec_id").orderBy(F.desc(F.round("score", 12)), "vec_id").limit(25)
-    return best.join(base, "vec_id").select("vec_id", rounded("score"), (F.col("label") % 2).alias("label"))
+    ids = base.select("vec_id")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    links = orders.join(ids, orders.src == ids.vec_id, "left_semi").join(ids, orders.dst == ids.vec_id, "left_semi")
+    edges = links.select(F.col("src").cast("string"), F.col("dst").cast("string"), F.lit("order").alias("type"))
+    starts = spark.createDataFrame([("0",), ("1",)], "start string")
+    reached = graph.reachable(edges, starts, 2).groupBy(F.col("vertex").cast("long").alias("vec_id")).agg(F.min("depth").alias("depth")).filter("vec_id not in (0, 1)")
+    scored = base.filter("vec_id <> 0").withColumn("score", V.cosine(F.col("embedding"), V.literal(first(spark, sf_dir)))).filter("score > 0.1")
+    return classify.graph_scores(scored.select("vec_id", "score"), reached, "vec_id")
+
+
+@query(f"{_GRAPH_NEAR} SELECT vec_id, round(s, 6) AS score, y AS label FROM r")
+def graph_enhanced_classify(spark, sf_dir):
+    """The merged neighbours that vote on vector 0."""
+    best = graph_neighbours(spark, sf_dir).orderBy(F.desc(F.round("score", 12)), "vec_id").limit(25)
+    return best.join(vectors_of(spark, sf_dir), "vec_id").select("vec_id", rounded("score"), (F.col("label") % 2).alias("label"))
+
+
+@query(f"""{_GRAPH_NEAR}, v AS (SELECT sum(CASE WHEN y = 1 AND s > 0 THEN s * s ELSE 0 END) AS v1, sum(CASE WHEN y = 0 AND s > 0 THEN s * s ELSE 0 END) AS v0, count(*) AS n, count(CASE WHEN y = 1 THEN 1 END) AS n_complex FROM r)
+SELECT CAST(CASE WHEN v1 > v0 THEN 1 ELSE 0 END AS BIGINT) AS prediction, round(greatest(v0, v1) / (v0 + v1), 6) AS confidence, n, n_complex, n - n_complex AS n_simple,
+  (SELECT string_agg(vec_id || ':' || y, ' ' ORDER BY rank) FROM r WHERE rank <= 3) AS nearest FROM v""")
+def graph_enhanced_vote(spark, sf_dir):
+    labels = vectors_of(spark, sf_dir).select("vec_id", (F.col("label") % 2).alias("label"))
+    out = classify.graph_classify(graph_neighbours(spark, sf_dir), labels, "vec_id")
+    nearest = F.array_join(F.transform("nearest", lambda x: F.concat_ws(":", x["vec_id"], x["label"])), " ")
+    return out.select("prediction", rounded("confidence"), "n", "n_complex", "n_simple", nearest.alias("nearest"))
+
+
+@query("""WITH c AS (SELECT label % 3 AS a, label % 2 AS p FROM embeddings), k(c) AS (VALUES (0), (1), (2)),
+m AS (SELECT k.c, count(CASE WHEN a = k.c AND p = k.c THEN 1 END) AS tp, count(CASE WHEN a = k.c THEN 1 END) AS n, count(CASE WHEN p = k.c THEN 1 END) AS g FROM c, k GROUP BY k.c)
+SELECT round(sum(n * CASE WHEN g > 0 THEN tp / g ELSE 0 END) / sum(n), 6) AS "precision", round(sum(n * CASE WHEN n > 0 THEN tp / n ELSE 0 END) / sum(n), 6) AS recall,
+  round(sum(n * CASE WHEN n + g > 0 THEN 2 * tp / (n + g) ELSE 0 END) / sum(n), 6) AS f1, round(sum(tp) / sum(n), 6) AS accuracy FROM m""")
+def weighted_metrics(spark, sf_dir):
+    rows = vectors_of(spark, sf_dir).select((F.col("label") % 3).alias("a"), (F.col("label") % 2).alias("p"))
+    return classify.weighted_metrics(rows, "a", "p").select(*[rounded(s) for s in ("precision", "recall", "f1", "accuracy")])
 
 
 @query("SELECT doc_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS r, min(n) OVER () AS m FROM (SELECT *, count(*) OVER (PARTITION BY quality) AS n FROM labels)) WHERE r <= m")
@@ -323,28 +420,95 @@ def label_counts(spark, sf_dir):
     return table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT doc_id, CAST(64 AS BIGINT) AS dimension, true AS unit FROM documents WHERE text IS NOT NULL")
 def hash_embed(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("text").distinct().select(F.md5("text").alias("id"), X.hash_embedding("text").alias("embedding"))
+    """Each distinct text is embedded once, and its vector joined back."""
+    docs = docs_of(spark, sf_dir)
+    made = docs.select("text").distinct().withColumn("embedding", X.hash_embedding("text"))
+    out = docs.select("doc_id", "text").join(made, "text")
+    return out.select("doc_id", F.size("embedding").cast("long").alias("dimension"), (F.abs(V.norm(F.col("embedding")) - 1) < 1e-5).alias("unit"))
 
 
-@query()
+@query(f"SELECT vec_id, pos, round(x / sqrt(list_dot_product(v, v)), 6) AS value FROM (SELECT vec_id, v, unnest(v) AS x, unnest(range(64)) AS pos FROM {_E} WHERE label <> 3)")
+def normalised_embeddings(spark, sf_dir):
+    """The embedding matrix: rows with a vector that pass a filter, of length one."""
+    unit = vectors_of(spark, sf_dir).filter("embedding is not null and label <> 3").select("vec_id", V.normalised(F.col("embedding")).alias("v"))
+    return unit.select("vec_id", F.posexplode("v").alias("pos", "value")).select("vec_id", F.col("pos").cast("long").alias("pos"), rounded("value"))
+
+
+@query("SELECT least(10, (SELECT count(*) FROM documents)) AS n, true AS found_first, true AS by_text")
+def semantic_text_search(spark, sf_dir):
+    """A text as query: it is embedded as the documents are, so that an equal text comes first."""
+    docs = store.with_embedding(docs_of(spark, sf_dir).select("doc_id", "text"), field="text")
+    text = docs.orderBy("doc_id").first()["text"]
+    found = vector.search(docs, vector.embedded_query(spark, text), "doc_id")
+    best = F.max(F.when(F.col("text") == text, F.col("score")))
+    return found.agg(F.count("*").alias("n"), (best >= F.max("score") - 1e-9).alias("found_first"), (best > 0.999999).alias("by_text"))
+
+
+@query("SELECT doc_id FROM documents WHERE text = (SELECT text FROM documents WHERE doc_id = 7) ORDER BY doc_id LIMIT 1")
+def id_by_text(spark, sf_dir):
+    text = docs_of(spark, sf_dir).filter("doc_id = 7").first()["text"]
+    return vector.id_of_text(docs_of(spark, sf_dir), text, "doc_id")
+
+
+@query(f"SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, {_COS} AS s FROM {_E}, {_Q0} WHERE vec_id <> 0) WHERE s > 0.2 ORDER BY s DESC, vec_id LIMIT 1")
+def id_by_similarity(spark, sf_dir):
+    return top(vector.most_similar(vectors_of(spark, sf_dir).filter("vec_id <> 0"), first(spark, sf_dir), "vec_id", least=0.2))
+
+
+@query("SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS n_queries, true AS good")
 def ivf_topk(spark, sf_dir):
+    """The index's recall against the exact search of the same queries."""
     base = vectors_of(spark, sf_dir)
     queries = base.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return vector.ivf_search(base, queries, "query_id", "vec_id", probes=12, skip_same=True)
+    found = vector.ivf_search(base, queries, "query_id", "vec_id", skip_same=True)
+    exact = vector.batch_search(base, queries, "query_id", "vec_id", skip_same=True)
+    return vector.mean_recall(exact, found, "query_id", "vec_id").select("n_queries", (F.col("recall") >= 0.9).alias("good"))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM {_E} a JOIN {_E} b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.4),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT e.vec_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id) AS n_links, (SELECT min(r.b) FROM r WHERE r.a = e.vec_id) AS class_id FROM embeddings e""")
 def lsh_pairs(spark, sf_dir):
-    # At so low a cosine no hash tables reach all pairs, so all blocks are compared.
-    return vector.similar_pairs(vectors_of(spark, sf_dir), 0.4, "vec_id")
+    """The similarity join as one row for each vector: at so low a cosine no hash tables reach all pairs, so all blocks are compared."""
+    return vector.similarity_classes(vectors_of(spark, sf_dir), 0.4, "vec_id")
+
+
+@query(f"SELECT src, dst, round(s, 6) AS strength FROM ({_EDGES.replace(_E, _E.replace('FROM embeddings', 'FROM embeddings WHERE label IN (1, 2, 3)'))})")
+def filtered_similarity_edges(spark, sf_dir):
+    return relations.filtered_similarity_edges(vectors_of(spark, sf_dir), "vec_id", "label in (1, 2, 3)", 0.35).select("src", "dst", rounded("strength"))
+
+
+@query(f"""SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, 'semantic_similarity' AS type, round(s, 6) AS strength FROM ({_EDGES})
+UNION ALL SELECT src, dst, 'user_sequence', strength FROM (
+  WITH n AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events)
+  SELECT src, dst, round(least(1.0, 0.6 + 0.1 * (count(*) - 1)), 6) AS strength FROM n WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst)
+UNION ALL SELECT CAST(CASE WHEN b.label > a.label THEN hi ELSE lo END AS VARCHAR), CAST(CASE WHEN b.label > a.label THEN lo ELSE hi END AS VARCHAR), 'prerequisite', 0.8
+FROM (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, max(s) AS s FROM ({_EDGES}) WHERE s >= 0.4 GROUP BY ALL ORDER BY round(max(s), 12) DESC, lo, hi LIMIT 100) e
+JOIN embeddings a ON a.vec_id = lo JOIN embeddings b ON b.vec_id = hi WHERE a.label <> b.label""")
+def all_relationships(spark, sf_dir):
+    """Similarity, sequences of use, and prerequisites by a judge that takes the higher label as the earlier one."""
+
+    def judge(pairs):
+        before = F.when(F.col("src_label") > F.col("dst_label"), 1).when(F.col("src_label") < F.col("dst_label"), -1)
+        return pairs.withColumns({"direction": before, "rationale": F.lit("label")})
+
+    out = relations.all_relationships(vectors_of(spark, sf_dir), "vec_id", table(spark, sf_dir, "events"), "user_id", "event_type", [F.col("ts"), F.col("event_id")], judge, ["label"], threshold=0.35, min_strength=0.4)
+    return out.select("src", "dst", "type", rounded("strength"))
 
 
 @query()
 def logreg_baseline(spark, sf_dir):
+    """The held-out part's predictions."""
     data = vectors_of(spark, sf_dir).withColumn("y", (F.col("label") % 2).cast("double"))
-    _, out = classify.logistic_baseline(data, "y")
+    _, out = classify.logistic_baseline(data, "y", "vec_id")
     return out.select("vec_id", "y", "prediction")
 
 
+@query()
+def neighbour_logreg(spark, sf_dir):
+    near = neighbours(spark, sf_dir, 5).join(vectors_of(spark, sf_dir).select("vec_id", "embedding"), "vec_id")
+    labels = vectors_of(spark, sf_dir).select(F.col("vec_id").alias("query_id"), (F.col("label") % 2).cast("double").alias("y"))
+    _, out = classify.neighbour_baseline(near.withColumn("query_id", F.col("query_id").cast("long")), labels, "query_id", "y")
+    return out.select("query_id", "y", "prediction")
