@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,11 +38,32 @@ def sentences(text: Column | str) -> Column:
 
 
 def truncated(text: Column | str, most: int = 100) -> Column:
-    """Longer texts as their first and last halves of `most` characters around three dots."""
+    """Longer texts as their first and last halves of `most` characters around three dots; an image's header is kept before its data."""
     text = F.col(text) if isinstance(text, str) else text
-    half = most // 2
-    short = F.concat(F.substring(text, 1, half), F.lit("..."), F.right(text, F.lit(half)))
-    return F.when(F.length(text) > most, short).otherwise(text)
+    half = max(most // 2, min(most, 1))
+    header = F.regexp_extract(text, r"^data:image/[^;,]+;base64,", 0)
+    data = F.substring(text, F.length(header) + 1, F.length(text))
+    short = F.concat(header, F.substring(data, 1, half), F.lit("..."), F.right(data, F.lit(half)))
+    return F.when(F.length(data) > most, short).otherwise(text)
+
+
+def log_safe(df: DataFrame, most: int = 100, most_elements: int = 10) -> DataFrame:
+    """Rows for a log: long texts, arrays, and the texts in maps and structs, are cut short."""
+
+    def safe(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            return truncated(value, most)
+        if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, T.StructType | T.MapType | T.ArrayType):
+            return truncated_list(value, kind.elementType.simpleString(), most_elements)
+        if isinstance(kind, T.ArrayType):
+            return F.when(F.size(value) > most_elements, F.array().cast(kind)).otherwise(F.transform(value, lambda v: safe(v, kind.elementType)) if not isinstance(kind.elementType, T.ArrayType) else value)
+        if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
+            return F.transform_values(value, lambda _, v: truncated(v, most))
+        if isinstance(kind, T.StructType):
+            return F.when(value.isNotNull(), F.struct(*[safe(value[f.name], f.dataType).alias(f.name) for f in kind]))
+        return value
+
+    return df.select(*[safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
 
 
 def truncated_list(values: Column, kind: str, most: int = 10) -> Column:

@@ -16,31 +16,34 @@ from marlstone.sources.shared import written
 DIRECTIONS = ("OUTBOUND", "INBOUND", "ANY")
 
 
-def directed(edges: DataFrame, direction: str, types: Sequence[str] | None = None) -> DataFrame:
-    """from, to, type, eid of the steps that a direction allows."""
+def directed(edges: DataFrame, direction: str, types: Sequence[str] | None = None, strength: str | None = None) -> DataFrame:
+    """from, to, type, eid of the steps that a direction allows, and the edges' strength, if its column is named."""
     if direction not in DIRECTIONS:
         raise ValueError(f"unknown direction: {direction}")
     chosen = edges if types is None else edges.filter(F.col("type").isin(list(types)))
-    chosen = chosen.withColumn("eid", F.xxhash64("src", "dst", "type"))
-    out = chosen.select(F.col("src").alias("from"), F.col("dst").alias("to"), "type", "eid")
-    back = chosen.select(F.col("dst").alias("from"), F.col("src").alias("to"), "type", "eid")
+    more = ["type", F.xxhash64("src", "dst", "type").alias("eid"), *([F.col(strength).cast("double").alias("strength")] if strength else [])]
+    out = chosen.select(F.col("src").alias("from"), F.col("dst").alias("to"), *more)
+    back = chosen.select(F.col("dst").alias("from"), F.col("src").alias("to"), *more)
     return {"OUTBOUND": out, "INBOUND": back, "ANY": out.unionByName(back)}[direction]
 
 
-def traverse(edges: DataFrame, starts: DataFrame, min_depth: int = 1, max_depth: int = 1, direction: str = "ANY", types: Sequence[str] | None = None, unique: str = "vertices") -> DataFrame:
+def traverse(edges: DataFrame, starts: DataFrame, min_depth: int = 1, max_depth: int = 1, direction: str = "ANY", types: Sequence[str] | None = None, unique: str = "vertices", strength: str | None = None) -> DataFrame:
     """start, vertex, depth, path (array of vertices), edge_types: one row for each path from starts(start).
 
+    strength: a column of the edges, carried as the array `strengths`.
+
     unique: no vertex, or no edge, repeats in a path. The loop is bounded by max_depth, each step being a join.
     """
     if min_depth < 0 or max_depth < min_depth:
         raise ValueError("depths must be 0 <= min_depth <= max_depth")
-    steps = directed(edges, direction, types)
-    at = starts.select("start", F.col("start").alias("vertex"), F.lit(0).cast("long").alias("depth"), F.array("start").alias("path"), F.array().cast("array<string>").alias("edge_types"), F.array().cast("array<long>").alias("used"))
+    steps = directed(edges, direction, types, strength)
+    carried = [F.array().cast("array<double>").alias("strengths")] if strength else []
+    at = starts.select("start", F.col("start").alias("vertex"), F.lit(0).cast("long").alias("depth"), F.array("start").alias("path"), F.array().cast("array<string>").alias("edge_types"), F.array().cast("array<long>").alias("used"), *carried)
     found = at if min_depth == 0 else None
     for depth in range(1, max_depth + 1):
         new = at.join(steps, at.vertex == steps["from"])
         new = new.filter(~F.array_contains("path", F.col("to")) if unique == "vertices" else ~F.array_contains("used", F.col("eid")))
-        at = new.select("start", F.col("to").alias("vertex"), F.lit(depth).cast("long").alias("depth"), F.array_append("path", F.col("to")).alias("path"), F.array_append("edge_types", F.col("type")).alias("edge_types"), F.array_append("used", F.col("eid")).alias("used"))
+        at = new.select("start", F.col("to").alias("vertex"), F.lit(depth).cast("long").alias("depth"), F.array_append("path", F.col("to")).alias("path"), F.array_append("edge_types", F.col("type")).alias("edge_types"), F.array_append("used", F.col("eid")).alias("used"), *([F.array_append("strengths", F.col("strength")).alias("strengths")] if strength else []))
         if depth >= min_depth:
             found = at if found is None else found.unionByName(at)
     return found.drop("used")

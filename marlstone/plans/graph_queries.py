@@ -72,6 +72,21 @@ def related_counts(spark, sf_dir):
     return graph.traverse(edges_of(spark, sf_dir), starts, 1, 2, "ANY").groupBy("start").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
 
 
+_STRONG = f"(SELECT *, CASE type WHEN 'part_of' THEN 0.9 WHEN 'lives_in' THEN 0.7 ELSE 0.5 END::DOUBLE AS strength FROM {_EDGES})"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst, type, strength FROM {_STRONG} UNION ALL SELECT dst, src, type, strength FROM {_STRONG}),
+w AS (SELECT 'r0' AS vertex, 0 AS depth, ['r0'] AS path, '' AS type, 0.0::DOUBLE AS strength
+  UNION ALL SELECT e.dst, w.depth + 1, list_append(w.path, e.dst), e.type, e.strength FROM w JOIN e ON e.src = w.vertex WHERE w.depth < 2 AND NOT list_contains(w.path, e.dst))
+SELECT vertex, CAST(depth AS BIGINT) AS depth, type, strength FROM w WHERE depth > 0""")
+def related_topics(spark, sf_dir):
+    """What is related to a region in two steps, with the last edge's type and strength."""
+    strength = F.when(F.col("type") == "part_of", 0.9).when(F.col("type") == "lives_in", 0.7).otherwise(0.5)
+    edges = edges_of(spark, sf_dir).withColumn("strength", strength)
+    found = graph.traverse(edges, spark.createDataFrame([("r0",)], "start string"), 1, 2, "ANY", strength="strength")
+    return found.select("vertex", "depth", F.element_at("edge_types", -1).alias("type"), F.element_at("strengths", -1).alias("strength"))
+
+
 _DOC_EDGES = "(SELECT CAST(a.doc_id AS VARCHAR) AS src, CAST(b.doc_id AS VARCHAR) AS dst, 'next' AS type FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND b.lang = a.lang)"
 
 

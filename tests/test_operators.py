@@ -255,6 +255,10 @@ def test_code(spark, language, source, want):
 def test_truncation(spark):
     df = spark.createDataFrame([("a" * 60 + "b" * 60,), ("short",), (None,)], "t string")
     assert [r[0] for r in df.select(X.truncated("t", 10)).collect()] == ["aaaaa...bbbbb", "short", None]
+    image = "data:image/png;base64," + "A" * 30
+    rows = spark.createDataFrame([(image, list(range(12)), {"k": "v" * 20}, ("x" * 20, 5), 7)], "s string, l array<int>, m map<string,string>, t struct<a:string,b:int>, n int")
+    safe = X.log_safe(rows, 4).first()
+    assert (safe.s, safe.l, safe.m, tuple(safe.t), safe.n) == ("data:image/png;base64,AA...AA", ["[<12 int elements>]"], {"k": "vv...vv"}, ("xx...xx", 5), 7)
 
 
 def test_collection(spark, tmp_path):
