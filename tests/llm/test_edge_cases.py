@@ -223,3 +223,28 @@ def test_html_of_drawings_formulas_and_objects(html, want):
 def test_every_single_letter_has_a_trigram():
     letters = [chr(c) for c in range(0x3000) if chr(c).isalpha()]
     assert all(sum(map(len, language.trigrams(x))) for x in letters)
+
+
+def test_pipeline_over_odd_tables(spark, tmp_path):
+    words = lambda name, n=80: " ".join(f"{name}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    item = "a benchmark question of some length that stands in a text as it is"
+    rows = [
+        (1, words("twice"), "en"), (1, words("twice"), "en"), (None, words("nameless"), None), (None, None, "en"), (2, "", "en"), (3, "123 456", "en"),
+        (4, f"{words('x', 30)} {item} {words('y', 30)}", "en"), (5, words("clean"), None), (6, f"{words('head', 40)} {words('shared', 70)}", "en"), (7, f"{words('shared', 70)} {words('tail', 40)}", "en"),
+    ]
+    clashes = {c: F.lit("clash") for c in [*CLASHES, "_row", "_lang", "_spans", "proportions"] if c != "text"}
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns(clashes)
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    items = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    # Without letters: rejected; of the equal rows one stays; the item's document goes; the shared passage goes from both.
+    assert sorted(((r.doc_id, r.n_tokens > 0) for r in out), key=str) == sorted([(1, True), (None, True), (5, True), (6, True), (7, True)], key=str)
+    left = {r.doc_id: len(r.ids) for r in out}
+    assert left[6] < left[5] and left[7] < left[5]
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    items.write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
+    docs.write.parquet(f"{tmp_path}/c/documents.parquet")
+    items.limit(0).write.parquet(f"{tmp_path}/c/benchmark.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/c").collect()} == {1, None, 4, 5, 6, 7}
