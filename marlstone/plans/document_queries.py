@@ -250,12 +250,26 @@ def glossary_matches(spark, sf_dir):
     return keyword.find_terms(docs_of(spark, sf_dir), ["license", "hehely", "orantion"], key="doc_id", most_chars=None).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
-@query()
+def ratio_sql(word: str, term: str) -> str:
+    """The normalised indel similarity of a word with a term: a row of common subsequence lengths, folded over the word."""
+    m, codes = len(term), [ord(c) for c in term]
+    cell = f"greatest(acc[i], CASE WHEN ({codes})[i] = x[1] THEN CASE WHEN i > 1 THEN acc[i - 1] ELSE 0 END + 1 ELSE 0 END)"
+    row = f"list_transform(range(1, {m + 1}), lambda j: list_max(list_transform(range(1, j + 1), lambda i: {cell})))"
+    letters = f"list_transform(string_split({word}, ''), lambda c: [CAST(unicode(c) AS BIGINT)])"
+    return f"(200.0 * list_reduce({letters}, lambda acc, x: {row}, CAST({[0] * m} AS BIGINT[]))[{m}] / (length({word}) + {m}))"
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(list_distinct({tok()})) AS word FROM documents),
+r AS (SELECT word, {ratio_sql("word", "orantions")} AS ratio FROM (SELECT DISTINCT word FROM w WHERE 200 * least(length(word), 9) >= 90 * (length(word) + 9)))
+SELECT doc_id, max(ratio) / 100 AS score FROM w JOIN r USING (word) WHERE ratio >= 90 GROUP BY doc_id""")
 def fuzzy_keyword(spark, sf_dir):
     return keyword.fuzzy_keyword(docs_of(spark, sf_dir), "orantions", 90.0, key="doc_id")
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, unnest([lang, source]) AS tag FROM documents),
+r AS (SELECT tag, 'src-1' AS wanted, {ratio_sql("lower(tag)", "src-1")} AS ratio FROM (SELECT DISTINCT tag FROM t WHERE tag IS NOT NULL)
+  UNION ALL SELECT tag, 'eng', {ratio_sql("lower(tag)", "eng")} FROM (SELECT DISTINCT tag FROM t WHERE tag IS NOT NULL))
+SELECT doc_id, count(DISTINCT wanted) AS matched FROM t JOIN r USING (tag) WHERE ratio >= 75 GROUP BY doc_id""")
 def fuzzy_tags(spark, sf_dir):
     return keyword.fuzzy_tags(docs_of(spark, sf_dir), ["src-1", "eng"], 75.0, key="doc_id")
 

@@ -33,17 +33,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("tags", F.array("lang", "source"))
 
 
-_INDEXES: dict[tuple, str] = {}
+_INDEXES: dict[tuple, bm25.TextIndex] = {}
 
 
 def index_of(spark: SparkSession, sf_dir: str, name: str, docs: DataFrame, fields: Sequence[str] = ("text",), key: str = "doc_id", analyzer: str = "words") -> bm25.TextIndex:
     """The stored index of a collection: built when it is first asked for in the application, then read."""
     which = (spark.sparkContext.applicationId, sf_dir, name, tuple(fields), key, analyzer)
     if which not in _INDEXES:
-        folder = shared_dir(spark, f"index-{name}")
-        bm25.build_index(docs, folder, fields, key, analyzer)
-        _INDEXES[which] = folder
-    return bm25.open_index(spark, _INDEXES[which])
+        _INDEXES[which] = bm25.build_index(docs, shared_dir(spark, f"index-{name}"), fields, key, analyzer)
+    return _INDEXES[which]
 
 
 def doc_index(spark: SparkSession, sf_dir: str) -> bm25.TextIndex:
