@@ -112,11 +112,11 @@ def batch_search(df: DataFrame, queries: DataFrame, query_id: str, key: str, vec
     spark = df.sparkSession
     wanted = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v")).filter("q is not null and v is not null")
     base = df.select(F.col(key).cast("long"), vector).filter(F.col(vector).isNotNull())
-    blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
+    first = wanted.limit(QUERY_BLOCK + 1).collect()
+    blocks = 1 if len(first) <= QUERY_BLOCK else -(-wanted.count() // QUERY_BLOCK)
     found = None
     for block in range(blocks):
-        own = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block)
-        held = own.orderBy("q").collect()
+        held = first if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast((np.array([r.q for r in held], np.int64), np.array([r.v for r in held], np.float64)))
 
         def run(batches, shared=shared):
