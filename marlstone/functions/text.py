@@ -86,20 +86,13 @@ def highlighted(text: Column | str, terms: list[str]) -> Column:
     return F.regexp_replace(text, pattern, r"\*\*$1\*\*")
 
 
-def ngrams(text: Column, n: int = 3) -> Column:
-    """Distinct character n-grams of the lower-cased text."""
-    low = F.lower(text)
-    count = F.length(low) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
-    return F.when(count >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
-
-
 def ngram_similarity(text: Column, query: str, n: int = 3) -> Column:
-    """The share of the query's n-grams that the text has."""
+    """The share of the query's n-grams that the text has: those that it contains."""
     own = sorted({query.lower()[i : i + n] for i in range(len(query) - n + 1)})
     if not own:
         return F.lit(0.0)
-    return F.size(F.array_intersect(ngrams(text, n), F.array(*map(F.lit, own)))) / F.lit(float(len(own)))
+    low = F.lower(text)
+    return sum((F.contains(low, F.lit(g)).cast("int") for g in own), F.lit(0)) / F.lit(float(len(own)))
 
 
 def _common_subsequence(a: str, b: str) -> int:
