@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -354,10 +355,12 @@ def test_long_texts_are_looked_up_in_parts(monkeypatch):
     found = [decontaminate.normal(word()) for _ in range(3)]
     text = decontaminate.normal("".join(word() + " " + found[i % 3] for i in range(40)))
     items = decontaminate.Items(list(enumerate(found)), 10)
-    whole = set(items.regions(text))
-    monkeypatch.setattr(decontaminate, "PART_CHARS", 50)
-    assert {k for k, _, _ in whole} == {0, 1, 2} and set(items.regions(text)) >= {r for r in whole if r[1] == r[2] or text.startswith(found[r[0]], r[1])}
-    assert {k for k, _, _ in items.regions(text)} == {0, 1, 2}
+    at = [(k, m.start()) for k, item in enumerate(found) for m in re.finditer(re.escape(item), text)]
+    assert len(at) >= 40
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(decontaminate, "PART_CHARS", size)
+        regions = items.regions(text)
+        assert all(any(r[0] == k and r[1] <= p <= r[2] for r in regions) for k, p in at)
 
 
 def test_equal_edits_at_two_places(spark):
@@ -584,7 +587,6 @@ def test_time_grows_with_the_page():
 
 def test_all_visible_words_are_kept(spark):
     """Against a plain removal of hidden parts and tags: the same words in the same order."""
-    import re
     from html import unescape
 
     for row in spark.read.parquet(f"{DATA}/sf0.001/pages.parquet").collect():
