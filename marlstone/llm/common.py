@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.sources.shared import shared_dir, written
 
-__all__ = ["BROADCAST_KEYS", "release_memory", "shared_dir", "shared_file", "slices", "table", "without", "written"]
+__all__ = ["BROADCAST_KEYS", "release_memory", "shared_dir", "shared_file", "short_batches", "slices", "table", "without", "written"]
 
 #: Rows of an Arrow batch that a Python helper holds as Python objects at a time.
 SLICE_ROWS = 512
@@ -19,7 +19,19 @@ SLICE_ROWS = 512
 SLICE_BYTES = 16 << 20
 
 
+#: Rows of the Arrow batches between Spark and its Python workers.
+ARROW_ROWS = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have at most ARROW_ROWS rows: texts are long, and batches lie outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
