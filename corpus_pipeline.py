@@ -20,6 +20,7 @@ PASSAGE_WORDS = 50
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or without a main language go; a missing lang is filled in."""
+    common.short_batches(spark)
     docs = docs.select(*COLUMNS)
     langs, log_p = language.learn(docs, "lang", "text")
     keyed = docs.withColumn("_digest", substring_dedup.digest("text"))
@@ -35,6 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: that with the smallest id, then the smallest digest of the text."""
+    common.short_batches(spark)
     # Written, so that a row has the same number whenever it is read.
     keyed = common.written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "near-docs")
     surplus = near_dup.surplus_rows(keyed.withColumn("_digest", substring_dedup.digest("text")), "_digest", "_row")
@@ -43,12 +45,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat go from the texts; a document stays, with the text that is left."""
+    common.short_batches(spark)
     cut = substring_dedup.remove_repeats(docs.select(*COLUMNS), window=PASSAGE_WORDS)
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    common.short_batches(spark)
     keyed = docs.withColumn("_digest", substring_dedup.digest("text"))
     found = decontaminate.matches(keyed, common.table(spark, sf_dir, "benchmark"), id_col="_digest")
     return common.without(keyed, found.select("_digest"), "_digest").select(*COLUMNS)
@@ -56,6 +60,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the digests of ids and decoded text."""
+    common.short_batches(spark)
     return bpe.round_trip(docs, keep_ids=True)
 
 
