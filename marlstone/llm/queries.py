@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, decontaminate, html_text, language, license, near_dup, quality, substring_dedup, token_rollup, warc
+from marlstone.llm import alignment, bpe, decontaminate, divergence, html_text, language, license, near_dup, quality, sentence_piece, substring_dedup, token_rollup, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_count_min_substrings": substring_dedup.op8_count_min_substrings,
         "op9_rule_bitmask_ledger": quality.op9_rule_bitmask_ledger,
         "op10_qgram_decontamination": decontaminate.op10_qgram_decontamination,
+        "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_piece_backtracking": sentence_piece.op12_piece_backtracking,
+        "op13_label_spans": alignment.op13_label_spans,
     }
 
 
@@ -131,9 +134,40 @@ SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_
 """
 
 
+# By the definition: every kept term for every group and pair.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+o AS (SELECT i, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+langs AS (SELECT lang, sum(n) AS total, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (
+  SELECT gn.lang, gn.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (gn.total + langs.v) AS p,
+    1 + (1000000000 * (kept.n + 1)) // (langs.total + langs.v) AS q
+  FROM gn JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = kept.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+all_pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM all_pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_token_rollup": OP1_SQL,
+        "op11_source_divergence": OP11_SQL,
         "op5_bottom_k_near_dup": OP5_SQL,
         "op6_license_set_join": OP6_SQL,
         "op7_warc_salvage": OP7_SQL,
