@@ -4,8 +4,8 @@ Changes to documents are signed rows: an insert adds its count, a delete takes i
 both. Each batch of changes is summed by source, language and tokenizer version and committed by renaming its folder
 into place, under the batch's id and a name of its own, so that no two writers ever meet. Totals are the sum of the
 last compacted base and of one folder for each later batch: the one whose name comes first, should a batch have been
-sent more than once. A base lists the batches that it holds, from the same listing that its totals are read by. So a
-batch can be sent again after any failure, by several writers, and while a base is made: it counts once. The ids of
+sent more than once. A base lists the batches that it holds: those of the base that its totals start from, and those
+of the listing that they go on with, whatever other bases are made meanwhile. So a batch can be sent again after any failure, by several writers, and while a base is made: it counts once. The ids of
 the batches, a few bytes for each commit, are all that the driver holds.
 
 Defined cases: null sources and languages are groups of their own; a null text has no tokens but is a document;
@@ -115,24 +115,25 @@ class TokenRollup:
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], _SCHEMA)
 
-    def _totals(self, batches: dict[str, str]) -> DataFrame:
+    def _totals(self, batches: dict[str, str]) -> tuple[DataFrame, set[str]]:
+        """The totals of the newest base and the later batches, and the ids of all batches in them."""
         bases = self._names("bases")[-1:]
         base = [f"{self.path}/bases/{b}/totals" for b in bases]
         done = {r[0] for b in bases for r in self.spark.read.schema("batch_id string").parquet(f"{self.path}/bases/{b}/batches").collect()}
         rows = self._read(base + [f"{self.path}/deltas/{name}" for batch, name in batches.items() if batch not in done])
         summed = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return summed.filter("n_docs <> 0 or n_tokens <> 0")
+        return summed.filter("n_docs <> 0 or n_tokens <> 0"), done | set(batches)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens."""
-        return self._totals(self._batches())
+        return self._totals(self._batches())[0]
 
     def compact(self) -> None:
         """Make a new base of the batches committed so far; their ids stay known. Of bases made at once, the last counts."""
-        batches = self._batches()
         staged = f"{self.path}/staged/{uuid.uuid4().hex}"
-        self._totals(batches).coalesce(8).write.parquet(f"{staged}/totals")
-        self.spark.createDataFrame([(b,) for b in batches], "batch_id string").coalesce(1).write.parquet(f"{staged}/batches")
+        totals, ids = self._totals(self._batches())
+        totals.coalesce(8).write.parquet(f"{staged}/totals")
+        self.spark.createDataFrame([(b,) for b in sorted(ids)], "batch_id string").coalesce(1).write.parquet(f"{staged}/batches")
         self._publish(staged, "bases", f"{len(self._names('bases')):08d}.{uuid.uuid4().hex}")
 
 

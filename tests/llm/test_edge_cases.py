@@ -172,6 +172,27 @@ def test_rollup_with_two_writers_and_a_commit_during_compaction(spark, monkeypat
     assert total() == [(3, 15)] and not store.commit("b", rows)
 
 
+def test_rollup_with_two_compactions_at_once(spark, monkeypatch):
+    rows = spark.createDataFrame([("s", "en", "t", 1, 10)], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
+    store, other = (token_rollup.TokenRollup(spark, path) for path in [common.shared_dir(spark, "rollup-test")] * 2)
+    store.commit("one", rows)
+    listed = store._batches
+
+    def late():
+        found = listed()
+        other.commit("two", rows)
+        other.compact()
+        return found
+
+    monkeypatch.setattr(store, "_batches", late)
+    store.compact()
+    monkeypatch.undo()
+    for _ in range(2):
+        assert [tuple(r) for r in store.totals().collect()] == [("s", "en", "t", 2, 20)]
+        store.compact()
+    assert not store.commit("two", rows)
+
+
 def test_rollup_counts_real_tokens(spark):
     docs = spark.createDataFrame([(1, "Hello, world!", "s", "en"), (2, None, "s", None)], "doc_id long, text string, source string, lang string")
     out = {(r.doc_id, r.tokenizer): r.n_tokens for r in token_rollup.counts(docs, "words@1", "byte_bpe_50k@1").collect()}
