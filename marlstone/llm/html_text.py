@@ -8,7 +8,8 @@ Defined cases: a null or empty page has an empty text; text outside any element
 with the page, and a tag that never closes is none, as are the characters after its `<`; a drawing's labels stand on
 lines of their own, a formula's text stands in its line, without its annotations; an object's fallback is shown, as
 it does not load; buttons show their value; cells that span columns or rows leave the places that they cover empty,
-and cells wider than WIDEST_CELL are not padded to; elements nested deeper than DEPTH are flattened, their text kept;
+columns without any text are left out, and cells wider than WIDEST_CELL are not padded to; elements nested deeper than
+DEPTH are flattened, their text kept where it is visible;
 repeated rows are rendered each; an empty table gives an empty result; other columns are not read.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -138,6 +140,8 @@ def build(html: str) -> Node:
     """The page's tree; strings are text. Implied: the ends of ENDS and of a head, rows around lone cells."""
     root = Node("html", {})
     stack = [root]
+    #: Elements below the deepest that are open, yet not on the stack, by tag.
+    flat: Counter[str] = Counter()
 
     def text(source: str) -> None:
         if source:
@@ -150,9 +154,13 @@ def build(html: str) -> Node:
         text(unescape(before))
         if tag[:1] == "/":
             tag = tag[1:]
+            if flat[tag]:
+                flat[tag] -= 1
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
+                    flat.clear()
                     break
                 # A cell's content does not end what is around the table.
                 if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
@@ -170,6 +178,7 @@ def build(html: str) -> Node:
                     while tag in ("tr", "thead", "tbody", "tfoot") and cut > 1 and stack[cut - 1].tag in ended:
                         cut -= 1
                     del stack[cut:]
+                    flat.clear()
                     break
                 if stack[i].tag in bound:
                     break
@@ -182,10 +191,11 @@ def build(html: str) -> Node:
             stack[-1].children.append(node)
             if tag in VOID or closed and tag not in BLOCK and tag not in RAW:
                 continue
-            if len(stack) < DEPTH:
-                stack.append(node)
-            elif tag in HIDDEN or not visible(node):
+            # One hidden element may lie deeper; all in it is hidden with it.
+            if len(stack) < DEPTH or len(stack) == DEPTH and not visible(node):
                 stack.append(node)
+            else:
+                flat[tag] += 1
             if tag in RAW:
                 source = parts.send(tag)
                 text(unescape(source) if tag in ("textarea", "title") else source)
@@ -306,7 +316,7 @@ def _flat(node: Node) -> str:
 def _table(table: Node, stats: dict[str, int]) -> list[str]:
     """The table's rows, cells one above the other; captions and stray text come first."""
     lines, rows, todo = [], [], [iter(table.children)]
-    covered: dict[int, int] = {}  # columns that a cell from above still covers, and for how many rows
+    covered: list[tuple[int, int, int]] = []  # columns from and to that a cell from above still covers, and for how many rows
     while todo:
         child = next(todo[-1], None)
         if child is None:
@@ -319,18 +329,23 @@ def _table(table: Node, stats: dict[str, int]) -> list[str]:
         elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
             todo.append(iter(child.children))
         elif child.tag == "tr":
-            cells = _row(child, covered, stats)
-            if any(cells):
+            cells, covered = _row(child, covered, stats)
+            if cells:
                 rows.append(cells)
         else:
             lines += render(_wrap(child), stats)
-    widest = [0] * max(map(len, rows), default=0)
+    # Of the columns that spans make, those count that hold text.
+    place = {column: i for i, column in enumerate(sorted({c for cells in rows for c in cells}))}
+    widest = [0] * len(place)
     for cells in rows:
-        for i, cell in enumerate(cells):
-            widest[i] = max(widest[i], *(width(x) for x in cell if width(x) <= WIDEST_CELL), 0)
+        for column, cell in cells.items():
+            widest[place[column]] = max(widest[place[column]], *(width(x) for x in cell if width(x) <= WIDEST_CELL), 0)
     for cells in rows:
-        for k in range(max(map(len, cells))):
-            line = [c[k] if k < len(c) else "" for c in cells]
+        own = [[]] * (place[max(cells)] + 1)
+        for column, cell in cells.items():
+            own[place[column]] = cell
+        for k in range(max(map(len, own))):
+            line = [c[k] if k < len(c) else "" for c in own]
             lines.append(" | ".join(x + " " * (widest[i] - width(x)) for i, x in enumerate(line)).rstrip(" |" if not line[-1] else " "))
     return lines
 
@@ -341,39 +356,33 @@ def _span(node: Node, name: str, most: int) -> int:
     return min(int(value), most) if re.fullmatch(r"0*[1-9]\d{0,8}", value) else 1
 
 
-def _row(row: Node, covered: dict[int, int], stats: dict[str, int]) -> list[list[str]]:
-    """The lines of each column's cell; columns that are covered are empty."""
-    cells: list[list[str]] = []
-    above, below = set(covered), {}
-
-    def skip() -> None:
-        while len(cells) in above:
-            cells.append([])
-
+def _row(row: Node, covered: list[tuple[int, int, int]], stats: dict[str, int]) -> tuple[dict[int, list[str]], list[tuple[int, int, int]]]:
+    """The lines of each column's cell that has any, and what is covered below; columns that are covered stay empty."""
+    cells: dict[int, list[str]] = {}
+    at, nearest, below = 0, 0, []
     for cell in row.children:
+        across = down = 1
         if isinstance(cell, str):
-            lines = [text] if (text := _SPACES.sub(" ", cell).strip()) else None
-            across = down = 1
+            if not (text := _SPACES.sub(" ", cell).strip()):
+                continue
+            lines = [text]
         elif visible(cell):
             own = cell.tag in ("td", "th")
             lines = render(cell if own else _wrap(cell), stats)
-            across, down = (_span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)) if own else (1, 1)
+            if own:
+                across, down = _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)
         else:
-            lines = None
-        if lines is not None:
-            skip()
-            for k in range(across):
-                if down > 1:
-                    below[len(cells)] = down - 1
-                cells.append(lines if not k else [])
-    for column in list(covered):
-        covered[column] -= 1
-        if not covered[column]:
-            del covered[column]
-    covered |= below
-    while cells and not cells[-1]:
-        cells.pop()
-    return cells
+            continue
+        while nearest < len(covered) and covered[nearest][0] <= at:
+            at = max(at, covered[nearest][1])
+            nearest += 1
+        if lines:
+            cells[at] = lines
+        if down > 1:
+            below.append((at, at + across, down - 1))
+        at += across
+    left = [(start, end, rows - 1) for start, end, rows in covered if rows > 1]
+    return cells, sorted(left + below) if below else left
 
 
 def _wrap(node: Node) -> Node:

@@ -3,6 +3,7 @@
 import gzip
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -432,7 +433,7 @@ def test_notices(text, labels):
 def test_templates_in_parts(spark, monkeypatch):
     docs = spark.createDataFrame([(1, MIT + " Licensed under CC BY-NC 4.0. under the mit license x under the mit license")], "doc_id long, text string")
     whole = license.scan(docs).first()
-    assert [p.word for p in whole.phrase_places] == [i for i in range(whole.n_words) if license.normal(docs.first().text).split()[i : i + 4] == b"under the mit license".split()]
+    assert [p.word for p in whole.phrase_places if p.label == "mit"] == [i for i in range(whole.n_words) if license.normal(docs.first().text).split()[i : i + 4] == b"under the mit license".split()]
     monkeypatch.setattr(license, "PART_TEMPLATES", 3)
     parts = license.scan(docs).first()
     assert {tuple(b) for b in parts.blocks} == {tuple(b) for b in whole.blocks} and parts.phrase_places == whole.phrase_places
@@ -576,6 +577,26 @@ def test_layout_of_described_pages(blocks, closed, space):
     assert html_text.page_text(page)[0] == plain_layout(blocks)
 
 
+@pytest.mark.parametrize("depth", [10, 200, 1000])
+def test_hidden_text_stays_hidden_at_any_depth(depth):
+    inside = "<div>" * depth + "</div>" * depth
+    assert html_text.page_text(f"<div hidden>secretA{inside}SECRET</div>after")[0] == "after"
+    assert html_text.page_text(f"{'<div>' * depth}<section hidden>SECRET<b>{inside}</b>SECRET</section>seen{'</div>' * depth}<i>end</i>")[0] == "seen\nend"
+    assert html_text.page_text(f"{'<div>' * depth}<script>if (a</div>b) x</script>seen<!-- x -->{'</div>' * depth}")[0] == "seen"
+
+
+def test_spans_take_no_more_than_their_text():
+    began = time.time()
+    cells = "<td colspan=1000 rowspan=60000>x</td>" * 20
+    text = html_text.page_text(f"<table><tr>{cells}</tr>{'<tr><td>y</td></tr>' * 2000}</table>")[0]
+    assert len(text) < 400_000 and text.count("y") == 2000 and text.split("\n")[0] == " | ".join("x" * 20)
+    html_text.page_text("<canvas></x>" * 8000)
+    assert time.time() - began < 10
+    assert html_text.page_text("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>")[0] == "a | b\n  | c"
+    assert html_text.page_text("<table><tr><td colspan=2>a<td>b<tr><td>c<td>d<td>e</table>")[0] == "a |   | b\nc | d | e"
+    assert html_text.page_text("<table><tr><td colspan=3>a<td>b<tr><td>c<td><td><td>e</table>")[0] == "a | b\nc | e"
+
+
 def test_time_grows_with_the_page():
     import time
 
