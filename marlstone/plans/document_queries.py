@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
-from marlstone.operators import bm25, documents, keyword
+from marlstone.operators import bm25, documents, keyword, segments
+from marlstone.operators.segments import SegmentedIndex
 from marlstone.plans.registry import doc_index, index_of, longs, query, rounded, table
 from marlstone.plans.registry import documents as docs_of
+from marlstone.sources.shared import shared_dir
 
 _D = "(SELECT *, [lang, source] AS tags FROM documents)"
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
@@ -164,6 +166,45 @@ def bm25_unindexed(spark, sf_dir):
     return hits(bm25.bm25_search(docs_of(spark, sf_dir), "the hehely", filter_expr="lang = 'en'", key="doc_id"))
 
 
+@query(bm25_sql(["the", "hehely"]).replace("(f + 1.2 * (0.25 + 0.75 * len(ws) / a))", "(f + 1.2)").replace("ORDER BY s DESC", "ORDER BY round(s, 9) DESC"))
+def bm25_without_norms(spark, sf_dir):
+    found = bm25.scores(doc_index(spark, sf_dir), ["the", "hehely"], norms=False)
+    return hits(found.withColumnRenamed("key", "doc_id").orderBy(F.desc(F.round("score", 9)), "doc_id").limit(10))
+
+
+_CHANGED = """(SELECT doc_id, CASE WHEN lang = 'fr' THEN source || ' ' || text ELSE text END AS text FROM documents
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+
+
+@query(bm25_sql(["src1", "hehely", "license"], tail="ORDER BY round(s, 9) DESC, doc_id LIMIT 50", source=_CHANGED))
+def bm25_after_changes(spark, sf_dir):
+    """An index in three commits: all but German texts; those, and revised French ones; toxic ones are deleted."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels")
+    index = SegmentedIndex(spark, shared_dir(spark, "index-changes"), key="doc_id")
+    index.apply(docs.filter("not (lang <=> 'de')"), batch="load")
+    french = docs.filter("lang = 'fr'").withColumn("text", F.concat("source", F.lit(" "), "text"))
+    index.apply(docs.filter("lang = 'de'").unionByName(french), batch="revise")
+    index.apply(deleted=labels.filter("toxic = 1").select("doc_id"), batch="remove")
+    index.apply(deleted=docs.select("doc_id"), batch="remove")  # the batch's name again: changes nothing
+    index.merge(2)
+    found = bm25.scores(index.pinned(), ["src1", "hehely", "license"]).withColumnRenamed("key", "doc_id")
+    return hits(found.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(50))
+
+
+_WORDS = f"(SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, {tok()} AS ws FROM documents))"
+
+
+@query(f"SELECT doc_id, count(*) AS n FROM {_WORDS} WHERE ws[i : i + 2] = ['the', 'mit', 'license'] GROUP BY doc_id")
+def phrase_search(spark, sf_dir):
+    return segments.phrase_search(doc_index(spark, sf_dir), ["the", "mit", "license"]).withColumnRenamed("key", "doc_id")
+
+
+@query(f"SELECT doc_id, count(*) AS n FROM {_WORDS} WHERE ws[i] = 'the' AND coalesce(list_position(ws[i + 1 :], 'license'), 0) BETWEEN 1 AND 5 GROUP BY doc_id")
+def phrase_within(spark, sf_dir):
+    """`the` and after it `license` with at most four words between."""
+    return segments.phrase_search(doc_index(spark, sf_dir), ["the", "license"], slop=4).withColumnRenamed("key", "doc_id")
+
+
 _FIELD = """SELECT 'text' AS field, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS ws FROM documents
   UNION ALL SELECT 'source', doc_id, regexp_extract_all(lower(coalesce(source, '')), '[\\p{L}\\p{N}_]+') FROM documents"""
 

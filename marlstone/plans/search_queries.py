@@ -246,7 +246,7 @@ def messages_of(spark, sf_dir):
 
 
 def message_index(spark, sf_dir):
-    return index_of(spark, sf_dir, "messages", messages_of(spark, sf_dir), ["content"], "id")
+    return index_of(spark, sf_dir, "messages", messages_of(spark, sf_dir), ["content"], "id", source="conversations")
 
 
 @query(bm25_sql(["the", "hehely"], "role = 'user' AND conv_id BETWEEN 0 AND 1000000", source=_MSG).replace("SELECT doc_id, round", "SELECT doc_id AS id, round"))
