@@ -37,7 +37,7 @@ _TERMS = "array<struct<term: string, places: array<int>>>"
 _TABLES = {
     "docs": f"key KEY, field string, length int, digest string, terms {_TERMS}",
     "postings": "field string, term string, key KEY, tf int, length int, places array<int>",
-    "counts": "field string, term string, n_docs long, n_total long",
+    "counts": "field string, term string, n_docs long, n_total long, most_tf int, least_length int",
     "dead": "key KEY, segment string",
 }
 
@@ -138,9 +138,8 @@ class SegmentedIndex:
         salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
         each.repartitionByRange("field", "term", salt).sortWithinPartitions("field", "term", "key").write.parquet(f"{path}/postings")
         signed = [(stored, 1)] + ([(gone, -1)] if gone is not None else [])
-        terms = [d.select("field", F.explode("terms").alias("t")).groupBy("field", "t.term").agg((sign * F.count("*")).alias("n_docs"), (sign * F.sum(F.size("t.places"))).alias("n_total")) for d, sign in signed]
-        counts = reduce(DataFrame.unionByName, terms).groupBy("field", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_total").alias("n_total"))
-        counts.filter("n_docs <> 0 or n_total <> 0").repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/counts")
+        terms = [d.select("field", "length", F.explode("terms").alias("t")).groupBy("field", "t.term").agg((sign * F.count("*")).alias("n_docs"), (sign * F.sum(F.size("t.places"))).alias("n_total"), *_bounds(F.size("t.places"), F.col("length"), sign)) for d, sign in signed]
+        _summed(reduce(DataFrame.unionByName, terms)).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/counts")
         (dead if dead is not None else self.spark.createDataFrame([], self._schema("dead"))).write.parquet(f"{path}/dead")
         sizes = {f: [0, 0] for f in self.fields}
         for d, sign in signed:
@@ -200,8 +199,7 @@ class SegmentedIndex:
         postings = self._table("postings", sorted(chosen)).join(dead, ["key", "segment"], "left_anti").drop("segment")
         salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
         postings.repartitionByRange("field", "term", salt).sortWithinPartitions("field", "term", "key").write.parquet(f"{path}/postings")
-        counts = self._table("counts", sorted(chosen)).groupBy("field", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_total").alias("n_total"))
-        counts.filter("n_docs <> 0 or n_total <> 0").repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/counts")
+        _summed(self._table("counts", sorted(chosen))).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/counts")
         self._dead(sorted(chosen)).filter(~F.col("segment").isin(*chosen)).write.parquet(f"{path}/dead")
         n = self._stored("docs", name).select("key").distinct().count()
         self._publish(base, segments=[x for x in base["segments"] if x[0] not in chosen] + [[name, n]])
@@ -240,11 +238,21 @@ class SegmentedIndex:
         """The index as of one manifest, for every search over a TextIndex."""
         found = manifest or self.manifest()
         names = [s for s, _ in found["segments"]]
-        counts = self._table("counts", names).groupBy("field", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_total").alias("n_total")).filter("n_docs > 0")
+        counts = _summed(self._table("counts", names)).filter("n_docs > 0")
         sizes = {f: tuple(found["sizes"].get(f, (0, 0))) for f in self.fields}
         return TextIndex(self._live("postings", names).drop("segment"), counts, sizes, self.analyzer)
 
 
+def _bounds(tf: Column, length: Column, sign: int) -> list[Column]:
+    """The greatest tf and the least length of a term in a field: of what is added; what goes may leave them as they are."""
+    return [F.max(tf if sign > 0 else F.lit(None).cast("int")).alias("most_tf"), F.min(length if sign > 0 else F.lit(None).cast("int")).alias("least_length")]
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    sums = counts.groupBy("field", "term").agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_total")], F.max("most_tf").alias("most_tf"), F.min("least_length").alias("least_length"))
+    return sums.filter("n_docs <> 0 or n_total <> 0 or most_tf is not null")
+
+
 def phrase_search(index: TextIndex, terms: Sequence[str], field: str = "text", slop: int = 0) -> DataFrame:
     """key, n: how often the terms stand in this order in a document, with at most `slop` other words among them.
 

@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.operators import bm25, segments
 from marlstone.plans import registry
@@ -141,3 +142,26 @@ def test_phrases_are_those_of_the_texts(spark, tmp_path, slop):
     for terms in (["a"], ["a", "b"], ["a", "a"], ["a", "b", "a", "c"], ["z", "a"]):
         want = {k: n for k, t, _ in rows if (n := by_hand(t.split(), terms))}
         assert {r.key: r.n for r in segments.phrase_search(index.pinned(), terms, slop=slop).collect()} == want
+
+
+def test_bounds_lose_no_hit(spark, tmp_path):
+    """Searches by bounds give the rows of scoring everything, ties included, and read less where a term is rare."""
+    rng = random.Random(5)
+    rows = [(f"{i:03}", " ".join(rng.choices(["the", "of", "red", "rare"], [60, 30, 9, 0.4], k=rng.randint(1, 40))), None) for i in range(400)]
+    rows += [(f"x{i}", "rare the", None) for i in range(4)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    index = segments.SegmentedIndex(spark, f"{tmp_path}/index")
+    index.apply(docs)
+    index.apply(deleted=spark.createDataFrame([(f"{i:03}",) for i in range(0, 400, 7)], "_key string"))
+    pinned = index.pinned()
+    live = docs.filter(~docs._key.isin([f"{i:03}" for i in range(0, 400, 7)]))
+    pruned = 0
+    for terms in (["the"], ["rare", "the"], ["rare", "the", "of"], ["red", "the", "none"], ["none"]):
+        for k in (1, 5, 20, 1000):
+            got = bm25.bm25_search(live, " ".join(terms), top_n=k, index=pinned).collect()
+            want = live.join(bm25.scores(pinned, terms).withColumnRenamed("key", "_key"), "_key").orderBy(F.desc("score"), "_key").limit(k).collect()
+            assert [(r._key, r.score) for r in got] == [(r._key, r.score) for r in want]
+            reach = bm25.candidates(pinned, terms, k)[1]
+            assert reach.scored <= reach.postings
+            pruned += reach.pruned and reach.scored < reach.postings / 3
+    assert pruned >= 3
