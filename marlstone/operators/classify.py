@@ -141,6 +141,33 @@ def split(key: Column, parts: int = 10) -> Column:
     return F.when(at < parts - 2, "train").when(at == parts - 2, "validation").otherwise("test")
 
 
+def hashed_order(key: str, seed: int = 42) -> Column:
+    """An order of rows that looks random, and is the same for a seed wherever it is computed."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+
+
+def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, shares: tuple[int, int] = (8, 1), parts: int = 10) -> DataFrame:
+    """df with part: of the n rows of each label, in hashed order, the first 8 n / 10 (rounded down) are train; with those up to
+    9 n / 10 (rounded down) being validation, the rest is test: at least one row.
+
+    shares: tenths (or `parts`) of train and validation. Null labels are a label of their own. A row's place is counted
+    within a range of the order; only counts of ranges meet, so no task has all rows of a label.
+    """
+    names = df.columns
+    rows = df.withColumns({"_label": F.col(label), "_order": F.struct(hashed_order(key, seed), F.col(key))})
+    ranges = written(rows.repartitionByRange("_label", "_order").withColumn("_range", F.spark_partition_id()), "split")
+    sizes = ranges.groupBy("_label", "_range").agg(F.count("*").alias("_size"))
+    each = Window.partitionBy("_label")
+    before = F.coalesce(F.sum("_size").over(each.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row for each label and range.
+    sizes = F.broadcast(sizes.withColumns({"_before": before, "_all": F.sum("_size").over(each)}).select(F.col("_label").alias("_of"), F.col("_range").alias("_in"), "_before", "_all"))
+    own = F.row_number().over(Window.partitionBy("_label", "_range").orderBy("_order")) - 1
+    placed = ranges.withColumn("_own", own).join(sizes, F.col("_label").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_in")))
+    upto = (F.col("_before") + F.col("_own") + 1) * parts
+    part = F.when(upto <= F.col("_all") * shares[0], "train").when(upto <= F.col("_all") * (shares[0] + shares[1]), "validation").otherwise("test")
+    return placed.select(*names, part.alias("part"))
+
+
 def training_params(model_size: Column, rows: Column, batch: Column) -> tuple[Column, Column]:
     """Epochs and patience for sizes of model, data and batch."""
     epochs = F.when(model_size < 1e8, 5).when(model_size < 3e8, 10).otherwise(20)
@@ -154,14 +181,14 @@ def mean_vectors(neighbours: DataFrame, query_id: str, vector: str = "embedding"
     return neighbours.select(query_id, F.posexplode(vector).alias("at", "x")).groupBy(query_id, "at").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def logistic_baseline(df: DataFrame, label: str, key: str, vector: str = "embedding", max_iter: int = 1000):
-    """A logistic regression fitted on the training part of the rows (see `split`), and the test part with its prediction."""
+def logistic_baseline(df: DataFrame, label: str, key: str, vector: str = "embedding", max_iter: int = 1000, seed: int = 42):
+    """A logistic regression fitted on the training and validation parts (see `stratified_split`), and the test part with its prediction."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    data = df.withColumns({"_v": array_to_vector(F.col(vector).cast("array<double>")), "_part": split(F.col(key))})
-    model = LogisticRegression(featuresCol="_v", labelCol=label, maxIter=max_iter, predictionCol="prediction").fit(data.filter("_part <> 'test'"))
-    return model, model.transform(data.filter("_part = 'test'")).drop("_v", "_part", "rawPrediction", "probability")
+    data = written(stratified_split(df, label, key, seed), "logistic").withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    model = LogisticRegression(featuresCol="_v", labelCol=label, maxIter=max_iter, predictionCol="prediction").fit(data.filter("part <> 'test'"))
+    return model, model.transform(data.filter("part = 'test'")).drop("_v", "part", "rawPrediction", "probability")
 
 
 def neighbour_baseline(neighbours: DataFrame, labels: DataFrame, query_id: str, label: str, vector: str = "embedding"):

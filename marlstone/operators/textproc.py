@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
 from bisect import bisect_right
 from collections.abc import Callable
 from itertools import accumulate
@@ -13,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.functions import json_text
 from marlstone.functions import text as X
 
 
@@ -148,33 +147,8 @@ def code_functions(files: DataFrame, language: str, content: str = "content", ke
     return each.select(key, "place", "name", F.filter(F.transform("parts", named), lambda x: x.isNotNull()).alias("parameters"))
 
 
-_DECODER = json.JSONDecoder()
-
-
-def _decoded(source: str):
-    """The value that the text is, or the first object or array that begins in it, or None."""
-    try:
-        return json.loads(source)
-    except ValueError:
-        pass
-    for m in re.finditer(r"[\[{]", source):
-        try:
-            return _DECODER.raw_decode(source, m.start())[0]
-        except ValueError:
-            continue
-    return None
-
-
-def repair_json(text: str | None) -> str | None:
-    """The text as JSON: as it is, without commas before closing brackets, or with double quotes for single ones."""
-    if text is None:
-        return None
-    without_commas = re.sub(r",(?=\s*[}\]])", "", text)
-    for source in dict.fromkeys((text, without_commas, without_commas.replace("'", '"'))):
-        value = _decoded(source)
-        if value is not None:
-            return json.dumps(value)
-    return None
+#: The first JSON value of a text, mended: see `functions.json_text`.
+repair_json = json_text.repaired
 
 
 @F.pandas_udf(T.StringType())

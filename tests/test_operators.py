@@ -1,5 +1,6 @@
 """Hand-computed cases of the operators."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -16,6 +17,7 @@ from marlstone.operators import messages as M
 from marlstone.plans.catalogue import QUERIES
 from marlstone.sources import store
 from marlstone.streaming import index
+from tests.conftest import DATA
 
 SIX = [("0", "1", "related_to"), ("0", "3", "related_to"), ("1", "2", "references"), ("4", "0", "related_to"), ("5", "0", "references"), ("3", "2", "mentions")]
 
@@ -421,3 +423,48 @@ def test_similarity_classes_lose_no_link(spark, tmp_path):
         names = after
     found = {r.vec_id: (r.n_links, r.class_id) for r in QUERIES["lsh_pairs"](spark, str(tmp_path)).collect()}
     assert found == {i: (int(linked[i].sum()), int(names[i])) for i in range(700)}
+
+
+def test_split_has_exact_shares_of_each_label(spark):
+    rows = [(i, i % 3 if i % 7 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, label int").repartition(5)
+    from collections import Counter
+
+    found = {r.id: r.part for r in classify.stratified_split(df, "label", "id").collect()}
+    assert len(found) == 500
+    for label in (0, 1, 2, None):
+        own = [i for i, y in rows if y == label]
+        order = sorted(own, key=lambda i: (hashlib.md5(f"42|{i}".encode()).hexdigest(), i))
+        want = {i: "train" if 10 * at <= 8 * len(own) else "validation" if 10 * at <= 9 * len(own) else "test" for at, i in enumerate(order, 1)}
+        assert {i: found[i] for i in own} == want and abs(Counter(want.values())["test"] - len(own) / 10) <= 1
+    # Any subset of ids has these shares, and another seed another order.
+    few = spark.createDataFrame([(50 * i, 1) for i in range(20)], "id long, label int")
+    assert Counter(r.part for r in classify.stratified_split(few, "label", "id").collect()) == {"train": 16, "validation": 2, "test": 2}
+    assert {r.id: r.part for r in classify.stratified_split(df, "label", "id", seed=7).collect()} != found
+    assert classify.stratified_split(df.limit(0), "label", "id").collect() == []
+
+
+@pytest.mark.parametrize("name", ["logreg_baseline", "neighbour_logreg"])
+def test_regressions_are_those_of_a_plain_fit(spark, name):
+    """Newton's method on the same parts, in numpy, gives the same predictions."""
+    from marlstone.plans.catalogue import QUERIES
+
+    out = {r[0]: (r.y, r.prediction) for r in QUERIES[name](spark, f"{DATA}/sf0.001").collect()}
+    rows = {r.vec_id: (np.array(r.embedding, float), r.label % 2) for r in spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet").collect()}
+    if name == "neighbour_logreg":
+        unit = {i: v / np.linalg.norm(v) for i, (v, _) in rows.items()}
+        near = lambda q: sorted((i for i in rows if i != q), key=lambda i: (-round(float(unit[i] @ unit[q]), 12), i))[:5]
+        rows = {q: (np.mean([rows[i][0] for i in near(q)], axis=0), y) for q, (_, y) in rows.items() if q % 50 == 0}
+    test = set()
+    for y in (0, 1):
+        own = sorted((i for i, r in rows.items() if r[1] == y), key=lambda i: (hashlib.md5(f"42|{i}".encode()).hexdigest(), i))
+        test |= {i for at, i in enumerate(own, 1) if 10 * at > 9 * len(own)}
+    assert set(out) == test and len(out) > 0 and all(out[i][0] == rows[i][1] for i in out)
+    if len(rows) > 200:  # else the classes can be told apart in full, and the fit has no end
+        x = np.array([np.append(r[0], 1) for i, r in rows.items() if i not in test])
+        y, w = np.array([r[1] for i, r in rows.items() if i not in test]), np.zeros(x.shape[1])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-x @ w))
+            w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-10 * np.eye(len(w)), x.T @ (y - p))
+        margin = {i: float(np.append(rows[i][0], 1) @ w) for i in test}
+        assert all(out[i][1] == (margin[i] > 0) for i in test if abs(margin[i]) > 1e-2)
