@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as X
 from marlstone.operators import bm25
 from marlstone.operators.documents import condition, has_tags
+from marlstone.sources.shared import written
 
 
 def search_keyword(docs: DataFrame, term: str, fields: Sequence[str] = ("text",), tags: Sequence[str] = (), key: str = "_key", top_n: int | None = 10, index: bm25.TextIndex | None = None) -> DataFrame:
@@ -88,3 +89,87 @@ def find_terms(docs: DataFrame, terms: Sequence[str], field: str = "text", key:
 
     source = F.col(field) if most_chars is None else X.truncated(field, most_chars)
     return docs.select(key, F.explode(matches(source)).alias("m")).select(key, "m.term", "m.start", "m.end")
+
+
+#: Terms of a glossary that one automaton holds; a larger glossary is searched in so many parts as it needs.
+MOST_TERMS = 500_000
+_MATCHES = "array<struct<term string, start long, end long>>"
+
+
+def _folded(text: str) -> str:
+    """The text in lower case, as long as it was: characters that would become several stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _leftmost(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of (start, end) those that are chosen from left to right, the longest at each place, without overlaps."""
+    chosen, free = [], 0
+    for start, end in sorted(found, key=lambda x: (x[0], -x[1])):
+        if start >= free:
+            chosen.append((start, end))
+            free = end
+    return chosen
+
+
+_AUTOMATA: dict[int, tuple] = {}
+
+
+def _automaton(shared):
+    """The worker's automaton for a broadcast list of terms."""
+    import ahocorasick
+
+    terms = shared.value
+    if id(terms) not in _AUTOMATA:
+        made = ahocorasick.Automaton()
+        for term in terms:
+            made.add_word(term, len(term))
+        made.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[id(terms)] = made, terms
+    return _AUTOMATA[id(terms)][0]
+
+
+def find_glossary(docs: DataFrame, glossary: DataFrame, field: str = "text", key: str = "_key", term: str = "term", most: int = MOST_TERMS) -> DataFrame:
+    """key, term, start, end: whole-word matches of a table's terms in whole texts, as `find_terms` chooses them.
+
+    An automaton (Aho and Corasick) reads each text once, however many terms there are. A glossary of more terms than
+    `most` is dealt into parts, and the matches of all parts meet at their text, where the choice is made.
+    """
+    is_word = re.compile(X.WORD).match
+    terms = written(glossary.select(F.lower(term).alias("t")).filter("t <> ''").distinct().withColumn("part", F.pmod(F.xxhash64("t"), F.lit(1 << 20))), "glossary")
+    parts = max(1, -(-terms.count() // most))
+    texts = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(field).cast("string").alias("text"))
+    texts = written(texts, "glossary-texts") if parts > 1 else texts
+
+    def matches(part: int, choose: bool):
+        own = [r.t for r in terms.filter(F.col("part") % parts == part).select("t").collect()]  # at most about `most`
+        shared = docs.sparkSession.sparkContext.broadcast(own)
+
+        @F.pandas_udf(_MATCHES)
+        def find(column: pd.Series) -> pd.Series:
+            out = []
+            for text in column:
+                low = _folded(text or "")
+                found = [(at + 1 - n, at + 1) for at, n in _automaton(shared).iter(low)] if own and low else []
+                found = [(a, b) for a, b in found if not (a and is_word(low[a - 1])) and not (b < len(low) and is_word(low[b]))]
+                out.append([{"term": low[a:b], "start": a, "end": b} for a, b in (_leftmost(found) if choose else found)])
+            return pd.Series(out)
+
+        return texts.select("key", "row", F.explode(find("text")).alias("m"))
+
+    if parts == 1:
+        return matches(0, True).select(F.col("key").alias(key), "m.term", "m.start", "m.end")
+
+    @F.pandas_udf(_MATCHES)
+    def chosen(column: pd.Series) -> pd.Series:
+        kept = []
+        for found in column:
+            names = {(m["start"], m["end"]): m["term"] for m in found}
+            kept.append([{"term": names[x], "start": x[0], "end": x[1]} for x in _leftmost(list(names))])
+        return pd.Series(kept)
+
+    every = reduce(DataFrame.unionByName, [matches(p, False) for p in range(parts)])
+    # A text's matches are bounded by its own length.
+    whole = every.groupBy("row").agg(F.first("key").alias("key"), F.collect_list("m").alias("found"))
+    return whole.select("key", F.explode(chosen("found")).alias("m")).select(F.col("key").alias(key), "m.term", "m.start", "m.end")

@@ -264,20 +264,31 @@ def keyword_search_exact(spark, sf_dir):
     return found.select("doc_id", "score", rounded("bm25"))
 
 
-GLOSSARY = [("tion", "an ending"), ("The", "an article"), ("orantion", "an invented word"), ("hehely", "another one"), ("license", "terms of use")]
+def words_of(df, key, column="text", least=8):
+    """term, definition: the longer words of a table's texts, and the first row that each stands in."""
+    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(column), F.lit(X.WORD + "+"), F.lit(0))).alias("term")).filter(F.length("term") >= least)
+    return words.groupBy("term").agg(F.concat(F.lit(f"{key} "), F.min(key).cast("string")).alias("definition"))
 
 
-def glossary(spark):
-    return spark.createDataFrame(GLOSSARY, "term string, definition string")
+def words_sql(name: str, key: str) -> str:
+    return f"SELECT term, '{key} ' || min({key}) AS definition FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '{X.WORD}+')) AS term FROM {name}) WHERE length(term) >= 8 GROUP BY term"
 
 
-@query("""SELECT term, lower(term) AS term_lower, definition, CAST(length(term) AS BIGINT) AS length FROM (VALUES ('The', 'an article'), ('orantion', 'an invented word'), ('hehely', 'another one'), ('license', 'terms of use'), ('TION', 'a suffix')) t(term, definition)""")
+@query(f"""WITH o AS ({words_sql("benchmark", "item_id")}), a AS ({words_sql("conversations", "conv_id")})
+SELECT term, lower(term) AS term_lower, coalesce(a.definition, o.definition) AS definition, CAST(length(term) AS BIGINT) AS length FROM o FULL JOIN a USING (term)""")
 def glossary_terms_sorted(spark, sf_dir):
-    old = glossary(spark)
-    added = spark.createDataFrame([("TION", "a suffix")], "term string, definition string")
+    """A glossary of the benchmark's words, those of conversations replacing their definitions."""
+    old, added = words_of(table(spark, sf_dir, "benchmark"), "item_id"), words_of(table(spark, sf_dir, "conversations"), "conv_id")
     return longs(keyword.upsert_terms(old, added), "length").orderBy("term_lower")
 
 
+@query(f"""SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{X.WORD}+')) AS term FROM documents)
+WHERE term IN (SELECT term FROM ({words_sql("benchmark", "item_id")})) GROUP BY ALL""")
+def glossary_from_table(spark, sf_dir):
+    found = keyword.find_glossary(docs_of(spark, sf_dir), words_of(table(spark, sf_dir, "benchmark"), "item_id"), key="doc_id")
+    return found.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
 _MARKED = f"regexp_replace(text, '({X.WORD}+)', chr(1) || '\\1' || chr(1), 'g')"
 
 

@@ -11,6 +11,7 @@ from marlstone.plans.document_queries import bm25_sql
 from marlstone.plans.registry import doc_index, query, rounded, table
 from marlstone.plans.registry import documents as docs_of
 from marlstone.sources import store
+from marlstone.sources.shared import shared_dir
 from marlstone.streaming import index
 
 # The foreign-key graph: orders to customers, customers to nations, nations to regions.
@@ -320,3 +321,20 @@ def embedded_documents(spark, sf_dir):
     counts = docs.groupBy("embedding").agg(F.count("*").alias("n_same"))
     joined = docs.join(counts, docs.embedding.eqNullSafe(counts.embedding)).drop(counts.embedding)
     return joined.select("doc_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("dimension"), "n_same")
+
+
+_TEXTS = "(SELECT lang, text FROM documents WHERE length(trim(text)) > 0)"
+
+
+@query(f"""SELECT 1 AS run, count(DISTINCT text) AS embedded, count(*) AS with_vector FROM {_TEXTS} WHERE lang = 'en'
+UNION ALL SELECT 2, (SELECT count(*) FROM (SELECT text FROM {_TEXTS} EXCEPT SELECT text FROM {_TEXTS} WHERE lang = 'en')), (SELECT count(*) FROM {_TEXTS})
+UNION ALL SELECT 3, 0, (SELECT count(*) FROM {_TEXTS})""")
+def embedding_store_runs(spark, sf_dir):
+    """Three runs over documents: English ones; all, of which only new texts are embedded; all again, of which none is."""
+    docs = docs_of(spark, sf_dir).select("doc_id", "lang", F.col("text").alias("content"))
+    path, out = shared_dir(spark, "embeddings"), None
+    for run, part in enumerate((docs.filter("lang = 'en'"), docs, docs), 1):
+        found, n = store.EmbeddingStore(spark, path, "hash@1").embed(part)
+        row = found.agg(F.lit(run).cast("long").alias("run"), F.lit(n).cast("long").alias("embedded"), F.count("embedding").alias("with_vector"))
+        out = row if out is None else out.unionByName(row)
+    return out

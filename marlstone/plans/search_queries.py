@@ -401,8 +401,8 @@ def split_80_10_10(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", classify.split(F.col("doc_id")).alias("part"))
 
 
-@query("""SELECT doc_id, lang, CASE WHEN 10 * at <= 8 * n THEN 'train' WHEN 10 * at <= 9 * n THEN 'validation' ELSE 'test' END AS part
-FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS at, count(*) OVER (PARTITION BY lang) AS n FROM documents)""")
+@query("""SELECT doc_id, lang, CASE WHEN 10 * k <= 8 * n THEN 'train' WHEN 10 * k <= 9 * n THEN 'validation' ELSE 'test' END AS part
+FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents)""")
 def split_stratified(spark, sf_dir):
     return classify.stratified_split(docs_of(spark, sf_dir).select("doc_id", "lang"), "lang", "doc_id").select("doc_id", "lang", "part")
 

@@ -54,11 +54,61 @@ def with_embedding(docs: DataFrame, embed: Callable[[Column], Column] = X.hash_e
 
     Each distinct text is embedded once. embed: any function of a text column.
     """
-    texts = docs.filter(F.length(F.trim(field)) > 0).select(F.col(field).alias("_text")).distinct()
-    made = texts.withColumn("_vector", embed(F.col("_text")))
-    joined = docs.join(made, F.col(field) == F.col("_text"), "left").drop("_text")
-    old = F.col(vector).cast("array<float>") if vector in docs.columns else F.lit(None).cast("array<float>")
-    return joined.withColumn(vector, F.coalesce("_vector", old)).drop("_vector")
+    keyed = docs.withColumn("_digest", text_digest(field))
+    made = one_text_each(keyed, field).select("_digest", embed(F.col("_text")).alias("_vector"))
+    return _filled(keyed, made, vector)
+
+
+def text_digest(field: str) -> Column:
+    """What an embedding is known by; a text without characters has one that is its row's alone, so that no key is shared by them."""
+    return F.when(F.length(F.trim(field)) > 0, F.sha2(F.col(field), 256)).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+
+
+def one_text_each(keyed: DataFrame, field: str) -> DataFrame:
+    """_digest, _text of the distinct texts."""
+    return keyed.filter(F.length(F.trim(field)) > 0).groupBy("_digest").agg(F.first(field).alias("_text"))
+
+
+def _filled(keyed: DataFrame, made: DataFrame, vector: str) -> DataFrame:
+    """keyed with the vectors that were made for its digests; others stay."""
+    old = F.col(vector).cast("array<float>") if vector in keyed.columns else F.lit(None).cast("array<float>")
+    return keyed.join(made, "_digest", "left").withColumn(vector, F.coalesce("_vector", old)).drop("_vector", "_digest")
+
+
+class EmbeddingStore:
+    """Vectors by (digest of the text, model version), kept between runs in a folder: what is there is not embedded again.
+
+    Each run adds a folder, renamed into place whole. If two runs embed one text at a time, both vectors are kept and the
+    greater one is read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, version: str):
+        if not re.fullmatch(r"[\w.@-]+", version):
+            raise ValueError(f"no name for a version: {version!r}")
+        self.spark, self.path, self.version = spark, f"{path.rstrip('/')}/version={version}", version
+        self._paths = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._paths(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self._fs.mkdirs(self._paths(self.path))
+
+    def read(self) -> DataFrame:
+        """_digest, _vector."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._paths(self.path))]
+        parts = [f"{self.path}/{n}" for n in names if n.startswith("run-")]
+        kind = "_digest string, _vector array<float>"
+        stored = self.spark.read.schema(kind).parquet(*parts) if parts else self.spark.createDataFrame([], kind)
+        return stored.groupBy("_digest").agg(F.max("_vector").alias("_vector"))
+
+    def embed(self, docs: DataFrame, embed: Callable[[Column], Column] = X.hash_embedding, field: str = "content", vector: str = "embedding") -> tuple[DataFrame, int]:
+        """docs as `with_embedding` has them, and how many texts had to be embedded."""
+        keyed = docs.withColumn("_digest", text_digest(field))
+        known = self.read().select("_digest")
+        missing = one_text_each(keyed.join(known, "_digest", "left_anti"), field).select("_digest", embed(F.col("_text")).alias("_vector"))
+        staged, name = f"{self.path}/.{uuid.uuid4().hex}", f"run-{uuid.uuid4().hex}"
+        missing.write.parquet(staged)
+        n = self.spark.read.schema("_digest string").parquet(staged).count()
+        if n and not self._fs.rename(self._paths(staged), self._paths(f"{self.path}/{name}")):
+            raise OSError(f"could not publish {name}")
+        return _filled(keyed, self.read(), vector), n
 
 
 def create_edges(edges: DataFrame, added: DataFrame) -> DataFrame:

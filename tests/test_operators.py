@@ -468,3 +468,55 @@ def test_regressions_are_those_of_a_plain_fit(spark, name):
             w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-10 * np.eye(len(w)), x.T @ (y - p))
         margin = {i: float(np.append(rows[i][0], 1) @ w) for i in test}
         assert all(out[i][1] == (margin[i] > 0) for i in test if abs(margin[i]) > 1e-2)
+
+
+@pytest.mark.parametrize("most", [3, 100, keyword.MOST_TERMS])
+def test_glossary_of_a_table(spark, most):
+    """The matches are those of one pattern of all terms, longest first, whatever the parts."""
+    import random
+    import re
+
+    rng = random.Random(8)
+    letters = ["a", "b", "ab", "é", " ", "-", "_", "İ", "ß", "A"]
+    terms = ["a b", "ab", "a", "a-b", "é", "b é", "aa", "a b a", "ß", "not there", "AB B", "a"]
+    texts = [(i, "".join(rng.choices(letters, k=rng.randint(0, 60)))) for i in range(80)] + [(90, None), (91, ""), (None, "ab ab"), (92, "ab ab"), (92, "ab ab")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = keyword.find_glossary(docs, spark.createDataFrame([(t,) for t in [*terms, "", None]], "term string"), key="doc_id", most=most)
+    ordered = sorted({t.lower() for t in terms}, key=lambda t: (-len(t), t))
+    pattern = re.compile(rf"(?<!{X.WORD})(?:{'|'.join(map(re.escape, ordered))})(?!{X.WORD})")
+    want = [(i, m[0], m.start(), m.end()) for i, t in texts for m in pattern.finditer(keyword._folded(t or ""))]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert keyword.find_glossary(docs, spark.createDataFrame([], "term string"), key="doc_id").collect() == []
+
+
+def test_glossary_of_many_terms(spark):
+    terms = spark.range(100_000).selectExpr("concat('term', id, ' of') as term")
+    docs = spark.createDataFrame([(1, "term99 of term100000 of Term5 of xterm7 of")], "doc_id long, text string")
+    assert [r.term for r in keyword.find_glossary(docs, terms, key="doc_id").orderBy("start").collect()] == ["term99 of", "term5 of"]
+
+
+def test_embedding_store_embeds_each_text_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed(text):
+        @F.pandas_udf("array<float>")
+        def count(texts):
+            seen.add(len(texts))
+            return texts.map(lambda t: [float(len(t)), 1.0])
+
+        return count(text)
+
+    kept = store.EmbeddingStore(spark, str(tmp_path), "m@1")
+    first = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, ""), (4, None), (5, "c"), (None, " ")], "id long, content string")
+    found, n = kept.embed(first, embed)
+    assert n == 2 and seen.value == 2
+    rows = [(1, [2.0, 1.0]), (2, [2.0, 1.0]), (3, None), (4, None), (5, [1.0, 1.0]), (None, None)]
+    assert sorted(((r.id, r.embedding) for r in found.collect()), key=repr) == sorted(rows, key=repr)
+    more = spark.createDataFrame([(1, "ab", None), (6, "new", None), (7, "", [5.0])], "id long, content string, embedding array<float>")
+    found, n = store.EmbeddingStore(spark, str(tmp_path), "m@1").embed(more, embed)
+    assert n == 1 and seen.value == 3 and {r.id: r.embedding for r in found.collect()} == {1: [2.0, 1.0], 6: [3.0, 1.0], 7: [5.0]}
+    assert kept.embed(more, embed)[1] == 0 and kept.embed(first.limit(0), embed)[0].collect() == []
+    # Another version has vectors of its own; a run that never ended is not read.
+    assert store.EmbeddingStore(spark, str(tmp_path), "m@2").embed(first, embed)[1] == 2
+    (tmp_path / "version=m@1" / ".staged").mkdir()
+    assert kept.read().count() == 3
