@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, common, sentence_piece
-from marlstone.llm.bpe import BATCH_BYTES, BATCH_ROWS, after, as_binary, decoded, raw, regrouped
+from marlstone.llm.bpe import BATCH_ROWS, after, as_binary, decoded, raw, regrouped
 
 #: Most pairs of the mapped file.
 HEAD_PAIRS = 1_000_000
@@ -37,6 +37,8 @@ HEAD_PAIRS = 1_000_000
 TASK_PAIRS = 500_000
 #: Bytes of labels that are scanned at a time.
 SCAN_BYTES = 1 << 20
+#: Bytes of a batch that is aligned at a time: a dozen numbers of 64 bits are held for each token.
+ALIGN_BYTES = 2 << 20
 
 LETTERS = np.frombuffer(b".abx", np.uint8)
 SPAN = re.compile(rb"[.ab]*x")
@@ -109,10 +111,11 @@ class Aligner:
         keys = a[np.cumsum(is_a) - is_a].astype(np.int64) * self.size_b + b[np.cumsum(is_b) - is_b]
         link_bounds = np.concatenate(([0], np.searchsorted(places, text_ends, "left")))
         text_of = np.repeat(np.arange(len(ids_a)), np.diff(link_bounds))
-        order = np.lexsort((keys, text_of))
-        keys, text_of = keys[order], text_of[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (text_of[1:] != text_of[:-1])
+        # Sorted together by text and key: the product of both sizes is far below 64 bits.
+        every = self.size_a * self.size_b
+        both = np.sort(text_of * every + keys)
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
         firsts = np.flatnonzero(new)
         return {
             "n_a": np.diff(bounds_a),
@@ -120,9 +123,9 @@ class Aligner:
             "n_groups": np.diff(group_bounds),
             "n_links": np.diff(link_bounds),
             "groups": self._render(a, b, group_a, group_b, group_bounds),
-            "keys": keys[firsts],
-            "times": np.diff(np.append(firsts, len(keys))),
-            "n_pairs": np.bincount(text_of[firsts], minlength=len(ids_a)),
+            "keys": both[firsts] % every,
+            "times": np.diff(np.append(firsts, len(both))),
+            "n_pairs": np.bincount(both[firsts] // every, minlength=len(ids_a)),
         }
 
     def _render(self, a, b, group_a, group_b, group_bounds) -> list[bytes]:
@@ -159,7 +162,7 @@ def aligned(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     held: list[Aligner] = []
 
     def run(batches):
-        for batch in common.slices(batches, BATCH_ROWS, BATCH_BYTES):
+        for batch in common.slices(batches, BATCH_ROWS, ALIGN_BYTES):
             a, b = bpe.worker_encoder(lexicon, shared_a), sentence_piece.worker_encoder(shared_b)
             if not held or held[0].a is not a or held[0].b is not b:
                 held[:] = [Aligner(a, b)]

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import cached_property
 
 import ahocorasick
@@ -120,34 +121,43 @@ class PieceEncoder:
         place = {p: i for i, p in enumerate(names)}
         self.automaton = ahocorasick.Automaton()
         for i, p in enumerate(names):
-            self.automaton.add_word(p, (i, len(p)))
+            if len(p) > 1:
+                self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.names = names
         self.lengths = [len(p) for p in names]
+        self.single = {p: i for i, p in enumerate(names) if len(p) == 1}
         #: Of each piece, the longest other piece that it begins with; -1: none.
         self.shorter = [next((place[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in place), -1) for p in names]
         #: The ids of each piece: its own, or for a character without one those of its bytes.
         self.of_piece = [(pieces.ids[p],) if p in pieces.ids else tuple(pieces.byte_ids[b] for b in p.encode()) for p in names]
-        self.fits: dict[int, bool] = {}
+        #: Of each piece, those that were tried after it, and whether they are compatible.
+        self.fits: list[dict[int, bool]] = [{} for _ in names]
+        self.n_fits = 0
         self.memo: dict[bytes, bytes] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging both pieces' characters anew gives these two pieces."""
-        key = left << 32 | right
-        found = self.fits.get(key)
+        found = self.fits[left].get(right)
         if found is None:
             a, b = self.names[left], self.names[right]
             found = a[-1] + b[0] not in self.pieces.touching or self.pieces.merged(a + b) == [a, b]
-            if len(self.fits) >= MEMO_PAIRS:
-                self.fits.clear()
-            self.fits[key] = found
+            if self.n_fits >= MEMO_PAIRS:
+                self.n_fits = 0
+                for tried in self.fits:
+                    tried.clear()
+            self.n_fits += 1
+            self.fits[left][right] = found
         return found
 
     def word(self, text: str) -> list[int]:
         """The ids of a text by backtracking."""
-        longest = [-1] * len(text)
-        for last, (piece, length) in self.automaton.iter(text):  # in order of their last characters: the longest comes last
-            longest[last + 1 - length] = piece
+        single, lengths = self.single, self.lengths
+        longest = [single.get(c, -1) for c in text]
+        for last, piece in self.automaton.iter(text):  # in order of their last characters: the longest comes last
+            longest[last + 1 - lengths[piece]] = piece
+        if -1 not in longest:
+            return [i for piece in self._path(longest, 0, len(text)) for i in self.of_piece[piece]]
         out: list[int] = []
         at = 0
         while at < len(text):
@@ -176,7 +186,7 @@ class PieceEncoder:
                 if end <= stop and not failed[off >> 3] >> (off & 7) & 1:
                     if not path:
                         break
-                    known = fits.get(path[-1] << 32 | piece)
+                    known = fits[path[-1]].get(piece)
                     if known or known is None and compatible(path[-1], piece):
                         break
                 piece = shorter[piece]
@@ -198,7 +208,7 @@ class PieceEncoder:
         for word in distinct.cast(pa.large_binary()).to_pylist():
             ids = memo.get(word)
             if ids is None:
-                ids = np.array(self.word(word.decode()), "<u4").tobytes()
+                ids = array("I", self.word(word.decode())).tobytes()
                 if len(word) <= MEMO_BYTES:
                     if len(memo) >= MEMO_WORDS:
                         memo.clear()
