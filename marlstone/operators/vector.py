@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,8 +63,12 @@ def two_stage_search(df: DataFrame, query: list[float], key: str, filter_expr: C
 
 def _matrix(column: pa.Array, unit: bool) -> np.ndarray:
     """Rows of an array column in double precision; rows without a value are zero."""
-    size = max((len(x) for x in column if x.is_valid), default=0)
-    rows = np.array([x.values.to_numpy(zero_copy_only=False) if x.is_valid and len(x) == size else np.zeros(size) for x in column], np.float64).reshape(len(column), size)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = int(lengths.max(initial=0))
+    rows = np.zeros((len(column), size))
+    values = pc.fill_null(column.flatten(), np.nan).to_numpy(zero_copy_only=False).astype(np.float64)  # those of valid rows, one after the other
+    if size:
+        rows[lengths == size] = values[np.repeat(lengths == size, lengths)].reshape(-1, size)
     if unit and size:
         length = np.linalg.norm(rows, axis=1, keepdims=True)
         rows = np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
 from marlstone.functions import vectors as V
-from marlstone.operators import bm25, classify, fusion, graph, relations, vector
+from marlstone.operators import bm25, classify, fusion, graph, quantised, relations, vector
 from marlstone.operators import messages as msg
 from marlstone.plans.document_queries import bm25_sql
 from marlstone.plans.registry import doc_index, index_of, query, rounded, table
@@ -91,6 +91,18 @@ def knn_batch_search(spark, sf_dir):
     return neighbours(spark, sf_dir).select("query_id", "vec_id", rounded("score"), "rank")
 
 
+@query()
+def quantised_topk(spark, sf_dir):
+    """Neighbours by codes of a sixteenth of the vectors' size, the best of them scored exactly; with the recall of all queries."""
+    base = vectors_of(spark, sf_dir)
+    queries = base.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    quantiser = quantised.fit(base, "vec_id")
+    found = written(quantised.search(base, quantised.coded(base, quantiser, "vec_id"), quantiser, queries, "query_id", "vec_id", skip_same=True), "quantised")
+    exact = vector.batch_search(base, queries, "query_id", "vec_id", skip_same=True)
+    recall = vector.mean_recall(exact, found, "query_id", "vec_id").first().recall  # one row
+    return found.select("query_id", "vec_id", rounded("score"), "rank", F.round(F.lit(recall), 4).alias("recall"))
+
+
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM {_E} a JOIN {_E} b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.4")
 def pairs_over_threshold(spark, sf_dir):
     return vector.similar_pairs(vectors_of(spark, sf_dir), 0.4, "vec_id").select("a", "b", rounded("score"))

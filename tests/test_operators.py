@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -520,3 +521,36 @@ def test_embedding_store_embeds_each_text_once(spark, tmp_path):
     assert store.EmbeddingStore(spark, str(tmp_path), "m@2").embed(first, embed)[1] == 2
     (tmp_path / "version=m@1" / ".staged").mkdir()
     assert kept.read().count() == 3
+
+
+def test_matrix_of_odd_rows():
+    column = pa.array([[1.0, 2.0], None, [3.0], [], [0.0, 0.0], [5.0, 12.0]], pa.list_(pa.float32()))
+    assert vector._matrix(column, False).tolist() == [[1, 2], [0, 0], [0, 0], [0, 0], [0, 0], [5, 12]]
+    assert np.allclose(vector._matrix(column.slice(4), True), [[0, 0], [5 / 13, 12 / 13]])
+    assert vector._matrix(pa.array([None, []], pa.list_(pa.float32())), True).shape == (2, 0)
+
+
+def test_quantised_search_finds_the_neighbours(spark):
+    from marlstone.operators import quantised
+
+    out = QUERIES["quantised_topk"](spark, f"{DATA}/sf0.1").collect()
+    rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").collect()}
+    ids, unit = list(rows), np.array([v / np.linalg.norm(v) for v in rows.values()])
+    found = {(r.query_id, r.vec_id): r for r in out}
+    hits = total = 0
+    for i, q in enumerate(ids):
+        if q % 50 == 0:
+            near = unit @ unit[i]
+            near[i] = -2
+            best = [ids[j] for j in np.argsort(-near)[:10]]
+            hits, total = hits + sum((q, x) in found for x in best), total + 10
+            assert all(abs(r.score - near[ids.index(k)]) < 1e-5 for (p, k), r in found.items() if p == q)
+    assert len(out) == total and hits / total >= 0.9 and all(abs(r.recall - hits / total) < 0.01 for r in out)
+    # Nulls, zero vectors, repeated ids and few rows.
+    odd = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.9, 0.1, 0.0]), (2, [0.9, 0.1, 0.0]), (3, [0.0, 0.0, 0.0]), (4, None)], "id long, embedding array<float>")
+    quantiser = quantised.fit(odd, "id", parts=2)
+    codes = quantised.coded(odd, quantiser, "id")
+    assert sorted(r.key for r in codes.collect()) == [1, 2, 2, 3]
+    got = quantised.search(odd, codes, quantiser, odd.filter("id in (1, 4)").withColumnRenamed("id", "q"), "q", "id", skip_same=True, top_n=2).orderBy("rank").collect()
+    assert [(r.q, r.id) for r in got][:1] == [(1, 2)]
+    assert quantised.search(odd, codes, quantiser, odd.limit(0).withColumnRenamed("id", "q"), "q", "id").collect() == []
