@@ -8,7 +8,7 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
@@ -28,17 +28,30 @@ def search_keyword(docs: DataFrame, term: str, fields: Sequence[str] = ("text",)
     return found if top_n is None else found.orderBy(F.desc("score"), F.desc("bm25"), F.col(key)).limit(top_n)
 
 
-def fuzzy_keyword(docs: DataFrame, term: str, threshold: float = 97.0, field: str = "text", key: str = "_key") -> DataFrame:
+def letters_bound(word: Column, term: str) -> Column:
+    """At most how alike (0 to 100) a word and the term are: by the letters that they share, whatever their order."""
+    shared = [F.least(F.length(word) - F.length(F.replace(word, F.lit(c))), F.lit(term.count(c))) for c in sorted(set(term))]
+    return 200 * reduce(lambda a, b: a + b, shared, F.lit(0)) / (F.length(word) + len(term))
+
+
+def fuzzy_keyword(docs: DataFrame, term: str, threshold: float = 97.0, field: str = "text", key: str = "_key", index: bm25.TextIndex | None = None) -> DataFrame:
     """key, score (best ratio of a word with the term, from 0 to 1) of documents that reach the threshold.
 
-    Each distinct word of the collection is compared once, and only if its length can reach the threshold.
+    Each distinct word of the collection is compared once, and only if its length and letters can reach the threshold. With
+    an index these are its terms, and the documents those of its postings; no text is read.
     """
     low, n = term.lower(), len(term)
+    if index is None:
+        words = docs.select(F.col(key).alias("key"), F.explode(F.array_distinct(X.tokens(field))).alias("word"))
+        distinct = words.select("word").distinct()
+    else:
+        words = index.postings.filter(F.col("field") == field).select("key", F.col("term").alias("word"))
+        distinct = index.terms.filter(F.col("field") == field).select(F.col("term").alias("word"))
     length = F.length("word")
-    words = docs.select(key, F.explode(F.array_distinct(X.tokens(field))).alias("word"))
-    words = words.filter(200 * F.least(length, F.lit(n)) >= threshold * (length + n))
-    rated = words.select("word").distinct().withColumn("ratio", X.indel_ratio(F.col("word"), F.lit(low))).filter(F.col("ratio") >= threshold)
-    return words.join(rated, "word").groupBy(key).agg((F.max("ratio") / 100).alias("score"))
+    # The bounds stand before the Python function: Spark evaluates it for the words that they leave.
+    able = distinct.filter((200 * F.least(length, F.lit(n)) >= threshold * (length + n)) & (letters_bound(F.col("word"), low) >= threshold - 1e-9))
+    rated = able.withColumn("ratio", X.indel_ratio(F.col("word"), F.lit(low))).filter(F.col("ratio") >= threshold)
+    return words.join(rated, "word").groupBy(F.col("key").alias(key)).agg((F.max("ratio") / 100).alias("score"))
 
 
 def fuzzy_tags(docs: DataFrame, tags: Sequence[str], threshold: float = 80.0, key: str = "_key") -> DataFrame:

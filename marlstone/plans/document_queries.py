@@ -315,7 +315,7 @@ def ratio_sql(word: str, term: str) -> str:
 r AS (SELECT word, {ratio_sql("word", "orantions")} AS ratio FROM (SELECT DISTINCT word FROM w WHERE 200 * least(length(word), 9) >= 90 * (length(word) + 9)))
 SELECT doc_id, max(ratio) / 100 AS score FROM w JOIN r USING (word) WHERE ratio >= 90 GROUP BY doc_id""")
 def fuzzy_keyword(spark, sf_dir):
-    return keyword.fuzzy_keyword(docs_of(spark, sf_dir), "orantions", 90.0, key="doc_id")
+    return keyword.fuzzy_keyword(docs_of(spark, sf_dir), "orantions", 90.0, key="doc_id", index=doc_index(spark, sf_dir))
 
 
 @query(f"""WITH t AS (SELECT doc_id, unnest([lang, source]) AS tag FROM documents),

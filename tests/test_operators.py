@@ -554,3 +554,20 @@ def test_quantised_search_finds_the_neighbours(spark):
     got = quantised.search(odd, codes, quantiser, odd.filter("id in (1, 4)").withColumnRenamed("id", "q"), "q", "id", skip_same=True, top_n=2).orderBy("rank").collect()
     assert [(r.q, r.id) for r in got][:1] == [(1, 2)]
     assert quantised.search(odd, codes, quantiser, odd.limit(0).withColumnRenamed("id", "q"), "q", "id").collect() == []
+
+
+def test_fuzzy_words_by_the_index_and_by_the_texts(spark, tmp_path):
+    """The same scores with and without an index, and as every word's ratio has them; the bound never lies below a ratio."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcé", k=rng.randint(1, 7)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 6)))) for i in range(120)] + [(900, None)]
+    docs = spark.createDataFrame(rows, "_key long, text string")
+    index = bm25.build_index(docs, f"{tmp_path}/index")
+    for term, threshold in (("abcab", 70.0), ("Éab", 60.0), ("a", 100.0), ("xyz", 50.0)):
+        want = {k: best / 100 for k, t in rows if t and (best := max((X.ratio(w, term.lower()) for w in t.split()), default=0)) >= threshold}
+        for held in (None, index):
+            assert {r[0]: round(r.score, 9) for r in keyword.fuzzy_keyword(docs, term, threshold, index=held).collect()} == {k: round(v, 9) for k, v in want.items()}
+        bounds = spark.createDataFrame([(word(),) for _ in range(100)], "w string").distinct().select("w", keyword.letters_bound(F.col("w"), term.lower()).alias("b")).collect()
+        assert all(r.b >= X.ratio(r.w, term.lower()) - 1e-9 for r in bounds)
