@@ -200,7 +200,8 @@ def _records(data: bytes, base: int, more: bool):
             found = _VERSION.search(data, at + 1)
             if more and not found and (_VERSION.match(data, at) or len(data) - at < 10):
                 break
-            after = found.start() if found else len(data)
+            # The last bytes may begin a version line (of ten bytes) that the next part ends.
+            after = found.start() if found else len(data) - 9 * more
             yield None, (base + at, base + after, str(error))
         at = after
     yield None, at

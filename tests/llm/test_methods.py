@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -467,7 +467,16 @@ def test_salvage():
     assert salvaged(b"") == ([], [])
 
 
+def test_a_version_line_over_the_ends_of_members():
+    """A damaged version line costs its own record alone, wherever members are cut."""
+    good = [record(i, b"body %d" % i) for i in range(4)]
+    data = b"".join(good[:1]) + b"WARD" + good[1][4:] + b"".join(good[2:])
+    for size in range(1, 30):
+        assert salvaged(b"".join(gzip.compress(data[i : i + size]) for i in range(0, len(data), size)))[0] == [0, 2, 3]
+
+
 @settings(max_examples=150, deadline=None)
+@example(1, 21990, True)
 @given(st.integers(1, 400), st.integers(0, 10**6), st.booleans())
 def test_archives_of_any_members(size, seed, damage):
     """Members cut anywhere hold the same records; bytes are in records or in gaps."""
