@@ -7,11 +7,12 @@ from collections.abc import Callable
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.functions import json_text
+from marlstone.functions import code, json_text
 from marlstone.functions import text as X
 
 
@@ -117,34 +118,35 @@ def write_digest(files: DataFrame, folder: str, path: str = "path", content: str
     total.select(F.format_string("files: %d, characters: %d, estimated tokens: %d", "files", "chars", "tokens").alias("value")).write.mode("overwrite").text(f"{folder}/SUMMARY")
 
 
-#: How a function's name and parameters look in each language.
-SIGNATURES = {
-    "python": r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*)[ \t]*\(([^)]*)\)",
-    "javascript": r"\bfunction\s+([A-Za-z_$][\w$]*)\s*\(([^)]*)\)",
-    "typescript": r"\bfunction\s+([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\(([^)]*)\)",
-    "go": r"(?m)^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)\)",
-    "rust": r"\bfn\s+([A-Za-z_]\w*)\s*(?:<[^>]*>)?\(([^)]*)\)",
-    "java": r"(?m)^\s*(?:(?:public|private|protected|static|final|abstract)\s+)+[\w<>\[\], ]+?\s+([A-Za-z_]\w*)\s*\(([^)]*)\)",
-    "c": r"(?m)^[A-Za-z_][\w\s*]*?\b([A-Za-z_]\w*)\s*\(([^)]*)\)\s*\{",
-}
-#: Languages that name a parameter before its type; the others name it last.
-NAME_FIRST = ("python", "javascript", "typescript", "go", "rust")
-
-
-def code_functions(files: DataFrame, language: str, content: str = "content", key: str = "path") -> DataFrame:
-    """key, place (from 0), name, parameters of every function in the files, by their signatures; other languages give no rows."""
-    if language not in SIGNATURES:
-        return files.select(key).limit(0).selectExpr(key, "cast(0 as int) as place", "'' as name", "array('') as parameters")
-    pattern = F.lit(SIGNATURES[language])
-    found = F.arrays_zip(F.regexp_extract_all(content, pattern, F.lit(1)).alias("name"), F.regexp_extract_all(content, pattern, F.lit(2)).alias("source"))
-    word = r"[A-Za-z_$][\w$]*"
-
-    def named(part: Column) -> Column:
-        names = F.regexp_extract_all(F.regexp_extract(part, r"^[^=:]*", 0), F.lit(word), F.lit(0))
-        return F.when(F.size(names) > 0, F.element_at(names, 1 if language in NAME_FIRST else -1))
-
-    each = files.select(key, F.posexplode(found).alias("place", "f")).select(key, "place", "f.name", F.split("f.source", ",").alias("parts"))
-    return each.select(key, "place", "name", F.filter(F.transform("parts", named), lambda x: x.isNotNull()).alias("parameters"))
+def language_of(path: Column | str) -> Column:
+    """The language of a file by its name's end; null for others."""
+    extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.element_at(F.create_map(*[F.lit(x) for pair in code.EXTENSIONS.items() for x in pair]), extension)
+
+
+def code_functions(files: DataFrame, language: Column | str | None = None, content: str = "content", key: str = "path") -> DataFrame:
+    """key, place (from 0), name, parameters, docstring of every function in the files.
+
+    language names one for all files, or is a column; without it the ends of the keys tell. Files of other languages,
+    or without content, give no rows.
+    """
+    named = F.lit(language) if isinstance(language, str) else language_of(key) if language is None else language
+
+    def run(batches):
+        for batch in batches:
+            keys, found = [], []
+            for row, (kind, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                own = code.functions(text, kind)
+                keys += [row] * len(own)
+                found += [(place, *f) for place, f in enumerate(own)]
+            columns = list(zip(*found)) or [[]] * 4
+            types = (pa.int32(), pa.string(), pa.list_(pa.string()), pa.string())
+            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *arrays], names=["k", "place", "name", "parameters", "docstring"])
+
+    plain = files.select(F.col(key).alias("k"), named.cast("string").alias("language"), F.col(content).cast("string").alias("content")).filter(F.col("language").isin(*code.LANGUAGES))
+    schema = f"k {plain.schema['k'].dataType.simpleString()}, place int, name string, parameters array<string>, docstring string"
+    return plain.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 #: The first JSON value of a text, mended: see `functions.json_text`.

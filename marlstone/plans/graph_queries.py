@@ -272,7 +272,7 @@ def summarize_hierarchical(spark, sf_dir):
     return textproc.summarise(docs_of(spark, sf_dir), direct_tokens=500, chunk_words=100, key="doc_id")
 
 
-_FUNCTION = textproc.SIGNATURES["javascript"].replace("'", "''")
+_FUNCTION = r"\bfunction\s+([A-Za-z_$][\w$]*)\s*\(([^)]*)\)"
 
 
 @query(f"""WITH f AS (SELECT page_id AS path, regexp_extract_all(html, '{_FUNCTION}', 1) AS names, regexp_extract_all(html, '{_FUNCTION}', 2) AS sources FROM pages),

@@ -239,22 +239,6 @@ def test_json(spark):
     assert textproc.json_to_markdown({"a": {"b": 1}}) == "- **a**:\n  - **b**: 1"
 
 
-@pytest.mark.parametrize(
-    ("language", "source", "want"),
-    [
-        ("python", "def f(a, *, b: int = 2):\n    pass\n\nasync def g():\n  x", [("f", ["a", "b"]), ("g", [])]),
-        ("go", "func Add(x int, y int) int {}", [("Add", ["x", "y"])]),
-        ("java", "  public static int add(int x, List<String> ys) {", [("add", ["x", "ys"])]),
-        ("javascript", "function f(a, b = 1) {} x", [("f", ["a", "b"])]),
-        ("cobol", "x", []),
-    ],
-)
-def test_code(spark, language, source, want):
-    files = spark.createDataFrame([("p", source), ("q", None), ("r", "")], "path string, content string")
-    found = textproc.code_functions(files, language).orderBy("path", "place").collect()
-    assert [(r.name, r.parameters) for r in found] == want
-
-
 def test_truncation(spark):
     df = spark.createDataFrame([("a" * 60 + "b" * 60,), ("short",), (None,)], "t string")
     assert [r[0] for r in df.select(X.truncated("t", 10)).collect()] == ["aaaaa...bbbbb", "short", None]
