@@ -1,22 +1,24 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A template is a set of words. A block is a run of consecutive words of a text, across line ends, half as long again
-as the template at most; the join finds every template of which some block contains at least `threshold` percent of
-the words, among them those that tell the template from others (a version, a name), which the template lists. Words
-are ordered by their frequency in the whole corpus, rare ones first. A block that misses at most m of a template's
+as the template at most; the join finds every block that contains at least `threshold` percent of the words of some
+template. Of blocks of one template that overlap the best is reported: no two reported ones overlap, and every other
+overlaps a reported one. A second verdict, `named`, tells whether the block has the words that tell the template from
+others (a version, a name), which the template lists; such blocks come before others. Words are ordered by their frequency in the whole corpus, rare ones first. A block that misses at most m of a template's
 words has one of its m + 1 rarest (prefix filter), the text has enough words of the template at all (length filter),
 and so it has from the place of the first shared word on (positional filter). What passes is verified on every block,
 with a window that slides over the places of the template's words.
 
 Besides, phrases are looked up as consecutive words of the whole text.
 
-Defined cases: a null text is an empty one and has no labels; of a template's equally good blocks the first is
+Defined cases: a null text is an empty one and has no labels; of equally good blocks that overlap the first is
 reported; a text that is shorter than a block is a block; repeated rows are scanned each; ids may be null or repeated;
 no templates, or an empty table, give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -107,8 +109,8 @@ class Templates:
                 self.prefix.setdefault(word, []).append((t, place))
         return self
 
-    def matches(self, words: list[bytes]) -> list[tuple[int, int, int]]:
-        """(template, first word of its best block, words of the template in it) of every template that matches."""
+    def matches(self, words: list[bytes]) -> list[tuple[int, int, int, bool]]:
+        """(template, first word of the block, words of the template in it, named) of every block that is reported."""
         have = self.vocabulary.intersection(words)
         tried: dict[int, int] = {}
         for word in have & self.prefix.keys():
@@ -119,36 +121,39 @@ class Templates:
         for t, place in sorted(tried.items()):
             own, needed = self.sets[t], self.needed[t]
             # Length; then position: the words before the first shared one are missing.
-            if len(own & have) < needed or len(own) - place < needed or not self.must[t] <= have:
+            if len(own & have) < needed or len(own) - place < needed:
                 continue
             if not places:
                 for i, w in enumerate(words):
                     if w in have:
                         places.setdefault(w, []).append(i)
-            best = self._best_block(t, sorted((i, w) for w in own & have for i in places[w]))
-            if best:
-                found.append((t, *best))
+            found += [(t, *block) for block in self._blocks(t, sorted((i, w) for w in own & have for i in places[w]))]
         return found
 
-    def _best_block(self, t: int, places: list[tuple[int, bytes]]) -> tuple[int, int] | None:
-        """A block may as well begin with a word of the template: its first word, and how many of the words it has."""
+    def _blocks(self, t: int, places: list[tuple[int, bytes]]) -> list[tuple[int, int, bool]]:
+        """The reported blocks in order; a block may as well begin with a word of the template."""
         inside: Counter = Counter()
-        end, best = 0, (0, 0)
-        must = self.must[t]
+        must, size, end = self.must[t], self.block[t], 0
+        good = []
         for start, word in places:
-            while end < len(places) and places[end][0] < start + self.block[t]:
+            while end < len(places) and places[end][0] < start + size:
                 inside[places[end][1]] += 1
                 end += 1
-            if len(inside) > best[1] and must <= inside.keys():
-                best = (start, len(inside))
+            if len(inside) >= self.needed[t]:
+                good.append((not must <= inside.keys(), -len(inside), start))
             inside[word] -= 1
             if not inside[word]:
                 del inside[word]
-        return best if best[1] >= self.needed[t] else None
+        taken: list[tuple[int, int, bool]] = []
+        for other, n, start in sorted(good):
+            at = bisect_left(taken, (start,))
+            if (at == 0 or taken[at - 1][0] + size <= start) and (at == len(taken) or start + size <= taken[at][0]):
+                taken.insert(at, (start, -n, not other))
+        return taken
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str, str]] = TEMPLATES, threshold: int = 80) -> DataFrame:
-    """id_col, n_words, phrase_places (array<struct<label, word>>), blocks (array<struct<word, label, containment>>)."""
+    """id_col, n_words, phrase_places (array<struct<label, word>>), blocks (array<struct<word, label, containment, named>>)."""
     parts = []
     for at in range(0, max(len(templates), 1), PART_TEMPLATES):
         index = Templates(templates[at : at + PART_TEMPLATES], threshold)
@@ -156,7 +161,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     wanted = [(f" {phrase} ".encode(), label) for phrase, label in phrases.items()]
     shared = docs.sparkSession.sparkContext.broadcast(parts)
     place_type = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
-    block_type = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
+    block_type = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string()), ("containment", pa.float64()), ("named", pa.bool_())]))
 
     def run(batches):
         parts = shared.value
@@ -175,17 +180,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
                         found.append({"label": label, "word": word})
                         at = joined.find(phrase, at + 1)
                 places.append(found)
-                blocks.append([{"word": w, "label": index.labels[t], "containment": n / len(index.sets[t])} for index in parts for t, w, n in index.matches(words)])
+                blocks.append([{"word": w, "label": index.labels[t], "containment": n / len(index.sets[t]), "named": named} for index in parts for t, w, n, named in index.matches(words)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(places, place_type), pa.array(blocks, block_type)], names=["id", "n_words", "phrase_places", "blocks"])
 
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_words long, phrase_places array<struct<label string, word long>>, blocks array<struct<word long, label string, containment double>>"
+    schema = f"id {kind}, n_words long, phrase_places array<struct<label string, word long>>, blocks array<struct<word long, label string, containment double, named boolean>>"
     return plain.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op6_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(common.table(spark, sf_dir, "documents"))
+    # A label takes its words: blocks that are not named belong to a license of like wording.
+    found = scan(common.table(spark, sf_dir, "documents")).withColumn("blocks", F.filter("blocks", lambda b: b.named))
     base = F.array_sort(F.array_distinct("phrase_places.label"))
     every = F.array_sort(F.array_union("phrase_places.label", "blocks.label"))
     score = F.when(F.size("phrase_places") > 0, 1.0).otherwise(F.coalesce(F.array_max("blocks.containment"), F.lit(0.0)))

@@ -391,6 +391,7 @@ def test_license_join_brute_force():
         for _ in range(rng.randrange(4)):
             parts.insert(rng.randrange(len(parts) + 1), rng.choice(vocabulary))
         text = rng.choices(vocabulary, k=rng.randrange(20)) + parts + rng.choices(vocabulary, k=rng.randrange(20))
+        text += rng.choice([[], parts, [b"other"] * 30 + parts])
         want = {}
         for t, words in enumerate(index.sets):
             blocks = [frozenset(text[i : i + index.block[t]]) for i in range(len(text))]
@@ -398,8 +399,21 @@ def test_license_join_brute_force():
             if 100 * best >= 80 * len(words):
                 want[t] = best
         found = index.matches(text)
-        assert {t: n for t, _, n in found} == want
-        assert all(len(index.sets[t] & frozenset(text[w : w + index.block[t]])) == n for t, w, n in found)
+        best = {}
+        for t, _, n, named in found:
+            best[t] = max(best.get(t, 0), n * named)
+        assert {t: n for t, n in best.items() if n} == want
+        for t, words in enumerate(index.sets):
+            size, own = index.block[t], [x for x in found if x[0] == t]
+            for _, w, n, named in own:
+                block = frozenset(text[w : w + size])
+                assert len(words & block) == n and named == (index.must[t] <= block)
+            # Reported blocks do not overlap; every other one overlaps one that is at least as good.
+            assert all(x[1] + size <= y[1] for x, y in zip(own, own[1:]))
+            for i in range(len(text)):
+                block = frozenset(text[i : i + size])
+                if text[i] in words and 100 * len(words & block) >= 80 * len(words):
+                    assert any(abs(w - i) < size and (named, n) >= (index.must[t] <= block, len(words & block)) for _, w, n, named in own)
         hits += len(want)
     assert hits > 200
 
@@ -427,7 +441,17 @@ furnished to do so, subject to the following conditions:"""
 )
 def test_notices(text, labels):
     index = license.Templates(license.TEMPLATES, 80).order({})
-    assert sorted({index.labels[t] for t, _, _ in index.matches(license.normal(text).split())}) == labels
+    assert sorted({index.labels[t] for t, _, _, named in index.matches(license.normal(text).split()) if named}) == labels
+
+
+def test_every_block_of_a_text(spark):
+    text = f"{MIT} {'word ' * 60} {MIT} the GNU General Public License, version"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    blocks = license.scan(docs).first().blocks
+    assert [(b.label, b.word) for b in blocks if b.named] == [("mit", 0), ("mit", len(license.normal(MIT).split()) + 60)]
+    gpl = "This work is licensed under the GNU General Public License, version 2."
+    near = license.scan(docs.selectExpr("doc_id", f"'{gpl}' AS text")).first().blocks
+    assert ("gpl-3", 0, False) in [(b.label, b.word, b.named) for b in near]
 
 
 def test_templates_in_parts(spark, monkeypatch):
