@@ -28,7 +28,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and it survives the loss of executors."""
+    """df as a table in the shared folder: its lineage is cut, and it survives the loss of executors.
+
+    Zstandard's buffers are given back when a file is closed; those of Snappy lie outside the heap until it is collected.
+    """
     path = f"{shared_dir(df.sparkSession, name)}/table"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
