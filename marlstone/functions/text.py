@@ -158,7 +158,7 @@ def partial_indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def hash_embedding(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A deterministic unit vector of 64 values for each text, from a generator seeded with its digest."""
+    """A deterministic unit vector of 64 values for each text, from a generator seeded with its whole digest: a part of it recurs among many texts."""
     import hashlib
 
     for texts in parts:
@@ -167,7 +167,7 @@ def hash_embedding(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             if text is None:
                 out.append(None)
                 continue
-            seed = int(hashlib.md5(text.encode()).hexdigest(), 16) % 2**32
+            seed = int(hashlib.md5(text.encode()).hexdigest(), 16)
             vector = np.random.default_rng(seed).standard_normal(64)
             out.append((vector / np.linalg.norm(vector)).astype("float32"))
         yield pd.Series(out)

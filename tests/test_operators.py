@@ -276,6 +276,12 @@ def test_documents_are_embedded(spark, tmp_path):
     assert after["a"] != rows["a"] and after["b"] == rows["b"]
 
 
+def test_texts_do_not_share_vectors(spark):
+    texts = ["86786", "88266"]  # the last 32 bits of their digests are equal
+    a, b = (r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.hash_embedding("t")).collect())
+    assert a != b
+
+
 def test_edges_and_samples(spark):
     both = store.sample_collections(spark)
     edges = both["edges"]
