@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from marlstone.operators.graph import components
 from marlstone.sources.shared import written
 
 METRICS = {"cosine": V.cosine, "dot": V.dot, "l2": V.l2_score}
-#: Query vectors that are broadcast at a time, and rows that a task scores against them at a time.
-QUERY_BLOCK, SCORE_ROWS = 4096, 2048
+#: Query vectors that are broadcast at a time, those of them that a task scores at a time, and the rows that it scores against these.
+QUERY_BLOCK, QUERY_PART, SCORE_ROWS = 4096, 512, 2048
 #: Vectors of a block in a join of all with all, at most, and of a tile of it.
 JOIN_BLOCK, TILE = 16_384, 2048
 
@@ -69,36 +70,40 @@ def _matrix(column: pa.Array, unit: bool) -> np.ndarray:
     values = pc.fill_null(column.flatten(), np.nan).to_numpy(zero_copy_only=False).astype(np.float64)  # those of valid rows, one after the other
     if size:
         rows[lengths == size] = values[np.repeat(lengths == size, lengths)].reshape(-1, size)
-    if unit and size:
-        length = np.linalg.norm(rows, axis=1, keepdims=True)
-        rows = np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
-    return rows
+    return _unit(rows) if unit and size else rows
 
 
 class _Best:
-    """The nearest rows of each query so far."""
+    """The nearest rows of each query so far, scores being rounded to `digits` for ranking alone."""
 
-    def __init__(self, queries: int, top_n: int):
-        self.top_n, self.cut = top_n, np.full(queries, -np.inf)
+    def __init__(self, queries: int, top_n: int, digits: int = 12):
+        self.top_n, self.digits, self.cut = top_n, digits, np.full(queries, -np.inf)
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def add(self, value: np.ndarray, keys: np.ndarray) -> None:
+    def add(self, value: np.ndarray, keys: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """value[query, row] of all queries, or of some of them."""
         keep = min(self.top_n, value.shape[1])
         if not keep:
             return
+        cut = self.cut if queries is None else self.cut[queries]
         # Ties at the cut are kept, so that the key can break them.
-        own = -np.partition(-value, keep - 1, axis=1)[:, keep - 1] if keep == self.top_n else np.full(len(value), -np.inf)
-        q, r = np.nonzero((value >= (np.maximum(self.cut, own) - 1e-12)[:, None]) & np.isfinite(value))
-        self.parts.append((q, keys[r], value[q, r]))
+        if keep == self.top_n and not np.isfinite(cut).all():
+            cut = np.maximum(cut, np.partition(value, value.shape[1] - keep, axis=1)[:, -keep])
+        q, r = np.nonzero((value >= (cut - 10.0**-self.digits)[:, None]) & np.isfinite(value))
+        self.take(q if queries is None else queries[q], keys[r], value[q, r])
+
+    def take(self, q: np.ndarray, keys: np.ndarray, score: np.ndarray) -> None:
+        """Rows that were found, with the query of each."""
+        self.parts.append((q, keys, score))
         self.held += len(q)
         if self.held > 4 * len(self.cut) * self.top_n + 100_000:
             self.prune()
 
     def prune(self) -> None:
         q, keys, score = (np.concatenate(x) for x in zip(*self.parts))
-        # Scores are rounded for ranking alone, so that equal vectors tie whatever the order of summation.
-        order = np.lexsort((keys, -np.round(score, 12), q))
+        # Scores are rounded, so that equal vectors tie whatever the order of summation.
+        order = np.lexsort((keys, -np.round(score, self.digits), q))
         q, keys, score = q[order], keys[order], score[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         stay = place < self.top_n
@@ -107,52 +112,72 @@ class _Best:
         self.parts, self.held = [(q[stay], keys[stay], score[stay])], int(stay.sum())
 
 
-def batch_search(df: DataFrame, queries: DataFrame, query_id: str, key: str, vector: str = "embedding", metric: str = "cosine", top_n: int = 10, min_score: float | None = None, skip_same: bool = False) -> DataFrame:
-    """query_id, key, score, rank: exact top_n of every query; skip_same leaves out rows whose key is the query's.
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
-    Queries are broadcast a block of about QUERY_BLOCK at a time, the only ones that the driver holds; each task keeps
-    top_n rows a query, and Spark merges them. With several blocks, each one's hits are written before the next one's
-    scan. Ids and keys are numbers.
-    """
-    spark = df.sparkSession
+
+def _kept(best: _Best, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """q, k, score of what a task has kept."""
+    if best.parts:
+        best.prune()
+        q, keys, score = best.parts[0]
+        yield pa.RecordBatch.from_pydict({"q": pa.array(ids[q]), "k": pa.array(keys), "score": pa.array(score)})
+
+
+def _by_query_blocks(queries: DataFrame, query_id: str, vector: str, scanned: Callable[[Broadcast], DataFrame]) -> DataFrame:
+    """What `scanned` finds for each broadcast block (ids, vectors) of the queries; with several blocks, written block by block."""
+    spark = queries.sparkSession
     wanted = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v")).filter("q is not null and v is not null")
-    base = df.select(F.col(key).cast("long"), vector).filter(F.col(vector).isNotNull())
     first = wanted.limit(QUERY_BLOCK + 1).collect()
     blocks = 1 if len(first) <= QUERY_BLOCK else -(-wanted.count() // QUERY_BLOCK)
     found = None
     for block in range(blocks):
         held = first if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast((np.array([r.q for r in held], np.int64), np.array([r.v for r in held], np.float64)))
+        part = scanned(shared)
+        if blocks > 1:
+            part = written(part, "nearest")
+            shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    return found
 
-        def run(batches, shared=shared):
+
+def batch_search(df: DataFrame, queries: DataFrame, query_id: str, key: str, vector: str = "embedding", metric: str = "cosine", top_n: int = 10, min_score: float | None = None, skip_same: bool = False) -> DataFrame:
+    """query_id, key, score, rank: exact top_n of every query; skip_same leaves out rows whose key is the query's.
+
+    Queries are broadcast a block of about QUERY_BLOCK at a time, the only ones that the driver holds; each task keeps
+    top_n rows a query, and Spark merges them. With several blocks, each one's hits are written before the next one's
+    scan. A task's scores at a time are QUERY_PART by SCORE_ROWS. Ids and keys are numbers.
+    """
+    base = df.select(F.col(key).cast("long"), vector).filter(F.col(vector).isNotNull())
+
+    def scanned(shared):
+        def run(batches):
             ids, wanted = shared.value
             if not len(ids):
                 return
             if metric == "cosine":
-                length = np.linalg.norm(wanted, axis=1, keepdims=True)
-                wanted = np.divide(wanted, length, out=np.zeros_like(wanted), where=length > 0)
+                wanted = _unit(wanted)
             best = _Best(len(ids), top_n)
             for batch in batches:
                 for at in range(0, batch.num_rows, SCORE_ROWS):
                     part = batch.slice(at, SCORE_ROWS)
                     keys = part.column(0).to_numpy(zero_copy_only=False)
                     rows = _matrix(part.column(1), metric == "cosine")
-                    value = wanted @ rows.T
-                    if metric == "l2":
-                        value = 2 * value - (wanted**2).sum(axis=1)[:, None] - (rows**2).sum(axis=1)[None, :]
-                    if skip_same:
-                        value[ids[:, None] == keys[None, :]] = -np.inf
-                    best.add(value, keys)
-            if best.parts:
-                best.prune()
-                q, keys, score = best.parts[0]
-                yield pa.RecordBatch.from_pydict({"q": pa.array(ids[q]), "k": pa.array(keys), "score": pa.array(score)})
-
-        part = base.mapInArrow(run, "q long, k long, score double")
-        if blocks > 1:
-            part = written(part, "nearest")
-            shared.unpersist()
-        found = part if found is None else found.unionByName(part)
+                    for first in range(0, len(ids), QUERY_PART):
+                        own = np.arange(first, min(first + QUERY_PART, len(ids)))
+                        value = wanted[own] @ rows.T
+                        if metric == "l2":
+                            value = 2 * value - (wanted[own] ** 2).sum(axis=1)[:, None] - (rows**2).sum(axis=1)[None, :]
+                        if skip_same:
+                            value[ids[own][:, None] == keys[None, :]] = -np.inf
+                        best.add(value, keys, own)
+            yield from _kept(best, ids)
+
+        return base.mapInArrow(run, "q long, k long, score double")
+
+    found = _by_query_blocks(queries, query_id, vector, scanned)
     if min_score is not None:
         found = found.filter(F.col("score") >= min_score)
     return top_per_group(found, "q", F.round("score", 12), "k", top_n).select(F.col("q").alias(query_id), F.col("k").alias(key), "score", "rank")

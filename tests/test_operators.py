@@ -561,3 +561,24 @@ def test_fuzzy_words_by_the_index_and_by_the_texts(spark, tmp_path):
             assert {r[0]: round(r.score, 9) for r in keyword.fuzzy_keyword(docs, term, threshold, index=held).collect()} == {k: round(v, 9) for k, v in want.items()}
         bounds = spark.createDataFrame([(word(),) for _ in range(100)], "w string").distinct().select("w", keyword.letters_bound(F.col("w"), term.lower()).alias("b")).collect()
         assert all(r.b >= X.ratio(r.w, term.lower()) - 1e-9 for r in bounds)
+
+
+def test_a_task_scores_few_queries_at_a_time(spark, monkeypatch):
+    base = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").coalesce(1)
+    queries = base.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("q"), "embedding")
+    want = sorted(vector.batch_search(base, queries, "q", "vec_id", top_n=4, skip_same=True).select("q", "vec_id", "rank").collect())
+    monkeypatch.setattr(vector, "QUERY_PART", 7)
+    monkeypatch.setattr(vector, "SCORE_ROWS", 50)
+    plain = vector._Best.add
+
+    def few(self, value, *rest):
+        assert value.shape[0] <= 7 and value.shape[1] <= 50
+        plain(self, value, *rest)
+
+    monkeypatch.setattr(vector._Best, "add", few)
+    # The operator's own function over the table's batches, where the patch holds.
+    ran = []
+    monkeypatch.setattr(vector, "_by_query_blocks", lambda q, name, v, scanned: scanned(type("Held", (), {"value": (np.array([r.q for r in q.collect()]), np.array([r.embedding for r in q.collect()], float))})))
+    monkeypatch.setattr(type(base), "mapInArrow", lambda self, run, schema: ran.append(pa.Table.from_batches(list(run(self.toArrow().combine_chunks().to_batches())))) or spark.createDataFrame(ran[-1]))
+    got = sorted(vector.batch_search(base, queries, "q", "vec_id", top_n=4, skip_same=True).select("q", "vec_id", "rank").collect())
+    assert got == want and ran
