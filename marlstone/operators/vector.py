@@ -255,16 +255,47 @@ def ivf_assign(df: DataFrame, key: str, vector: str = "embedding", lists: int |
 
 
 def ivf_search(df: DataFrame, queries: DataFrame, query_id: str, key: str, vector: str = "embedding", lists: int | None = None, probes: int | float = 0.75, top_n: int = 10, skip_same: bool = False) -> DataFrame:
-    """query_id, key, score, rank from the lists nearest to each query: so many, or such a share of all."""
+    """query_id, key, score, rank from the lists nearest to each query: so many, or such a share of all.
+
+    Rows are dealt out in the order of their lists, a long list to several tasks; a task scores the rows of a list at once
+    against the queries that probe it. Queries are broadcast as in `batch_search`. Ids and keys are numbers.
+    """
     centres, assigned = ivf_assign(df, key, vector, lists)
-    probes = max(1, round(probes * len(centres))) if isinstance(probes, float) else probes
-    scores = F.array(*[F.struct(V.dot(V.normalised(F.col(vector)), V.literal(c)).alias("s"), F.lit(i).alias("list")) for i, c in enumerate(centres)])
-    probed = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_qv"), F.explode(F.slice(F.sort_array(scores, asc=False), 1, probes)).alias("p"))
-    pairs = probed.select("_q", "_qv", F.col("p.list").alias("list")).join(assigned, "list")
-    if skip_same:
-        pairs = pairs.filter(F.col("_q") != F.col(key))
-    scored = pairs.select("_q", key, V.cosine(F.col("_qv"), F.col(vector)).alias("score"))
-    return top_per_group(scored, "_q", F.col("score"), key, top_n).withColumnRenamed("_q", query_id)
+    probes = max(1, round(probes * len(centres))) if isinstance(probes, float) else min(probes, len(centres))
+    rows = assigned.select(F.col(key).cast("long").alias("k"), vector, "list").filter("k is not null")
+    rows = written(rows.repartitionByRange("list", F.xxhash64("k")).sortWithinPartitions("list"), "lists")
+    middles = np.array(centres)
+
+    def scanned(shared):
+        def run(batches):
+            ids, wanted = shared.value
+            if not len(ids):
+                return
+            wanted = _unit(wanted)
+            order = np.argsort(-(wanted @ middles.T), axis=1, kind="stable")[:, :probes]
+            probed = np.zeros((len(ids), len(middles)), bool)
+            np.put_along_axis(probed, order, True, axis=1)
+            best = _Best(len(ids), top_n)
+            for batch in batches:
+                keys, of = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
+                for start, end in zip(cuts, cuts[1:]):
+                    asking = np.flatnonzero(probed[:, of[start]]) if end > start else []
+                    for at in range(start, end, SCORE_ROWS):
+                        part = slice(at, min(at + SCORE_ROWS, end))
+                        held = _matrix(batch.column(1).slice(at, part.stop - at), True)
+                        for first in range(0, len(asking), QUERY_PART):
+                            own = asking[first : first + QUERY_PART]
+                            value = wanted[own] @ held.T
+                            if skip_same:
+                                value[ids[own][:, None] == keys[None, part]] = -np.inf
+                            best.add(value, keys[part], own)
+            yield from _kept(best, ids)
+
+        return rows.mapInArrow(run, "q long, k long, score double")
+
+    found = _by_query_blocks(queries, query_id, vector, scanned)
+    return top_per_group(found, "q", F.round("score", 12), "k", top_n).select(F.col("q").alias(query_id), F.col("k").alias(key), "score", "rank")
 
 
 def dimension_errors(df: DataFrame, dimension: int, vector: str = "embedding") -> DataFrame:

@@ -582,3 +582,18 @@ def test_a_task_scores_few_queries_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(type(base), "mapInArrow", lambda self, run, schema: ran.append(pa.Table.from_batches(list(run(self.toArrow().combine_chunks().to_batches())))) or spark.createDataFrame(ran[-1]))
     got = sorted(vector.batch_search(base, queries, "q", "vec_id", top_n=4, skip_same=True).select("q", "vec_id", "rank").collect())
     assert got == want and ran
+
+
+def test_ivf_scores_by_matrices(spark, monkeypatch):
+    base = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    queries = base.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "embedding")
+    monkeypatch.setattr(vector, "SCORE_ROWS", 9)
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 5)
+    # All lists probed, the search is exact; rows are scored by lists and not as joined pairs.
+    found = vector.ivf_search(base, queries, "q", "vec_id", lists=8, probes=1.0, top_n=6, skip_same=True)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    exact = vector.batch_search(base, queries, "q", "vec_id", top_n=6, skip_same=True)
+    rows = [sorted((r.q, r["rank"], r.vec_id, round(r.score, 9)) for r in x.collect()) for x in (found, exact)]
+    assert rows[0] == rows[1] and rows[0]
+    few = vector.ivf_search(base, queries, "q", "vec_id", lists=8, probes=2, top_n=500, skip_same=True)
+    assert 0 < few.count() < base.count() * queries.count()
