@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.sources.shared import shared_dir, written
+from marlstone.sources.shared import release_memory, shared_dir, short_batches, slices, written
 
 __all__ = ["BROADCAST_KEYS", "release_memory", "shared_dir", "shared_file", "short_batches", "slices", "table", "without", "written"]
 
-#: Rows of an Arrow batch that a Python helper holds as Python objects at a time.
-SLICE_ROWS = 512
-#: And the bytes of it.
-SLICE_BYTES = 16 << 20
-
-
-#: Rows of the Arrow batches between Spark and its Python workers.
-ARROW_ROWS = 2000
-
-
-def short_batches(spark: SparkSession) -> None:
-    """From now on the session's Arrow batches have at most ARROW_ROWS rows: texts are long, and batches lie outside the heap."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
-        spark.conf.set(name, str(ARROW_ROWS))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,37 +29,6 @@ def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
     return unique
 
 
-def slices(batches, rows: int = SLICE_ROWS, text_bytes: int = SLICE_BYTES):
-    """Arrow batches cut into ones of few rows and, but for single rows, few bytes.
-
-    At its end the task gives back what memory it has freed: the Python worker goes on to other stages.
-    """
-
-    def cut(batch):
-        if batch.num_rows > 1 and batch.nbytes > text_bytes:
-            half = batch.num_rows // 2
-            yield from cut(batch.slice(0, half))
-            yield from cut(batch.slice(half))
-        else:
-            yield batch
-
-    try:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield from cut(batch.slice(at, rows))
-            del batch
-    finally:
-        release_memory()
-
-
-def release_memory() -> None:
-    """Hand freed memory back to the system, where the C library can."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 #: Keys up to which a set of them is broadcast; a larger set is joined by a shuffle.
 BROADCAST_KEYS = 200_000
 

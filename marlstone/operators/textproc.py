@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from marlstone.functions import code, json_text
 from marlstone.functions import text as X
+from marlstone.sources.shared import short_batches
 
 
 def chunk_bounds(costs: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
@@ -40,19 +41,34 @@ def chunk_bounds(costs: list[int], size: int, overlap: int) -> list[tuple[int, i
 
 def chunk_sentences(sentences: list[str], size: int, overlap: int | None = None, cost: Callable[[str], int] = lambda s: len(s.split())) -> list[list[str]]:
     """The sentences in chunks; the default overlap is a twentieth of them, at least one."""
-    overlap = max(1, len(sentences) // 20) if overlap is None else overlap
-    return [sentences[a:b] for a, b in chunk_bounds(list(map(cost, sentences)), size, overlap)]
+    return [sentences[a:b] for a, b in _bounds(list(map(cost, sentences)), size, overlap)]
 
 
-def chunks(docs: DataFrame, size: int = 500, overlap: int | None = None, field: str = "text", key: str = "_key") -> DataFrame:
-    """key, chunk_index, chunk, n_sentences of every document."""
+def _bounds(costs: list[int], size: int, overlap: int | None) -> list[tuple[int, int]]:
+    return chunk_bounds(costs, size, max(1, len(costs) // 20) if overlap is None else overlap)
+
 
-    @F.pandas_udf("array<array<string>>")
-    def cut(parts: pd.Series) -> pd.Series:
-        return pd.Series([chunk_sentences(list(p) if p is not None else [], size, overlap) for p in parts])
+#: Texts of which a task of `chunks` holds the sentences as Python objects.
+CUT_ROWS = 64
 
-    each = docs.select(key, F.posexplode(cut(X.sentences(field))).alias("chunk_index", "c"))
-    return each.select(key, F.col("chunk_index").cast("long"), F.concat_ws(" ", "c").alias("chunk"), F.size("c").cast("long").alias("n_sentences"))
+
+def chunks(docs: DataFrame, size: int = 500, overlap: int | None = None, field: str = "text", key: str = "_key") -> DataFrame:
+    """key, chunk_index, chunk, n_sentences of every document. Python holds the sentences of few texts at a time and returns places alone."""
+    short_batches(docs.sparkSession)
+
+    @F.arrow_udf("array<struct<start: int, n: int>>")
+    def cut(parts: pa.Array) -> pa.Array:
+        found = []
+        for at in range(0, len(parts), CUT_ROWS):
+            costs = ([len(s.split()) for s in p or []] for p in parts.slice(at, CUT_ROWS).to_pylist())
+            found += [[{"start": a + 1, "n": b - a} for a, b in _bounds(c, size, overlap)] for c in costs]
+        return pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())])))
+
+    parts = docs.select(key, X.sentences(field).alias("sentences")).withColumn("cut", cut("sentences"))
+    # A text's chunks are made before they are dealt to rows, so that no row has all its sentences.
+    made = F.transform("cut", lambda at: F.struct(F.concat_ws(" ", F.slice(F.col("sentences"), at["start"], at["n"])).alias("chunk"), at["n"].cast("long").alias("n_sentences")))
+    each = parts.select(key, F.posexplode(made).alias("chunk_index", "c"))
+    return each.select(key, F.col("chunk_index").cast("long"), "c.chunk", "c.n_sentences")
 
 
 def lead_sentences(text: Column, n: int = 2) -> Column:

@@ -597,3 +597,16 @@ def test_ivf_scores_by_matrices(spark, monkeypatch):
     assert rows[0] == rows[1] and rows[0]
     few = vector.ivf_search(base, queries, "q", "vec_id", lists=8, probes=2, top_n=500, skip_same=True)
     assert 0 < few.count() < base.count() * queries.count()
+
+
+def test_chunks_come_in_short_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.createDataFrame([("a", "One two three. Four five six? Seven! Eight nine."), ("b", None), ("c", ""), ("d", "Alone.")], "_key string, text string")
+    made = textproc.chunks(docs, 5, 1)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+    got = sorted((r._key, r.chunk_index, r.chunk, r.n_sentences) for r in made.collect())
+    want = []
+    for r in docs.select("_key", X.sentences("text").alias("s")).collect():
+        want += [(r._key, i, " ".join(c), len(c)) for i, c in enumerate(textproc.chunk_sentences(r.s or [], 5, 1))]
+    assert got == sorted(want) and len(got) == 4
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
