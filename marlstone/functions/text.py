@@ -8,6 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -235,7 +237,15 @@ def porter_stem(word: str) -> str:
     return word[:-1] if word.endswith("ll") and measure(word[:-1]) > 1 else word
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed(words: pd.Series) -> pd.Series:
-    cached = lru_cache(maxsize=100_000)(porter_stem)
-    return words.map(lambda ws: None if ws is None else [cached(w) for w in ws])
+@lru_cache(maxsize=100_000)
+def _stem(word: str) -> str:
+    return porter_stem(word)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stemmed(words: pa.Array) -> pa.Array:
+    """The stems of words: those of a batch's distinct words, dealt out to their places."""
+    coded = words.flatten().dictionary_encode()
+    stems = pa.array([w if w is None else _stem(w) for w in coded.dictionary.to_pylist()], pa.string())
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), stems.take(coded.indices), mask=pc.is_null(words))

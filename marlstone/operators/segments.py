@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marlstone.operators.bm25 import ANALYZERS, TextIndex
-from marlstone.sources.shared import written
+from marlstone.sources.shared import short_batches, slices, written
 
 #: Segments beyond which the smallest are merged, and how many of them at a time.
 MOST_SEGMENTS, MERGED = 8, 6
@@ -43,13 +43,17 @@ _TABLES = {
 
 
 def analysed(docs: DataFrame, fields: Sequence[str], key: str, analyzer: str) -> DataFrame:
-    """key, field, length, digest, terms (each distinct term with its places, from 0) of every field of every document."""
+    """key, field, length, digest, terms (each distinct term with its places, from 0) of every field of every document.
+
+    A task holds the words of few rows at a time.
+    """
+    short_batches(docs.sparkSession)
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields])
     rows = docs.select(F.col(key).alias("key"), F.explode(each).alias("x"))
     rows = rows.select("key", "x.field", F.sha2(F.coalesce("x.text", F.lit("")), 256).alias("digest"), ANALYZERS[analyzer](F.col("x.text")).alias("t"))
 
     def grouped(batches):
-        for batch in batches:
+        for batch in slices(batches):
             words = batch.column("t").cast(pa.list_(pa.string()))
             lengths = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             coded = words.flatten().dictionary_encode()

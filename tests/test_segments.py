@@ -165,3 +165,12 @@ def test_bounds_lose_no_hit(spark, tmp_path):
             assert reach.scored <= reach.postings
             pruned += reach.pruned and reach.scored < reach.postings / 3
     assert pruned >= 3
+
+
+def test_texts_are_analysed_in_short_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.createDataFrame([(1, "Cats cat hopping ponies"), (2, None), (3, "")], "k long, text string")
+    found = segments.analysed(docs, ["text"], "k", "stems")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+    assert {r.key: {t.term: list(t.places) for t in r.terms} for r in found.collect()} == {1: {"cat": [0, 1], "hop": [2], "poni": [3]}, 2: {}, 3: {}}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
