@@ -9,15 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import vector
-from marlstone.operators.bm25 import top_per_group
 from marlstone.operators.documents import condition
 
 
 def similarity_edges(df: DataFrame, key: str, threshold: float = 0.85, per_row: int = 10, column: str = "embedding") -> DataFrame:
     """src, dst, type, strength, auto_generated, rationale: each row's best neighbours at or above the threshold."""
-    pairs = vector.similar_pairs(df, threshold, key, column)
-    both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "score").unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "score"))
-    best = top_per_group(both, "src", F.round("score", 12), "dst", per_row)
+    best = vector.nearest_pairs(df, threshold, key, per_row, column).withColumnsRenamed({"a": "src", "b": "dst"})
     rationale = F.when(F.col("score") > 0.9, "very similar content").otherwise("similar content")
     return best.select("src", "dst", F.lit("semantic_similarity").alias("type"), F.col("score").alias("strength"), F.lit(True).alias("auto_generated"), rationale.alias("rationale"))
 

@@ -183,38 +183,64 @@ def batch_search(df: DataFrame, queries: DataFrame, query_id: str, key: str, vec
     return top_per_group(found, "q", F.round("score", 12), "k", top_n).select(F.col("q").alias(query_id), F.col("k").alias(key), "score", "rank")
 
 
-def similar_pairs(df: DataFrame, threshold: float, key: str, vector: str = "embedding") -> DataFrame:
-    """a, b, score of all pairs a < b with at least the cosine: blocks of rows against blocks, pairs only as results.
-
-    A row is dealt to as many tasks as there are blocks; a task compares two blocks a tile at a time.
-    """
+def _dealt(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """k, vector, at (its block), lo, hi: each row once for each pair of blocks that its own is of."""
     rows = df.select(F.col(key).cast("long").alias("k"), vector).filter(F.col(vector).isNotNull())
     n = rows.count()
     blocks = max(1, -(-n // min(max(n // 8, TILE // 2), JOIN_BLOCK)))
     at = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    dealt = rows.withColumn("at", at).select("*", other).select("k", vector, "at", F.least("at", "o").alias("lo"), F.greatest("at", "o").alias("hi"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        at, lo, hi = (table.column(x).to_numpy() for x in ("at", "lo", "hi"))
-        k = table.column("k").to_numpy()
-        unit = _matrix(table.column(vector).chunk(0), True)
-        left, right = np.flatnonzero(at == lo[0]), np.flatnonzero(at == hi[0])
-        found = []
-        for x in range(0, len(left), TILE):
-            for y in range(x if lo[0] == hi[0] else 0, len(right), TILE):
-                i, j = left[x : x + TILE], right[y : y + TILE]
-                score = unit[i] @ unit[j].T
-                good = score >= threshold
-                if lo[0] == hi[0]:
-                    good &= (x + np.arange(len(i)))[:, None] < (y + np.arange(len(j)))[None, :]
-                p, q = np.nonzero(good)
-                found.append((k[i[p]], k[j[q]], score[p, q]))
-        a, b, score = (np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": score})
-
-    return dealt.groupBy("lo", "hi").applyInArrow(compare, "a long, b long, score double").filter("a <> b")
+    return rows.withColumn("at", at).select("*", other).select("k", vector, "at", F.least("at", "o").alias("lo"), F.greatest("at", "o").alias("hi"))
+
+
+def _tiles(table: pa.Table, vector: str, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The keys of two blocks' rows, then the places among them and the scores of pairs with at least the cosine, a tile at a time."""
+    table = table.combine_chunks()
+    at, lo, hi = (table.column(x).to_numpy() for x in ("at", "lo", "hi"))
+    k = table.column("k").to_numpy()
+    unit = _matrix(table.column(vector).chunk(0), True)
+    left, right = np.flatnonzero(at == lo[0]), np.flatnonzero(at == hi[0])
+    for x in range(0, len(left), TILE):
+        for y in range(x if lo[0] == hi[0] else 0, len(right), TILE):
+            i, j = left[x : x + TILE], right[y : y + TILE]
+            score = unit[i] @ unit[j].T
+            good = score >= threshold
+            if lo[0] == hi[0]:
+                good &= (x + np.arange(len(i)))[:, None] < (y + np.arange(len(j)))[None, :]
+            p, q = np.nonzero(good)
+            yield k, i[p], j[q], score[p, q]
+
+
+def similar_pairs(df: DataFrame, threshold: float, key: str, vector: str = "embedding") -> DataFrame:
+    """a, b, score of all pairs a < b with at least the cosine: blocks of rows against blocks, pairs only as results.
+
+    A row is dealt to as many tasks as there are blocks; a task compares two blocks a tile at a time.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, i, j, score in _tiles(pa.Table.from_batches(batches), vector, threshold):
+            a, b = k[i], k[j]
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": score})
+
+    return _dealt(df, key, vector).groupBy("lo", "hi").applyInArrow(compare, "a long, b long, score double").filter("a <> b")
+
+
+def nearest_pairs(df: DataFrame, threshold: float, key: str, top_n: int, vector: str = "embedding") -> DataFrame:
+    """a, b, score, rank: each row's top_n others with at least the cosine. A task keeps top_n a row, and never lists all pairs."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = k = None
+        for k, i, j, score in _tiles(pa.Table.from_batches(batches), vector, threshold):
+            best = best or _Best(len(k), top_n)
+            for a, b in ((i, j), (j, i)):
+                new = (score >= best.cut[a] - 1e-12) & (k[a] != k[b])
+                best.take(a[new], k[b[new]], score[new])
+        if best:
+            for batch in _kept(best, k):
+                yield batch.rename_columns(["a", "b", "score"])
+
+    found = _dealt(df, key, vector).groupBy("lo", "hi").applyInArrow(compare, "a long, b long, score double")
+    return top_per_group(found, "a", F.round("score", 12), "b", top_n)
 
 
 def similarity_classes(df: DataFrame, threshold: float, key: str, vector: str = "embedding") -> DataFrame:

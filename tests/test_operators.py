@@ -610,3 +610,17 @@ def test_chunks_come_in_short_batches(spark):
         want += [(r._key, i, " ".join(c), len(c)) for i, c in enumerate(textproc.chunk_sentences(r.s or [], 5, 1))]
     assert got == sorted(want) and got
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_nearest_pairs_list_few_pairs_of_a_task(spark, monkeypatch):
+    base = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    copies = base.unionByName(base.filter("vec_id < 40").withColumn("vec_id", F.col("vec_id") + 100_000))
+    monkeypatch.setattr(vector, "TILE", 30)
+    monkeypatch.setattr(vector, "JOIN_BLOCK", 70)
+    want = {}
+    for r in vector.similar_pairs(copies, 0.1, "vec_id").collect():
+        for a, b in ((r.a, r.b), (r.b, r.a)):
+            want.setdefault(a, []).append((-round(r.score, 12), b))
+    want = {(a, b, i + 1) for a, found in want.items() for i, (_, b) in enumerate(sorted(found)[:3])}
+    made = vector.nearest_pairs(copies, 0.1, "vec_id", 3)
+    assert {(r.a, r.b, r["rank"]) for r in made.collect()} == want and want
