@@ -242,9 +242,11 @@ class SegmentedIndex:
         """The index as of one manifest, for every search over a TextIndex."""
         found = manifest or self.manifest()
         names = [s for s, _ in found["segments"]]
-        counts = _summed(self._table("counts", names)).filter("n_docs > 0")
+        counts = self._table("counts", names).drop("segment")
+        # A segment has one row for each term.
+        counts = (_summed(counts) if len(names) > 1 else counts).filter("n_docs > 0")
         sizes = {f: tuple(found["sizes"].get(f, (0, 0))) for f in self.fields}
-        return TextIndex(self._live("postings", names).drop("segment"), counts, sizes, self.analyzer)
+        return TextIndex(self._live("postings", names).drop("segment"), counts, sizes, self.analyzer, self._live("docs", names).drop("segment"))
 
 
 def _bounds(tf: Column, length: Column, sign: int) -> list[Column]:

@@ -1,7 +1,9 @@
 """A text index in segments against a full rebuild, and phrases against brute force."""
 
+import math
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +176,64 @@ def test_texts_are_analysed_in_short_batches(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
     assert {r.key: {t.term: list(t.places) for t in r.terms} for r in found.collect()} == {1: {"cat": [0, 1], "hop": [2], "poni": [3]}, 2: {}, 3: {}}
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def best_by_hand(docs, queries, n):
+    """query, key, score (9 digits), rank; of documents and queries as words."""
+    docs = {k: text.lower().split() for k, text in docs.items()}
+    average = sum(map(len, docs.values())) / len(docs)
+    found = {}
+    for q, terms in queries.items():
+        for k, words in docs.items():
+            for term in set(terms.lower().split()) & set(words):
+                df, f = sum(term in w for w in docs.values()), words.count(term)
+                part = math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(words) / average))
+                found[q, k] = found.get((q, k), 0.0) + part
+    out = []
+    for q in queries:
+        best = sorted((-round(s, 9), k) for (p, k), s in found.items() if p == q)[:n]
+        out += [(q, k, -s, i + 1) for i, (s, k) in enumerate(best)]
+    return sorted(out)
+
+
+def test_best_of_a_batch(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    words = [w.lower() for w in WORDS] + [f"w{i}" for i in range(40)]
+    docs = {f"k{i:03}": " ".join(rng.choices(words, k=rng.randint(0, 25))) for i in range(300)}
+    docs |= {f"c{i:03}": "red w1 w2 the" for i in range(60)}  # copies tie, and the key decides
+    queries = {i: " ".join(rng.choices(words, k=rng.randint(1, 12))) for i in range(30)} | {30: "red w1 w2 the", 31: "absent", 32: ""}
+    frame = lambda held: spark.createDataFrame([(k, t) for k, t in held.items()], "_key string, text string")
+    index = segments.SegmentedIndex(spark, f"{tmp_path}/index")
+    # One that has been in two segments, with revised and deleted documents.
+    index.apply(frame(docs | {"k001": "red", "gone": "red w1"}))
+    index.apply(frame({"k001": docs["k001"]}), spark.createDataFrame([("gone",)], "_key string"))
+    asked = spark.createDataFrame([*queries.items(), (30, "the red")], "id long, text string")  # a row of an id again adds nothing
+    want = best_by_hand(docs, queries, 4)
+    assert [r[1] for r in want if r[0] == 30] == ["c000", "c001", "c002", "c003"]
+    alone = segments.SegmentedIndex(spark, f"{tmp_path}/alone")
+    alone.apply(frame(docs))
+    for held in (index.pinned(), alone.pinned(), bm25.build_index(frame(docs), f"{tmp_path}/built")):
+        for most in (100_000, 40):  # in one block, and in several
+            monkeypatch.setattr(bm25, "BROADCAST_TERMS", most)
+            got = bm25.bm25_batch(held, asked, "id", "text", top_n=4)
+            assert got.columns == ["id", "key", "score", "rank"]
+            assert sorted((r.id, r.key, round(r.score, 9), r["rank"]) for r in got.collect()) == want
+    assert bm25.bm25_batch(alone.pinned(), asked.filter("id = 32"), "id", "text").isEmpty()
+
+
+def test_a_batch_shuffles_the_best_alone(spark, tmp_path, monkeypatch):
+    index = segments.SegmentedIndex(spark, f"{tmp_path}/index")
+    index.apply(spark.range(400).select(F.col("id").alias("_key"), F.concat(F.lit("red one w"), F.col("id") % 50).alias("text")))
+    asked = spark.range(20).select("id", F.concat(F.lit("red one w"), F.col("id")).alias("text"))
+    # 400 documents match each of 20 queries: no score of each pair is grouped, and a task hands on 3 for each query.
+    got = bm25.bm25_batch(index.pinned(), asked, "id", "text", top_n=3)
+    assert not re.search(r"keys=\[_q#\d+L?, key#", got._jdf.queryExecution().executedPlan().toString())
+    want = sorted(got.collect())
+    assert [r.key for r in want[:3]] == [0, 50, 100]
+    # The operator's own function, with few scores at a time.
+    monkeypatch.setattr(bm25, "SCORE_CELLS", 100)
+    rows = bm25._by_document(index.pinned(), "text").toArrow()
+    pairs = asked.select(F.col("id").alias("_q"), F.explode(F.split("text", " ")).alias("term"), F.lit(1.0).alias("w")).toArrow()
+    out = list(bm25._best_of_batch(type("Held", (), {"value": bm25._asked(pairs)}), 3.0, 3, 9)(rows.combine_chunks().to_batches()))
+    assert sum(b.num_rows for b in out) == 60
+    assert sorted((r["_q"], r["key"]) for b in out for r in b.to_pylist()) == sorted((r.id, r.key) for r in want)
