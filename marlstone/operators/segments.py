@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marlstone.operators.bm25 import ANALYZERS, TextIndex
-from marlstone.sources.shared import short_batches, slices, written
+from marlstone.sources.shared import put, short_batches, slices, written
 
 #: Segments beyond which the smallest are merged, and how many of them at a time.
 MOST_SEGMENTS, MERGED = 8, 6
@@ -138,15 +138,15 @@ class SegmentedIndex:
         """The other tables of a segment whose documents are stored, less the statistics of the old versions; the signed sizes of fields."""
         path = f"{self.folder}/segments/{name}"
         stored = self._stored("docs", name)
-        each = stored.select("field", "key", "length", F.explode("terms").alias("t")).select("field", "t.term", "key", F.size("t.places").alias("tf"), "length", "t.places")
         salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
-        each.repartitionByRange("field", "term", salt).sortWithinPartitions("field", "term", "key").write.parquet(f"{path}/postings")
-        signed = [(stored, 1)] + ([(gone, -1)] if gone is not None else [])
-        terms = [d.select("field", "length", F.explode("terms").alias("t")).groupBy("field", "t.term").agg((sign * F.count("*")).alias("n_docs"), (sign * F.sum(F.size("t.places"))).alias("n_total"), *_bounds(F.size("t.places"), F.col("length"), sign)) for d, sign in signed]
-        _summed(reduce(DataFrame.unionByName, terms)).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/counts")
-        (dead if dead is not None else self.spark.createDataFrame([], self._schema("dead"))).write.parquet(f"{path}/dead")
+        put(_postings(stored).repartitionByRange("field", "term", salt).sortWithinPartitions("field", "term", "key"), f"{path}/postings")
+        # What is added is counted from its postings, of which a task has a term's together.
+        added = self._stored("postings", name).select("field", "term", "tf", "length")
+        terms = [_counted(added, 1)] + ([_counted(_postings(gone), -1)] if gone is not None else [])
+        put(_summed(reduce(DataFrame.unionByName, terms)).repartitionByRange("field", "term").sortWithinPartitions("field", "term"), f"{path}/counts")
+        put(dead if dead is not None else self.spark.createDataFrame([], self._schema("dead")), f"{path}/dead")
         sizes = {f: [0, 0] for f in self.fields}
-        for d, sign in signed:
+        for d, sign in [(stored, 1)] + ([(gone, -1)] if gone is not None else []):
             for row in d.groupBy("field").agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).collect():  # a row for each field
                 sizes[row.field] = [sizes[row.field][0] + sign * row.n, sizes[row.field][1] + sign * row.tokens]
         return sizes
@@ -167,14 +167,14 @@ class SegmentedIndex:
         if rows is not None:
             found = analysed(rows.select(own, *self.fields), self.fields, self.key, self.analyzer)
             found = found.withColumn("key", F.when(F.col("key").isNull(), F.raise_error(F.lit("null key"))).otherwise(F.col("key")))
-            found.write.parquet(f"{self.folder}/segments/{name}/docs")
+            put(found, f"{self.folder}/segments/{name}/docs")
             found = self._stored("docs", name)
             if not found.groupBy("key", "field").count().filter("count > 1").isEmpty():
                 best = found.groupBy("key", "field").agg(F.max_by(F.struct("length", "digest", "terms"), "digest").alias("x"))
                 name = uuid.uuid4().hex
-                best.select("key", "field", "x.length", "x.digest", "x.terms").write.parquet(f"{self.folder}/segments/{name}/docs")
+                put(best.select("key", "field", "x.length", "x.digest", "x.terms"), f"{self.folder}/segments/{name}/docs")
         else:
-            self.spark.createDataFrame([], self._schema("docs")).write.parquet(f"{self.folder}/segments/{name}/docs")
+            put(self.spark.createDataFrame([], self._schema("docs")), f"{self.folder}/segments/{name}/docs")
         keys = self._stored("docs", name).select("key").distinct()
         if deleted is not None:
             keys = keys.union(deleted.select(own)).distinct()
@@ -199,12 +199,12 @@ class SegmentedIndex:
         # The merged counts are the sum of the segments' own, the versions that they replaced being taken away already.
         name = uuid.uuid4().hex
         path = f"{self.folder}/segments/{name}"
-        docs.write.parquet(f"{path}/docs")
+        put(docs, f"{path}/docs")
         postings = self._table("postings", sorted(chosen)).join(dead, ["key", "segment"], "left_anti").drop("segment")
         salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
-        postings.repartitionByRange("field", "term", salt).sortWithinPartitions("field", "term", "key").write.parquet(f"{path}/postings")
-        _summed(self._table("counts", sorted(chosen))).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/counts")
-        self._dead(sorted(chosen)).filter(~F.col("segment").isin(*chosen)).write.parquet(f"{path}/dead")
+        put(postings.repartitionByRange("field", "term", salt).sortWithinPartitions("field", "term", "key"), f"{path}/postings")
+        put(_summed(self._table("counts", sorted(chosen))).repartitionByRange("field", "term").sortWithinPartitions("field", "term"), f"{path}/counts")
+        put(self._dead(sorted(chosen)).filter(~F.col("segment").isin(*chosen)), f"{path}/dead")
         n = self._stored("docs", name).select("key").distinct().count()
         self._publish(base, segments=[x for x in base["segments"] if x[0] not in chosen] + [[name, n]])
 
@@ -246,12 +246,19 @@ class SegmentedIndex:
         # A segment has one row for each term.
         counts = (_summed(counts) if len(names) > 1 else counts).filter("n_docs > 0")
         sizes = {f: tuple(found["sizes"].get(f, (0, 0))) for f in self.fields}
-        return TextIndex(self._live("postings", names).drop("segment"), counts, sizes, self.analyzer, self._live("docs", names).drop("segment"))
+        docs = self._live("docs", names).select("field", "key", "length", F.col("terms.term").alias("terms"), F.transform("terms.places", F.size).alias("tfs"))
+        return TextIndex(self._live("postings", names).drop("segment"), counts, sizes, self.analyzer, docs)
 
 
-def _bounds(tf: Column, length: Column, sign: int) -> list[Column]:
-    """The greatest tf and the least length of a term in a field: of what is added; what goes may leave them as they are."""
-    return [F.max(tf if sign > 0 else F.lit(None).cast("int")).alias("most_tf"), F.min(length if sign > 0 else F.lit(None).cast("int")).alias("least_length")]
+def _postings(docs: DataFrame) -> DataFrame:
+    """The postings of stored documents."""
+    return docs.select("field", "key", "length", F.explode("terms").alias("t")).select("field", "t.term", "key", F.size("t.places").alias("tf"), "length", "t.places")
+
+
+def _counted(postings: DataFrame, sign: int) -> DataFrame:
+    """The signed counts of terms, with the greatest tf and the least length: of what is added; what goes may leave them as they are."""
+    tf, length = (F.col(c) if sign > 0 else F.lit(None).cast("int") for c in ("tf", "length"))
+    return postings.groupBy("field", "term").agg((sign * F.count("*")).alias("n_docs"), (sign * F.sum("tf")).alias("n_total"), F.max(tf).alias("most_tf"), F.min(length).alias("least_length"))
 
 
 def _summed(counts: DataFrame) -> DataFrame:

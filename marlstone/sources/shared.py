@@ -45,13 +45,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and it survives the loss of executors.
+def put(df: DataFrame, path: str) -> None:
+    """Write df as Parquet, compressed by Zstandard.
 
-    Zstandard's buffers are given back when a file is closed; those of Snappy lie outside the heap until it is collected.
+    Its buffers are given back when a file is closed; those of Snappy lie outside the heap until it is collected.
     """
-    path = f"{shared_dir(df.sparkSession, name)}/table"
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage is cut, and it survives the loss of executors."""
+    path = f"{shared_dir(df.sparkSession, name)}/table"
+    put(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -212,13 +212,22 @@ def test_best_of_a_batch(spark, tmp_path, monkeypatch):
     assert [r[1] for r in want if r[0] == 30] == ["c000", "c001", "c002", "c003"]
     alone = segments.SegmentedIndex(spark, f"{tmp_path}/alone")
     alone.apply(frame(docs))
-    for held in (index.pinned(), alone.pinned(), bm25.build_index(frame(docs), f"{tmp_path}/built")):
+    kinds = {"segments": index.pinned(), "one": alone.pinned(), "built": bm25.build_index(frame(docs), f"{tmp_path}/built"), "texts": None}
+    for held in kinds.values():
         for most in (100_000, 40):  # in one block, and in several
             monkeypatch.setattr(bm25, "BROADCAST_TERMS", most)
-            got = bm25.bm25_batch(held, asked, "id", "text", top_n=4)
+            own = held or bm25.for_batch(frame(docs), asked, "text")
+            got = bm25.bm25_batch(own, asked, "id", "text", top_n=4)
             assert got.columns == ["id", "key", "score", "rank"]
             assert sorted((r.id, r.key, round(r.score, 9), r["rank"]) for r in got.collect()) == want
     assert bm25.bm25_batch(alone.pinned(), asked.filter("id = 32"), "id", "text").isEmpty()
+    # From the texts, with statistics of all documents and the terms that are asked for alone.
+    monkeypatch.setattr(bm25, "BROADCAST_TERMS", 100_000)
+    few = bm25.for_batch(frame(docs), asked.filter("id = 30"), "text")
+    assert few.sizes == kinds["built"].sizes and few.documents.count() == len(docs)
+    assert sorted(few.terms.collect()) == sorted(kinds["built"].terms.filter("term in ('red', 'w1', 'w2', 'the')").collect())
+    assert sorted(few.postings.collect()) == sorted(kinds["built"].postings.filter("term in ('red', 'w1', 'w2', 'the')").select(few.postings.columns).collect())
+    assert bm25.bm25_batch(bm25.for_batch(frame(docs).limit(0), asked, "text"), asked, "id", "text").isEmpty()
 
 
 def test_a_batch_shuffles_the_best_alone(spark, tmp_path, monkeypatch):
